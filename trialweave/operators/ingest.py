@@ -140,7 +140,8 @@ def payload_wide(translated: DataFrame, dictionary: Dictionary,
                  id_field: str | None = None) -> DataFrame:
     """The payload as one row per record over the dictionary's columns, blank where unanswered."""
     columns = [c for c in dictionary.expected_columns() if c != dictionary.id_field]
-    cells = payload(translated)
-    wide = cells.groupBy("record_id").pivot("column", columns).agg(F.max("code"))
+    mapped = translated.where(F.col("issue").isNull())
+    wide = mapped.groupBy("record_id").agg(*[
+        F.max(F.when(F.col("column") == c, F.col("code"))).alias(c) for c in columns])
     return wide.fillna("", columns).withColumnRenamed(
         "record_id", id_field or dictionary.id_field)

@@ -69,7 +69,8 @@ def to_eav(records: DataFrame, id_cols: list[str], fields: list[str] | None = No
 
 def from_eav(cells: DataFrame, id_cols: list[str], fields: list[str]) -> DataFrame:
     """K8 back: one row per id over the named fields, blank where there was no cell."""
-    wide = cells.groupBy(*id_cols).pivot("field", fields).agg(F.max("value"))
+    wide = cells.groupBy(*id_cols).agg(*[
+        F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields])
     return wide.fillna("", fields)
 
 
