@@ -1,5 +1,5 @@
 """Registered queries over the given tables."""
-from . import worklists, writeback  # noqa: F401
+from . import answers, linking, lint, queues, scalars, setup, tables, worklists, writeback  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -198,10 +198,10 @@ def _titles(spark, sf):
     """Parts as projects: a few dozen titles, each held by many records."""
     part = table(spark, sf, "part")
     kind = F.lower("p_type")
-    existing = part.where(F.col("p_retailprice") < 1000).select(
+    existing = part.where(F.col("p_size") <= 25).select(
         F.col("p_partkey").alias("sir_id"),
         F.concat("p_name", F.lit(" study of "), kind).alias("title"))
-    incoming = part.where(F.col("p_retailprice") >= 1000).select(
+    incoming = part.where(F.col("p_size") > 25).select(
         F.col("p_partkey").alias("row_id"),
         F.concat(F.initcap("p_name"), F.lit(" study: "), kind, F.lit(" parts")).alias("title"))
     return existing, incoming

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K
 from ..functions.cells import number, usable
-from ..plans.dictionary import CODED, Dictionary
+from ..plans.dictionary import Dictionary
 from .ordering import running_total
 
 OVERALL = "overall"
@@ -92,7 +92,7 @@ def most_missing(profile: DataFrame, n: int = 15) -> DataFrame:
 def dataset_shape(records: DataFrame, dictionary: Dictionary) -> DataFrame:
     """Records, columns, id field, coded fields with a choice map."""
     coded = sum(1 for f in dictionary.fields
-                if f.field_type in (*CODED, "checkbox") and f.choices)
+                if f.field_type in ("radio", "dropdown", "checkbox") and f.choices)
     return records.agg(F.count(F.lit(1)).alias("records")).select(
         "records", F.lit(len(records.columns)).cast("long").alias("fields"),
         F.lit(dictionary.id_field).alias("id_field"),
