@@ -122,7 +122,7 @@ def site_dates(spark, sf):
 @query("""SELECT doc_id, CASE
   WHEN regexp_matches(lower(source || ' ' || text), '\\b(biobank|repository|biorepository|specimen.collection|tissue.bank)\\b') THEN 'R'
   WHEN regexp_matches(lower(source || ' ' || text), '\\b(those|thing|that)\\b') THEN 'T'
-  WHEN regexp_matches(lower(source || ' ' || text), '\\b(le|la).(en|de)\\b') THEN 'F'
+  WHEN regexp_matches(lower(source || ' ' || text), '(^|[^\\p{L}\\p{N}_])(le|la).(en|de)($|[^\\p{L}\\p{N}_])') THEN 'F'
   ELSE 'none' END AS kind FROM documents""")
 def classify_text(spark, sf):
     """Ordered patterns over whole document texts."""

@@ -20,19 +20,20 @@ def strip(c) -> Column:
     return F.btrim(F.coalesce(col(c).cast("string"), F.lit("")), F.lit(SPACE))
 
 
-def number(c) -> Column:
+def number(c, trimmed: bool = False) -> Column:
     """The cell as a double, or null when it is not plain numeric text."""
-    s = strip(c)
+    s = col(c) if trimmed else strip(c)
     return F.when(s.rlike(NUMBER), s.try_cast("double"))
 
 
-def norm_value(c) -> Column:
+def norm_value(c, trimmed: bool = False) -> Column:
     """F1: trim, text ``nan`` to blank, numeric spellings collapsed (1, 1.0 and 01 are ``1``).
 
     Whole numbers are collapsed as text, so identifiers of any length keep every digit. Other
-    numbers go through a double and come back in plain notation.
+    numbers go through a double and come back in plain notation. Pass ``trimmed`` for a column
+    that an earlier projection has already stripped, so it is stripped once and not per use.
     """
-    s = strip(c)
+    s = col(c) if trimmed else strip(c)
     whole = F.regexp_replace(s, INTEGER, "$1$2")
     d = s.try_cast("double")
     size = F.abs(d)

@@ -5,28 +5,46 @@ from pyspark.sql import Column, functions as F
 
 from . import constants as K
 from .cells import col, strip
-
-# Day-first before month-first; the first format that fits wins.
-FORMATS = (
-    (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "yyyy-M-d"),
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "d/M/yyyy"),
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/yyyy"),
-    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "d-M-yyyy"),
-    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "yyyy/M/d"),
-    (r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$", "d.M.yyyy"),
-    (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$", "d MMM yyyy"),
-    (r"^[0-9]{1,2} [A-Za-z]{3,9} [0-9]{4}$", "d MMMM yyyy"),
-    (r"^[A-Za-z]{3} [0-9]{1,2} [0-9]{4}$", "MMM d yyyy"),
-    (r"^[A-Za-z]{3,9} [0-9]{1,2} [0-9]{4}$", "MMMM d yyyy"),
+from .text import text_key
+
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september",
+          "october", "november", "december")
+_MONTH = "(" + "|".join(f"{m}|{m[:3]}" for m in MONTHS) + ")"
+# Shapes with the places of year, month and day among their three parts. Numeric months come
+# first, day-first before month-first; the first shape that makes a real date wins.
+SHAPES = (
+    (r"^([0-9]{4})([-/])([0-9]{1,2})\2([0-9]{1,2})$", (1, 3, 4)),
+    (r"^([0-9]{1,2})([-/.])([0-9]{1,2})\2([0-9]{4})$", (4, 3, 1)),
+    (r"^([0-9]{1,2})(/)([0-9]{1,2})/([0-9]{4})$", (4, 1, 3)),
+)
+NAMED_SHAPES = (
+    (rf"^([0-9]{{1,2}}) {_MONTH} ([0-9]{{4}})$", (3, 2, 1)),
+    (rf"^{_MONTH} ([0-9]{{1,2}}) ([0-9]{{4}})$", (3, 1, 2)),
 )
 
 
-def parse_any(c) -> Column:
-    """Ten formats, as ``yyyy-MM-dd`` text; null when none fits."""
-    s = F.initcap(F.regexp_replace(strip(c), r"\s+", " "))
-    tries = [F.when(s.rlike(shape), F.try_to_date(s, fmt))
-             for shape, fmt in FORMATS]
-    return F.date_format(F.coalesce(*tries), "yyyy-MM-dd")
+def real_date(text: Column) -> Column:
+    """``y-m-d`` text as a date, null when there is no such day; a cast, so nothing is thrown."""
+    return text.try_cast("date")
+
+
+def parse_any(c, keyed: bool = False) -> Column:
+    """Ten spellings, as ``yyyy-MM-dd`` text; null when none fits.
+
+    Pass ``keyed`` for a column that holds text keys, so the key is worked out once.
+    """
+    s = col(c) if keyed else text_key(c)
+    tries = []
+    for shape, (y, m, d) in SHAPES:
+        tries.append(F.when(s.rlike(shape), real_date(
+            F.regexp_replace(s, shape, f"${y}-${m}-${d}"))))
+    for shape, (y, m, d) in NAMED_SHAPES:
+        month = F.substring(F.regexp_extract(s, shape, m), 1, 3)
+        number = (F.instr(F.lit("".join(n[:3] for n in MONTHS)), month) + 2) / 3
+        tries.append(F.when(s.rlike(shape), real_date(F.concat_ws(
+            "-", F.regexp_extract(s, shape, y), number.cast("int").cast("string"),
+            F.regexp_extract(s, shape, d)))))
+    return F.coalesce(*tries).cast("string")
 
 
 def parse_import(c) -> Column:
@@ -65,7 +83,7 @@ def is_date_sentinel(c) -> Column:
 def stored_date(c) -> Column:
     """A stored ``yyyy-MM-dd`` cell as a date; missing codes and bad text give null."""
     s = strip(c)
-    return F.when(~is_date_sentinel(s), F.try_to_date(s, "yyyy-MM-dd"))
+    return F.when(~is_date_sentinel(s) & s.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), real_date(s))
 
 
 def shown_date(c, placeholder: str = "(not provided)") -> Column:
@@ -96,7 +114,7 @@ def site_dates(c, keep: int = 10) -> Column:
         part = lambda i: F.regexp_extract(line, LINE, i)
         year = F.when(F.length(part(4)) == 2, F.concat(F.lit("20"), part(4))).otherwise(part(4))
         text = F.concat_ws("-", year, F.lpad(part(3), 2, "0"), F.lpad(part(2), 2, "0"))
-        good = year.between("1900", "2100") & F.try_to_date(text, "yyyy-MM-dd").isNotNull()
+        good = year.between("1900", "2100") & real_date(text).isNotNull()
         return F.struct(strip(part(1)).alias("site"), F.when(good, text).alias("date"))
 
     dated = F.filter(F.transform(lines, entry), lambda e: e["date"].isNotNull())

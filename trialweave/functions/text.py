@@ -16,9 +16,9 @@ def clean_label(c) -> Column:
     return F.rtrim(F.btrim(text, F.lit(SPACE)), F.lit(" ?.:;"))
 
 
-def text_key(c) -> Column:
+def text_key(c, trimmed: bool = False) -> Column:
     """trimmed, lower case, single spaces."""
-    return F.regexp_replace(F.lower(strip(c)), SPACES, " ")
+    return F.regexp_replace(F.lower(col(c) if trimmed else strip(c)), SPACES, " ")
 
 
 def title_key(c) -> Column:
@@ -36,9 +36,9 @@ def title_match(expected, actual) -> Column:
     )
 
 
-def is_missing_phrase(c) -> Column:
-    """the text contains one of the 'not in the chart' fragments."""
-    return text_key(c).rlike("|".join(K.MISSING_PHRASES))
+def is_missing_phrase(c, keyed: bool = False) -> Column:
+    """the text contains one of the 'not in the chart' fragments; ``keyed`` takes a text key."""
+    return (col(c) if keyed else text_key(c)).rlike("|".join(K.MISSING_PHRASES))
 
 
 def hospital_key(c, neutral=("nyr", "666", "777", "888", "999")) -> Column:
@@ -130,12 +130,15 @@ def ticked_codes(columns_by_code: dict[str, str]) -> Column:
 
 
 def keyword_class(*texts, rules=K.SUBCATEGORIES, default=K.SUBCATEGORY_UNCLEAR) -> Column:
-    """the label of the first rule whose pattern occurs in the joined lower-case text."""
+    """the label of the first rule whose pattern occurs in the joined lower-case text.
+
+    Word boundaries and the dot follow Unicode words and plain line feeds.
+    """
     hay = F.lower(F.concat_ws(" ", *[F.coalesce(col(t), F.lit("")) for t in texts]))
     out = None
     for pattern, label in rules:
-        out = F.when(hay.rlike(pattern), label) if out is None \
-            else out.when(hay.rlike(pattern), label)
+        hit = hay.rlike("(?Ud)" + pattern)
+        out = F.when(hit, label) if out is None else out.when(hit, label)
     return F.lit(default) if out is None else out.otherwise(default)
 
 

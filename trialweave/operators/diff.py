@@ -38,13 +38,14 @@ class CellDiff:
 
     def _side(self, df, seq, tag, key_mode):
         key = norm_key(df[self.id_field], key_mode)
-        keep = [key.alias("_key"), *[
-            (norm_value(F.col(f"`{f}`")) if f in df.columns else F.lit("")).alias(f"_{tag}_{i}")
-            for i, f in enumerate(self.fields)]]
-        side = df.select(*keep, *([F.col(seq)] if seq else []))
+        names = [f"_{tag}_{i}" for i in range(len(self.fields))]
+        side = df.select(key.alias("_key"), *[
+            (strip(F.col(f"`{f}`")) if f in df.columns else F.lit("")).alias(n)
+            for f, n in zip(self.fields, names)], *([F.col(seq)] if seq else []))
         if seq:
             side = last_per_key(side, ["_key"], [seq]).drop(seq)
-        return side.withColumn(f"_in_{tag}", F.lit(True))
+        return side.select("_key", *[norm_value(n, trimmed=True).alias(n) for n in names],
+                           F.lit(True).alias(f"_in_{tag}"))
 
     def _verdict(self, i):
         return verdict(F.coalesce(F.col(f"_c_{i}"), F.lit("")), F.col(f"_n_{i}"))
@@ -125,17 +126,24 @@ def verify_live(planned: DataFrame, live: DataFrame, id_field: str, mode: str =
         raise ValueError(f"mode {mode!r} is neither 'safe' nor 'reference'")
     names = fields or [c for c in planned.columns if c != id_field]
     present = [n for n in names if n in live.columns]
-    left = planned.select(strip(planned[id_field]).alias("_key"),
-                          *[F.col(f"`{n}`").alias(f"_p_{i}") for i, n in enumerate(names)])
-    right = live.select(strip(live[id_field]).alias("_key"),
-                        *[F.col(f"`{n}`").alias(f"_l_{names.index(n)}") for n in present])
-    joined = left.where(F.col("_key") != "").join(right, "_key", "left")
-    norm = norm_value if mode == "safe" else (lambda c: F.coalesce(c, F.lit("")))
+    safe = mode == "safe"
+
+    def side(df, tag, chosen, trim):
+        cells = df.select(strip(df[id_field]).alias("_key"), *[
+            (strip(F.col(f"`{n}`")) if trim else F.coalesce(F.col(f"`{n}`"), F.lit("")))
+            .alias(f"_{tag}_{names.index(n)}") for n in chosen])
+        if not safe:
+            return cells
+        return cells.select("_key", *[norm_value(c, trimmed=True).alias(c)
+                                      for c in cells.columns if c != "_key"])
+
+    left = side(planned, "p", names, trim=safe).where(F.col("_key") != "")
+    joined = left.join(side(live, "l", present, trim=True), "_key", "left")
     cells = joined.select(F.col("_key").alias(id_field), F.explode(F.array(*[
-        F.struct(F.lit(n).alias("field"), norm(F.col(f"_p_{i}")).alias("planned"),
-                 (norm_value(F.col(f"_l_{i}")) if mode == "safe" else strip(F.col(f"_l_{i}")))
-                 .alias("live") if n in present else F.lit("").alias("live"))
-        for i, n in enumerate(names)])).alias("c")).select(id_field, "c.*")
+        F.struct(F.lit(n).alias("field"), F.col(f"_p_{i}").alias("planned"),
+                 (F.coalesce(F.col(f"_l_{i}"), F.lit("")) if n in present else F.lit(""))
+                 .alias("live")) for i, n in enumerate(names)])).alias("c")) \
+        .select(id_field, "c.*")
     differs = F.col("live") != ""
     if mode == "reference":
         differs = differs & (F.col("planned") != "0")

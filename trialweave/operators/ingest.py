@@ -81,19 +81,24 @@ def translate_cells(answers: DataFrame, dictionary: Dictionary,
     spark = answers.sparkSession
     labels = F.broadcast(label_table(spark, dictionary))
     codes = F.broadcast(answer_table(spark, dictionary, aliases))
-    typed = answers.where(strip("value") != "").select(
+    typed = answers.select(
         strip("record_id").alias("record_id"), "header", strip("value").alias("value"),
-        text_key("header").alias("label_key"))
+        text_key("header").alias("label_key")).where(F.col("value") != "")
     known = typed.join(labels, "label_key").drop("label_key")
     checkbox = F.col("field_type") == "checkbox"
     coded = F.col("field_type").isin(*CODED)
-    phrase = is_missing_phrase("value")
-    parts = F.when(checkbox & ~phrase, F.filter(
-        F.split("value", ","), lambda p: strip(p) != "")).otherwise(F.array("value"))
-    split = known.select("*", phrase.alias("_phrase"), F.explode(parts).alias("_part"))
-    split = split.withColumn("answer_key", F.when(checkbox | coded, text_key("_part")))
-    found = split.join(codes, ["field", "answer_key"], "left")
-    date = parse_any("value")
+    keyed = known.withColumn("_text", text_key("value", trimmed=True)).withColumn(
+        "_phrase", is_missing_phrase("_text", keyed=True))
+    parted = keyed.withColumn("_parts", F.when(
+        checkbox & ~F.col("_phrase"), F.split("value", ",")).otherwise(F.array("value")))
+    split = parted.select("record_id", "header", "field", "field_type", "is_date", "value",
+                          "_phrase", "_text", F.explode("_parts").alias("_part"))
+    split = split.withColumn(
+        "answer_key", F.when(checkbox, text_key("_part")).when(coded, F.col("_text"))) \
+        .where(F.coalesce(F.col("answer_key") != "", F.lit(True)))
+    dated = split.withColumn("_date", F.when(
+        F.col("is_date") & ~F.col("_phrase"), parse_any("_text", keyed=True)))
+    found = dated.join(codes, ["field", "answer_key"], "left")
 
     def option(code):
         negative = F.substring(code, 2, 100)
@@ -110,7 +115,7 @@ def translate_cells(answers: DataFrame, dictionary: Dictionary,
                .otherwise(K.NOT_IN_NOTES_CODE))
         .when(checkbox, F.when(F.col("code").isNotNull(), "1"))
         .when(coded, F.col("code"))
-        .when(F.col("is_date"), date)
+        .when(F.col("is_date"), F.col("_date"))
         .otherwise(whole_as_integer("value")))
     issue = (
         F.when(checkbox, F.concat(F.lit("checkbox option '"), strip("_part"),

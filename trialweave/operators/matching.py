@@ -1,9 +1,11 @@
 """Fuzzy linkage: ranked candidates for people, one-to-one matching for titles, master merge."""
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.cells import strip
@@ -14,6 +16,8 @@ from .similarity import (
     TOKEN_RATIO, _percent, matching_tokens, overlapping_sets, ratio_column, sequence_ratio,
 )
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TITLE_RATIO = 0.78
 
 
@@ -80,62 +84,64 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, id_col: str, name_col: s
     pairs = name_pairs(distinct_names(people), distinct_names(others), min_name, method,
                        token_ratio)
 
-    # How many, and the smallest ids, per right name and number / without one / with any.
-    by_number = others.groupBy("name", "hospital").agg(F.count(F.lit(1)).alias("n"))
-    per_name = by_number.groupBy("name").agg(
-        F.sum(F.when(F.col("hospital").isNull(), F.col("n"))).alias("n_without"),
-        F.sum(F.when(F.col("hospital").isNotNull(), F.col("n"))).alias("n_with"))
-    first = smallest_per_key(others.select("name", "hospital", "id"),
-                             ["name", "hospital"], [F.col("id")], top).drop("_rank")
-    with_number = first.where(F.col("hospital").isNotNull())
-    without = first.where(F.col("hospital").isNull())
-    any_number = smallest_per_key(with_number, ["name"], [F.col("id")], top).drop("_rank")
+    pairs = checkpointed(pairs)
+
+    # Right side, per name and number and per name: record counts and the smallest ids.
+    keyed = others.select(F.col("name").alias("b"), F.col("hospital").alias("h"), "id")
+    by_number = keyed.groupBy("b", "h").agg(F.count(F.lit(1)).alias("n"))
+    first = smallest_per_key(keyed, ["b", "h"], [F.col("id")], top).drop("_rank")
+    numbered_ids = first.where(F.col("h").isNotNull())
+    same = numbered_ids.groupBy("b", "h").agg(F.collect_list("id").alias("ids_same")).join(
+        by_number.withColumnRenamed("n", "n_same"), ["b", "h"])
+    with_number = smallest_per_key(numbered_ids, ["b"], [F.col("id")], top).groupBy("b").agg(
+        F.collect_list(F.struct("id", "h")).alias("ids_with"))
+    without = first.where(F.col("h").isNull()).groupBy("b").agg(
+        F.collect_list("id").alias("ids_without"))
+    per_name = by_number.groupBy("b").agg(
+        F.sum(F.when(F.col("h").isNull(), F.col("n")).otherwise(0)).alias("n_without"),
+        F.sum(F.when(F.col("h").isNotNull(), F.col("n")).otherwise(0)).alias("n_with")) \
+        .join(with_number, "b", "left").join(without, "b", "left")
 
     asked = people.groupBy(F.col("name").alias("a"), F.col("hospital").alias("h")).agg(
-        F.count(F.lit(1)).alias("_askers")).drop("_askers")
-    wanted = asked.join(pairs, "a")
-    score = lambda part: (F.col("name_score") + F.lit(part)) / 2
-    pick = lambda frame, cond, part, kind: wanted.join(
-        frame.withColumnRenamed("name", "b"), "b").where(cond).select(
-        "a", "h", "b", "id", "name_score", score(part).alias("score"), F.lit(kind).alias("kind"))
-    same = wanted.join(
-        with_number.select(F.col("name").alias("b"), F.col("hospital").alias("h"), "id"),
-        ["b", "h"]).select("a", "h", "b", "id", "name_score", score(1.0).alias("score"),
-                           F.lit("same").alias("kind"))
-    other = pick(any_number, F.col("h").isNotNull() & (F.col("hospital") != F.col("h")),
-                 0.0, "different")
-    silent = pick(any_number, F.col("h").isNull(), 0.5, "neutral")
-    blank = pick(without, F.lit(True), 0.5, "neutral")
-    pool = reduce(lambda x, y: x.unionByName(y), [same, other, silent, blank])
+        F.count(F.lit(1)).alias("_n")).drop("_n")
+    wanted = asked.join(pairs, "a").join(per_name, "b").join(same, ["b", "h"], "left")
+    has, none = F.col("h").isNotNull(), F.array().cast(f"array<{_type_of(keyed, 'id')}>")
+    n_same = F.coalesce("n_same", F.lit(0))
+    id_of = lambda x: x["id"]
+    ids_with = F.coalesce(F.transform("ids_with", id_of), none)
+    ids_without = F.coalesce("ids_without", none)
+    different = F.coalesce(F.transform(
+        F.filter("ids_with", lambda x: x["h"] != F.col("h")), id_of), none)
+
+    def entry(part, n, ids):
+        return F.struct(((F.col("name_score") + part) / 2).alias("score"),
+                        n.cast("long").alias("n"), ids.alias("ids"))
+
+    kinds = F.when(has, F.array(
+        entry(1.0, n_same, F.coalesce("ids_same", none)),
+        entry(0.0, F.col("n_with") - n_same, different),
+        entry(0.5, F.col("n_without"), ids_without))).otherwise(F.array(
+            entry(0.5, F.col("n_with") + F.col("n_without"), F.concat(ids_with, ids_without))))
+    rows = wanted.select("a", F.coalesce("h", F.lit("")).alias("_h"), "name_score",
+                         F.explode(kinds).alias("k")).where(F.col("k.n") > 0) \
+        .select("a", "_h", "name_score", "k.*", F.round("k.score", 9).alias("_s"))
+    ties = rows.groupBy("a", "_h", "_s").agg(F.sum("n").alias("ties"))
     ranked = smallest_per_key(
-        pool.withColumn("_h", F.coalesce("h", F.lit(""))), ["a", "_h"],
-        [F.desc("score"), F.col("id")], top)
-
-    # Every candidate counted by score, from the summaries, for the visible tie count.
-    counted = wanted.join(per_name.withColumnRenamed("name", "b"), "b") \
-        .join(by_number.select(F.col("name").alias("b"), F.col("hospital").alias("h"),
-                               F.col("n").alias("n_same")), ["b", "h"], "left") \
-        .select("a", "h", "name_score", *[
-            F.coalesce(c, F.lit(0)).alias(c) for c in ("n_without", "n_with", "n_same")])
-    has = F.col("h").isNotNull()
-    groups = F.array(
-        F.struct(score(1.0).alias("score"), F.when(has, F.col("n_same")).otherwise(0).alias("n")),
-        F.struct(score(0.0).alias("score"),
-                 F.when(has, F.col("n_with") - F.col("n_same")).otherwise(0).alias("n")),
-        F.struct(score(0.5).alias("score"),
-                 F.when(has, F.col("n_without"))
-                 .otherwise(F.col("n_without") + F.col("n_with")).alias("n")))
-    ties = counted.select("a", F.coalesce("h", F.lit("")).alias("_h"), F.explode(groups).alias("g")) \
-        .groupBy("a", "_h", F.round("g.score", 9).alias("_s")).agg(F.sum("g.n").alias("ties"))
-    listed = ranked.withColumn("_s", F.round("score", 9)).join(ties, ["a", "_h", "_s"])
-    answer = listed.select("a", "_h", F.col("id").alias("candidate_id"), "name_score", "score",
-                           "ties", F.col("_rank").alias("rank"))
-    return people.select(F.col("id"), F.col("name").alias("a"),
+        rows.select("a", "_h", "_s", "name_score", "score", F.explode("ids").alias("id")),
+        ["a", "_h"], [F.desc("_s"), F.col("id")], top)
+    answer = ranked.join(ties, ["a", "_h", "_s"]).select(
+        "a", "_h", F.col("id").alias("candidate_id"), "name_score", "score", "ties",
+        F.col("_rank").alias("rank"))
+    return people.select("id", F.col("name").alias("a"),
                          F.coalesce("hospital", F.lit("")).alias("_h")) \
         .join(answer, ["a", "_h"]).select("id", "candidate_id", "name_score", "score", "ties",
                                           "rank")
 
 
+def _type_of(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
 def title_pairs(left: DataFrame, right: DataFrame, min_ratio: float, min_words: float,
                 method: str) -> DataFrame:
     """Distinct title pairs (``a``, ``b``, ``ratio``) sharing enough words and reaching the ratio.
@@ -158,43 +164,37 @@ def _allocate(pairs: DataFrame, left_cap: DataFrame, right_cap: DataFrame) -> Da
 
     Each round takes every pair that is the best remaining one for both of its titles, which is
     what working down the sorted pair list would take. The best pair overall always qualifies,
-    so rounds go on until no pair is left; there is no limit on their number.
+    so rounds go on until no pair is left; there is no limit on their number. A round is one
+    checkpoint of the pairs still open, and only pairs whose titles have records left stay in.
     """
-    spark = pairs.sparkSession
-    done = []
-    pairs_left = checkpointed(pairs)
-    lcap, rcap = left_cap, right_cap
-    turn = 0
-    while not pairs_left.isEmpty():
-        best = F.min(F.struct((-F.col("ratio")).alias("r"), F.col("a").alias("x"),
-                              F.col("b").alias("y"))).alias("t")
-        of_left = pairs_left.groupBy("a").agg(best).select("t")
-        of_right = pairs_left.groupBy("b").agg(best).select("t")
-        mutual = of_left.join(of_right, "t").select(
-            F.col("t.x").alias("a"), F.col("t.y").alias("b"), (-F.col("t.r")).alias("ratio"))
-        taken = checkpointed(
-            mutual.join(lcap, "a").join(rcap, "b").select(
-                "a", "b", "ratio", F.lit(turn).alias("round"),
-                F.least("left_n", "right_n").alias("quantity")))
-        done.append(taken)
-        lcap = checkpointed(_spend(lcap, taken, "a", "left_n"))
-        rcap = checkpointed(_spend(rcap, taken, "b", "right_n"))
-        pairs_left = checkpointed(
-            pairs_left.join(lcap.select("a"), "a", "left_semi")
-            .join(rcap.select("b"), "b", "left_semi"))
+    rank = F.struct((-F.col("ratio")).alias("r"), "a", "b")
+    state = pairs.join(left_cap, "a").join(right_cap, "b").select(
+        "a", "b", "ratio", "left_n", "right_n")
+    done, turn = [], 0
+    while True:
+        best_of_left = state.groupBy("a").agg(F.min(rank).alias("_bl"))
+        best_of_right = state.groupBy("b").agg(F.min(rank).alias("_br"))
+        mutual = (F.col("_bl") == rank) & (F.col("_br") == rank)
+        marked = checkpointed(
+            state.join(best_of_left, "a").join(best_of_right, "b").select(
+                "a", "b", "ratio", "left_n", "right_n",
+                F.when(mutual, F.least("left_n", "right_n")).alias("quantity")))
+        taken = marked.where(F.col("quantity").isNotNull())
+        if taken.isEmpty():
+            break
+        done.append(taken.select("a", "b", "ratio", F.lit(turn).alias("round"), "quantity"))
+        spent = lambda side, name: taken.select(side, F.col("quantity").alias(name))
+        left_over = lambda n, used: (F.col(n) - F.coalesce(used, F.lit(0))).alias(n)
+        state = marked.where(F.col("quantity").isNull()).drop("quantity") \
+            .join(spent("a", "_ua"), "a", "left").join(spent("b", "_ub"), "b", "left") \
+            .select("a", "b", "ratio", left_over("left_n", "_ua"), left_over("right_n", "_ub")) \
+            .where((F.col("left_n") > 0) & (F.col("right_n") > 0))
         turn += 1
     if not done:
-        return spark.createDataFrame([], "a string, b string, ratio double, round int, "
-                                         "quantity long")
+        return marked.select("a", "b", "ratio", F.lit(0).alias("round"), "quantity")
     return reduce(lambda x, y: x.unionByName(y), done)
 
 
-def _spend(capacity, taken, side, name):
-    used = taken.select(side, F.col("quantity").alias("_used"))
-    return capacity.join(used, side, "left").select(
-        side, (F.col(name) - F.coalesce("_used", F.lit(0))).alias(name)).where(F.col(name) > 0)
-
-
 def match_titles(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
                  left_title: str, right_title: str, manual: DataFrame | None = None,
                  min_ratio: float = TITLE_RATIO, min_words: float = 0.5,
@@ -241,7 +241,7 @@ def match_titles(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
 def _spans(dealt: DataFrame, side: str) -> DataFrame:
     """Where each allocation starts among its title's records, in round order."""
-    total = running_total(dealt, ["round", "a", "b"], {"_upto": "quantity"}, [side], slices=8)
+    total = running_total(dealt, ["round", "a", "b"], {"_upto": "quantity"}, [side])
     return total.withColumn(f"_from_{side}", F.col("_upto") - F.col("quantity")).drop("_upto")
 
 

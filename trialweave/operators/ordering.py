@@ -42,23 +42,34 @@ def _split_points(df: DataFrame, order: list[str], slices: int) -> list:
 
 
 def _slice_of(df: DataFrame, order: list[str], points: list) -> Column:
-    """How many split points are at or before the row: its slice number."""
+    """How many split points are at or before the row: its slice number, by binary search."""
     if not points:
         return F.lit(0)
     types = {f.name: f.dataType for f in df.schema.fields}
     key = F.struct(*[F.col(c) for c in order])
     cuts = F.array(*[
         F.struct(*[F.lit(p[c]).cast(types[c]).alias(c) for c in order]) for p in points])
-    return F.size(F.filter(cuts, lambda cut: cut <= key))
+    steps = [1 << i for i in reversed(range(len(points).bit_length()))]
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]), F.lit(0),
+        lambda at, step: F.when(
+            (at + step <= len(points)) & (F.get(cuts, at + step - 1) <= key), at + step)
+        .otherwise(at))
+
+
+def _slice_count(df: DataFrame) -> int:
+    """As many slices as the session shuffles into, so slices shrink as the cluster grows."""
+    return max(8, min(4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def running_total(df: DataFrame, order: list[str], totals: dict[str, str],
-                  group: list[str] | None = None, slices: int = 64) -> DataFrame:
+                  group: list[str] | None = None, slices: int | None = None) -> DataFrame:
     """Add inclusive running totals of columns: ``totals`` maps a new column to its weight.
 
     ``order`` must be a total order inside each group. Nulls sort first.
     """
     group = list(group or [])
+    slices = slices or _slice_count(df)
     cut = df.withColumn("_slice", _slice_of(df, order, _split_points(df, order, slices)))
     per_slice = cut.groupBy(*group, "_slice").agg(
         *[F.sum(w).alias(f"_sum_{name}") for name, w in totals.items()])
@@ -84,7 +95,7 @@ def running_total(df: DataFrame, order: list[str], totals: dict[str, str],
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "position",
-             group: list[str] | None = None, slices: int = 64) -> DataFrame:
+             group: list[str] | None = None, slices: int | None = None) -> DataFrame:
     """Row numbers from 1 over a total order, over all rows or inside each group."""
     out = running_total(df.withColumn("_one", F.lit(1).cast("long")), order, {name: "_one"},
                         group, slices)

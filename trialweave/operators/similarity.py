@@ -5,12 +5,17 @@ word sets through their rarest words, so the work follows the number of near mat
 """
 from __future__ import annotations
 
+import sys
 from difflib import SequenceMatcher
 from itertools import combinations
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
+# Workers get these small functions by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TOKEN_RATIO = 0.85
 # Words up to this length are matched through deletions, longer pairs through pieces.
 SHORT = 10

@@ -2,14 +2,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K
-from ..functions.cells import site_or_default, strip
+from ..functions.cells import number, site_or_default, strip
 from ..functions.text import decode, ticked_labels
 from ..plans.dictionary import CODED, Dictionary
-from ..plans.logic import LogicCompiler, gates
+from ..plans.logic import DOES_NOT, LogicCompiler, compared_as_numbers, gates
 from .ordering import last_per_key
 
 WITH_CODES, WITHOUT_CODES = "with_MDC", "no_MDC"
@@ -42,62 +43,87 @@ def with_site(records: DataFrame, site_field: str = K.SITE_FIELD,
     return records.withColumn(site_field, value)
 
 
+NUMBER, WHY, APPLICABLE, STATE = "_number_", "_why_", "_applies_", "_state_"
+BLANK, ONLY_CODES = 1, 3
+
+
 class _Cells:
-    """The per-cell verdicts of one record table, as Columns."""
+    """The per-cell verdicts of one prepared record table, as Columns."""
 
     def __init__(self, records: DataFrame, dictionary: Dictionary, sentinels, order_free: bool):
         self.columns = records.columns
         self.dictionary = dictionary
         self.sentinels = sentinels
         self.order_free = order_free
-        self.compiler = LogicCompiler(records.columns)
+        numbers = {c[len(NUMBER):]: c for c in records.columns if c.startswith(NUMBER)}
+        self.compiler = LogicCompiler(records.columns, trimmed=True, numbers=numbers)
 
     def value(self, name: str) -> Column:
         field = self.dictionary[name]
         if field.is_checkbox:
             options = self.dictionary.option_columns(name, self.columns)
-            marks = [F.when(strip(c) == "1", F.lit(code)) for code, c in options.items()]
+            marks = [F.when(F.col(f"`{c}`") == "1", F.lit(code)) for code, c in options.items()]
             return F.concat_ws(",", *marks) if marks else F.lit("")
-        return strip(F.col(f"`{name}`")) if name in self.columns else F.lit("")
+        return F.col(f"`{name}`") if name in self.columns else F.lit("")
 
     def missing(self, name: str) -> Column:
-        """``blank``, ``sentinel`` or null."""
+        """``BLANK``, ``ONLY_CODES`` or 0."""
         field = self.dictionary[name]
         if field.is_checkbox:
             options = self.dictionary.option_columns(name, self.columns)
-            ticked = [(code, strip(c) == "1") for code, c in options.items()]
-            any_of = lambda cols: F.greatest(*cols, F.lit(False)) if cols else F.lit(False)
+            ticked = [(code, F.col(f"`{c}`") == "1") for code, c in options.items()]
+            any_of = lambda marks: reduce(lambda a, b: a | b, marks, F.lit(False))
             real = any_of([t for code, t in ticked if code not in self.sentinels])
-            some = any_of([t for _, t in ticked])
-            return F.when(~some, "blank").when(~real, "sentinel")
+            code = any_of([t for code, t in ticked if code in self.sentinels])
+            return F.when(real, 0).when(code, ONLY_CODES).otherwise(BLANK)
         value = self.value(name)
-        return F.when(value == "", "blank").when(value.isin(*self.sentinels), "sentinel")
+        return F.when(value == "", BLANK).when(value.isin(*self.sentinels), ONLY_CODES).otherwise(0)
+
+    def staged(self, table: DataFrame, names: list[str]) -> DataFrame:
+        """Add each field's state: 0 nothing to do; 1 and 2 blank, 3 and 4 only missing codes; odd
+        when the condition was certain.
+
+        The parts are columns of their own, which keeps every generated expression small.
+        """
+        names = list(dict.fromkeys(names))
+        asked = [n for n in names if self.dictionary[n].branching_logic.strip()]
+        parts = table.select(
+            "*", *[self.missing(n).alias((WHY if n in asked else STATE) + n) for n in names],
+            *[self.compiler.applicability(self.dictionary[n].branching_logic, self.order_free)
+              .alias(APPLICABLE + n) for n in asked])
+        why, applies = lambda n: F.col(WHY + n), lambda n: F.col(APPLICABLE + n)
+        return parts.select("*", *[
+            F.when((why(n) > 0) & (applies(n) != DOES_NOT), why(n) + applies(n) - 1).otherwise(0)
+            .alias(STATE + n) for n in asked])
 
     def cell(self, workbook: str, name: str) -> Column:
         """The flagged cell as a struct, or null when there is nothing to do."""
-        applies, certain = self.compiler.applicability(
-            self.dictionary[name].branching_logic, self.order_free)
-        why = self.missing(name)
-        flag = F.when(certain, "gap").otherwise("uncertain")
+        state = F.col(STATE + name)
         return F.when(
-            applies & why.isNotNull(),
+            state > 0,
             F.struct(F.lit(workbook).alias("workbook"), F.lit(name).alias("field"),
-                     self.value(name).alias("value"), why.alias("reason"), flag.alias("flag")),
-        )
+                     self.value(name).alias("value"),
+                     F.when(state <= 2, "blank").otherwise("sentinel").alias("reason"),
+                     F.when(state % 2 == 1, "gap").otherwise("uncertain").alias("flag")))
+
 
+def _prepared(records, dictionary, workbooks, id_cols, site_field, seq):
+    """Site filled, columns pruned to what the workbooks read and stripped once, last duplicate kept.
 
-def _prepared(records, dictionary, workbooks, id_cols, site_field, seq, extra=()):
-    """Site filled, columns pruned to what the workbooks read, last duplicate kept."""
+    Fields that some condition puts in order get a column that holds them as a double.
+    """
     records = with_site(records, site_field)
     wanted = [f for w in workbooks for f in w.fields if f in dictionary]
-    read = list(dict.fromkeys(wanted + [g for f in wanted
-                                        for g in gates(dictionary[f].branching_logic)]))
-    keep = list(dict.fromkeys([*id_cols, site_field, *extra,
-                               *dictionary.columns_for(read, records.columns)]))
+    logic = [dictionary[f].branching_logic for f in wanted]
+    read = list(dict.fromkeys(wanted + [g for text in logic for g in gates(text)]))
+    cells = [c for c in dictionary.columns_for(read, records.columns)
+             if c not in (*id_cols, site_field)]
+    table = records.select(*id_cols, site_field, *[strip(F.col(f"`{c}`")).alias(c) for c in cells],
+                           *([seq] if seq else []))
     if seq:
-        keyed = records.select(*keep, seq)
-        return last_per_key(keyed, [id_cols[0]], [seq]).drop(seq)
-    return records.select(*keep)
+        table = last_per_key(table, [id_cols[0]], [seq]).drop(seq)
+    ordered = dict.fromkeys(f for text in logic for f in compared_as_numbers(text) if f in cells)
+    return table.select("*", *[number(f, trimmed=True).alias(NUMBER + f) for f in ordered])
 
 
 def worklist_cells(records: DataFrame, dictionary: Dictionary, workbooks: list[Workbook],
@@ -112,11 +138,15 @@ def worklist_cells(records: DataFrame, dictionary: Dictionary, workbooks: list[W
     ids = list(id_cols or [dictionary.id_field])
     table = _prepared(records, dictionary, workbooks, ids, site_field, seq)
     cells = _Cells(table, dictionary, sentinels, order_free)
-    flagged = [cells.cell(w.name, f) for w in workbooks for f in w.fields if f in dictionary]
-    if not flagged:
+    pairs = [(w.name, f) for w in workbooks for f in w.fields if f in dictionary]
+    if not pairs:
         raise ValueError("no workbook names a field of the dictionary")
-    one = table.select(*ids, F.col(site_field).alias("site"),
-                       F.explode(F.array_compact(F.array(*flagged))).alias("cell"))
+    staged = cells.staged(table, [f for _, f in pairs])
+    listed = staged.select(*ids, F.col(site_field).alias("site"),
+                           F.array(*[cells.cell(w, f) for w, f in pairs]).alias("_cells"))
+    # A plain explode would push a size check of the whole array below; the array is never empty.
+    one = listed.select(*ids, "site", F.explode_outer("_cells").alias("cell")).where(
+        F.col("cell").isNotNull())
     modes = F.when(F.col("cell.reason") == "blank", F.array(*map(F.lit, MODES))) \
         .otherwise(F.array(F.lit(WITH_CODES)))
     return one.select(*ids, "site", F.explode(modes).alias("mode"), "cell.workbook", "cell.field",
@@ -129,36 +159,32 @@ def worklist_counts(records: DataFrame, dictionary: Dictionary, workbooks: list[
                     order_free: bool = False) -> DataFrame:
     """A2: rows with work, gap and uncertain cells per workbook, site and mode.
 
-    Counted per record before anything is exploded, so the only shuffle carries one row per
-    workbook, site and mode from each task.
+    Cells are counted inside each record and summed by site, so nothing is exploded before the
+    only shuffle, which carries one row per site from each task.
     """
     ids = list(id_cols or [dictionary.id_field])
     table = _prepared(records, dictionary, workbooks, ids, site_field, seq)
     cells = _Cells(table, dictionary, sentinels, order_free)
-    tallies = []
-    for w in workbooks:
-        names = [f for f in w.fields if f in dictionary]
-        if not names:
-            continue
-        flagged = F.array_compact(F.array(*[cells.cell(w.name, f) for f in names]))
-        tallies.append((w.name, flagged))
-    listed = table.select(F.col(site_field).alias("site"), *[
-        flagged.alias(f"_w{i}") for i, (_, flagged) in enumerate(tallies)])
-    rows = []
-    for i, (name, _) in enumerate(tallies):
-        for mode in MODES:
-            kept = F.col(f"_w{i}") if mode == WITH_CODES else F.filter(
-                f"_w{i}", lambda c: c["reason"] == "blank")
-            gaps = F.size(F.filter(kept, lambda c: c["flag"] == "gap"))
-            rows.append(F.struct(F.lit(name).alias("workbook"), F.lit(mode).alias("mode"),
-                                 gaps.alias("gap"), (F.size(kept) - gaps).alias("uncertain")))
-    per_record = listed.select("site", F.explode(F.array(*rows)).alias("r")).select("site", "r.*")
-    return (
-        per_record.where(F.col("gap") + F.col("uncertain") > 0)
-        .groupBy("workbook", "site", "mode")
-        .agg(F.count(F.lit(1)).alias("rows_with_work"), F.sum("gap").alias("gap_cells"),
-             F.sum("uncertain").alias("uncertain_cells"))
-    )
+    staged = cells.staged(table, [f for w in workbooks for f in w.fields if f in dictionary])
+    tallies, totals, lines = [], [], []
+    for i, w in enumerate(workbooks):
+        states = [F.col(STATE + f) for f in w.fields if f in dictionary]
+        for mode in MODES if states else ():
+            kinds = ((1, 3), (2, 4)) if mode == WITH_CODES else ((1,), (2,))
+            gap, doubt = f"_g{i}{mode}", f"_u{i}{mode}"
+            for name, codes in zip((gap, doubt), kinds):
+                tallies.append(reduce(lambda a, b: a + b, [
+                    F.when(s.isin(*codes), 1).otherwise(0) for s in states]).alias(name))
+            totals += [F.count_if(F.col(gap) + F.col(doubt) > 0).alias(f"_r{gap}"),
+                       F.sum(gap).alias(f"_s{gap}"), F.sum(doubt).alias(f"_s{doubt}")]
+            lines.append(F.struct(
+                F.lit(w.name).alias("workbook"), F.lit(mode).alias("mode"),
+                F.col(f"_r{gap}").alias("rows_with_work"), F.col(f"_s{gap}").alias("gap_cells"),
+                F.col(f"_s{doubt}").alias("uncertain_cells")))
+    by_site = staged.select(F.col(site_field).alias("site"), *tallies).groupBy("site").agg(*totals)
+    return by_site.select("site", F.explode(F.array(*lines)).alias("l")).where(
+        F.col("l.rows_with_work") > 0).select(
+        "l.workbook", "site", "l.mode", "l.rows_with_work", "l.gap_cells", "l.uncertain_cells")
 
 
 def field_counts(cells: DataFrame) -> DataFrame:
@@ -215,7 +241,8 @@ def worklist_sheet(records: DataFrame, dictionary: Dictionary, workbook: Workboo
     if mode == WITHOUT_CODES:
         flagged = F.filter(flagged, lambda c: c["reason"] == "blank")
     labels = dictionary.label_map(order)
-    shown = table.withColumn("_flagged", flagged).where(F.size("_flagged") > 0)
+    shown = cells.staged(table, fields).withColumn("_flagged", flagged).where(
+        F.size("_flagged") > 0)
     return shown.select(
         *ids, F.col(site_field).alias("site"),
         *[_shown(dictionary, f, table.columns).alias(labels[f]) for f in order],

@@ -19,6 +19,7 @@ FULL_CLAUSE = re.compile(
 )
 # The narrower shape of import linting: equality with a single-quoted value.
 QUOTED_CLAUSE = re.compile(r"\[(?P<field>\w+)(?:\((?P<option>-?\w+)\))?\]\s*=\s*'(?P<value>[^']*)'")
+DOES_NOT, APPLIES, PERHAPS = 0, 1, 2
 COMPARE = {
     "<": lambda a, b: a < b,
     ">": lambda a, b: a > b,
@@ -80,36 +81,52 @@ def import_clauses(text: str) -> list[Clause] | None:
     return out
 
 
+def compared_as_numbers(text: str) -> list[str]:
+    """Fields that the logic puts in order rather than testing for equality."""
+    parsed = (parse_clause(c) for part in branches(text) for c in part)
+    return list(dict.fromkeys(c.field for c in parsed if c and c.op in COMPARE and not c.option))
+
+
 class LogicCompiler:
-    """Builds applicability Columns against a known set of record columns."""
+    """Builds applicability Columns against a known set of record columns.
+
+    ``trimmed`` says the columns are stripped already, and ``numbers`` maps a column to one that
+    holds it as a double, so that many conditions can share one conversion.
+    """
 
-    def __init__(self, columns):
+    def __init__(self, columns, trimmed: bool = False, numbers: dict[str, str] | None = None):
         self.columns = set(columns)
+        self.trimmed = trimmed
+        self.numbers = numbers or {}
 
     def cell(self, clause: Clause) -> Column:
         names = (clause.field,) if clause.option is None \
             else checkbox_spellings(clause.field, clause.option)
         hit = next((n for n in names if n in self.columns), None)
-        return strip(F.col(f"`{hit}`")) if hit else F.lit("")
+        if hit is None:
+            return F.lit("")
+        return F.col(f"`{hit}`") if self.trimmed else strip(F.col(f"`{hit}`"))
 
-    def clause(self, text: str) -> Column | None:
-        """Three-valued: true, false, or null for unknown. None when statically unreadable."""
+    def clause(self, text: str) -> tuple[Column, Column | None]:
+        """(holds, cannot be told), the second None when the clause always can be told."""
         parsed = parse_clause(text)
         if parsed is None:
-            return None
+            return F.lit(False), F.lit(True)
         actual = self.cell(parsed)
         want = parsed.value.strip()
         if parsed.op == "=":
-            return actual == want
+            return actual == want, None
         if parsed.op in ("<>", "!="):
-            return actual != want
+            return actual != want, None
         if not re.fullmatch(NUMBER.strip("^$"), want):
-            return F.when(actual == "", False)
-        return F.when(actual == "", False).otherwise(
-            COMPARE[parsed.op](number(actual), F.lit(float(want))))
+            return F.lit(False), actual != ""
+        ready = self.numbers.get(parsed.field) if parsed.option is None else None
+        value = F.col(ready) if ready else number(actual, trimmed=True)
+        holds = F.coalesce(COMPARE[parsed.op](value, F.lit(float(want))), F.lit(False))
+        return holds, (actual != "") & value.isNull()
 
-    def applicability(self, text: str, order_free: bool = False) -> tuple[Column, Column]:
-        """(applies, certain), both never null.
+    def applicability(self, text: str, order_free: bool = False) -> Column:
+        """``APPLIES``, ``PERHAPS`` or ``DOES_NOT``, never null.
 
         By default clauses are read left to right: an AND part stops at its first false clause,
         so an unknown clause only counts when it comes before that. ``order_free`` uses plain
@@ -117,27 +134,33 @@ class LogicCompiler:
         """
         parts = [[self.clause(c) for c in part] for part in branches(text)]
         if not parts:
-            return F.lit(True), F.lit(True)
-        unknown = F.lit(None).cast("boolean")
-        parts = [[unknown if c is None else c for c in part] for part in parts]
+            return F.lit(APPLIES)
         satisfied = reduce(lambda a, b: a | b, [
-            reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for c in part])
-            for part in parts])
-        if order_free:
-            whole = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, p) for p in parts])
-            doubtful = whole.isNull()
-        else:
-            doubtful = reduce(lambda a, b: a | b, [self._meets_unknown(p) for p in parts])
-        certain = satisfied | ~doubtful
-        return satisfied | doubtful, certain
+            reduce(lambda a, b: a & b, [holds for holds, _ in part]) for part in parts])
+        out = F.when(satisfied, APPLIES)
+        meets = self._some_unknown if order_free else self._meets_unknown
+        doubts = [meets(part) for part in parts if any(u is not None for _, u in part)]
+        if doubts:
+            out = out.when(reduce(lambda a, b: a | b, doubts), PERHAPS)
+        return out.otherwise(DOES_NOT)
 
     @staticmethod
-    def _meets_unknown(part: list[Column]) -> Column:
-        out = F.lit(False)
-        for c in reversed(part):
-            out = F.when(c.isNull(), True).when(~c, False).otherwise(out)
+    def _meets_unknown(part: list[tuple[Column, Column | None]]) -> Column:
+        """An unknown clause is reached before any false one."""
+        while part[-1][1] is None:
+            part = part[:-1]
+        out = part[-1][1]
+        for holds, unknown in reversed(part[:-1]):
+            out = holds & out if unknown is None else unknown | (holds & out)
         return out
 
+    @staticmethod
+    def _some_unknown(part: list[tuple[Column, Column | None]]) -> Column:
+        """An unknown clause, and no clause that is false."""
+        unknowns = [u for _, u in part if u is not None]
+        alive = [h if u is None else h | u for h, u in part]
+        return reduce(lambda a, b: a & b, alive) & reduce(lambda a, b: a | b, unknowns)
+
     def parent_true(self, clauses: list[Clause]) -> Column:
         return reduce(lambda a, b: a | b, [self.cell(c) == c.value.strip() for c in clauses])
 
