@@ -1,9 +1,11 @@
-"""Cutting the lineage of loops in storage that outlives an executor."""
+"""Cutting lineage in storage that outlives an executor, and broadcasts behind a size check."""
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+BROADCAST_ROWS = 10_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -18,3 +20,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="trialweave-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame with a broadcast hint if it has at most ``rows`` narrow rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K
 from ..functions.cells import strip
+from .lineage import small_side
 
 
 def is_done(marker, done: str = K.DONE_VALUE) -> Column:
@@ -65,8 +66,8 @@ def queue_diff(previous: DataFrame, current: DataFrame, key: list[str] | None =
     """
     keys = key or ["queue", "record_id"]
     head = keys[0]
-    readable = previous.select(head).distinct().join(
-        current.select(head).distinct(), head, "left_semi")
+    readable = small_side(previous.select(head).distinct().join(
+        current.select(head).distinct(), head, "left_semi"))
     snap = lambda df, name: df.groupBy(*keys).agg(F.max("status").alias(name))
     both = snap(previous, "before").join(snap(current, "after"), keys, "full_outer")
     before, after = F.col("before"), F.col("after")
@@ -77,7 +78,7 @@ def queue_diff(previous: DataFrame, current: DataFrame, key: list[str] | None =
         .when(after == "open", "still_open")
         .when(before == "done", "still_done")
         .otherwise("newly_done"))
-    return both.join(F.broadcast(readable), head, "left_semi").select(
+    return both.join(readable, head, "left_semi").select(
         *keys, change.alias("change"),
         ((after == "done") & before.isNull()).alias("unseen_before")).fillna(
         False, ["unseen_before"])

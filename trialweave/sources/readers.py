@@ -71,18 +71,17 @@ def union_payloads(frames: list[DataFrame]) -> DataFrame:
     return blanks(stacked.select(*order))
 
 
-def read_drafts(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
+def read_drafts(spark: SparkSession, folder: str) -> DataFrame:
     """Every ``<site>_<workbook>.csv`` of a folder, with both names taken from the file name.
 
-    Files may differ in their columns: each header is read on its own, files that share a header
-    are read together, and the parts are united.
+    Files may differ in their columns: one job finds the headers, files that share a header are
+    read together, and the parts are united.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder) \
-        .select("path").orderBy("path").collect()
-    groups: dict[tuple, list[str]] = {}
-    for row in files:
-        head = spark.read.options(**CSV).csv(row.path).columns
-        groups.setdefault(tuple(head), []).append(row.path)
+    heads = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select(
+        "path", F.substring_index(F.decode("content", F.lit("UTF-8")), "\n", 1).alias("head"))
+    groups: dict[str, list[str]] = {}
+    for row in heads.orderBy("path").collect():
+        groups.setdefault(row.head.strip(), []).append(row.path)
     if not groups:
         raise ValueError(f"no drafts in {folder}")
     return union_payloads([with_draft_names(read_export(spark, paths))
