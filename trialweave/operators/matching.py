@@ -6,14 +6,15 @@ from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.cells import strip
 from ..functions.text import hospital_key, name_tokens, title_key
 from .lineage import checkpointed
-from .ordering import numbered, running_total, smallest_per_key
+from .ordering import numbered, smallest_per_key
 from .similarity import (
     TOKEN_RATIO, _percent, matching_tokens, overlapping_sets, ratio_column, sequence_ratio,
+    spread,
 )
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -54,8 +55,9 @@ def name_pairs(left: DataFrame, right: DataFrame, min_name: float, method: str,
         @F.pandas_udf("int")
         def count_hits(xs: pd.Series, ys: pd.Series) -> pd.Series:
             return pd.Series([
-                sum(any(sequence_ratio(x, y) >= token_ratio for y in b) for x in a)
+                sum(any(sequence_ratio(x, y, token_ratio) >= token_ratio for y in b) for x in a)
                 for a, b in zip(xs, ys)], dtype="int32")
+        full = spread(full, "a", "b")
         hits = count_hits("_ta", "_tb")
     longest = F.greatest(F.size("_ta"), F.size("_tb"))
     return full.select("a", "b", hits.alias("_hits"), longest.alias("_longest")) \
@@ -155,8 +157,10 @@ def title_pairs(left: DataFrame, right: DataFrame, min_ratio: float, min_words:
     common = F.size(F.array_intersect("_ta", "_tb"))
     longest = F.greatest(F.size("_ta"), F.size("_tb"))
     near = full.where(common * 100 >= longest * percent).select("a", "b")
-    return near.select("a", "b", ratio_column(F.col("a"), F.col("b"), method).alias("ratio")) \
-        .where(F.col("ratio") >= min_ratio)
+    if method == "sequence":
+        near = spread(near, "a", "b")
+    ratio = ratio_column(F.col("a"), F.col("b"), method, min_ratio)
+    return near.select("a", "b", ratio.alias("ratio")).where(F.col("ratio") >= min_ratio)
 
 
 def _allocate(pairs: DataFrame, left_cap: DataFrame, right_cap: DataFrame) -> DataFrame:
@@ -168,8 +172,9 @@ def _allocate(pairs: DataFrame, left_cap: DataFrame, right_cap: DataFrame) -> Da
     checkpoint of the pairs still open, and only pairs whose titles have records left stay in.
     """
     rank = F.struct((-F.col("ratio")).alias("r"), "a", "b")
-    state = pairs.join(left_cap, "a").join(right_cap, "b").select(
-        "a", "b", "ratio", "left_n", "right_n")
+    # The ratios are costly and every round reads the pairs three times.
+    state = checkpointed(pairs.join(left_cap, "a").join(right_cap, "b").select(
+        "a", "b", "ratio", "left_n", "right_n"))
     done, turn = [], 0
     while True:
         best_of_left = state.groupBy("a").agg(F.min(rank).alias("_bl"))
@@ -240,9 +245,12 @@ def match_titles(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
 
 def _spans(dealt: DataFrame, side: str) -> DataFrame:
-    """Where each allocation starts among its title's records, in round order."""
-    total = running_total(dealt, ["round", "a", "b"], {"_upto": "quantity"}, [side])
-    return total.withColumn(f"_from_{side}", F.col("_upto") - F.col("quantity")).drop("_upto")
+    """Where each allocation starts among its title's records, in round order.
+
+    A title gets at most one partner per round, so a window holds no more rows than rounds.
+    """
+    upto = F.sum("quantity").over(Window.partitionBy(side).orderBy("round"))
+    return dealt.withColumn(f"_from_{side}", upto - F.col("quantity"))
 
 
 def merge_master(existing: DataFrame, incoming: DataFrame, matches: DataFrame,

@@ -27,23 +27,39 @@ def _check(method: str):
         raise ValueError(f"similarity {method!r} is none of {METHODS}")
 
 
-def sequence_ratio(a: str, b: str) -> float:
-    """matching-block ratio; depends on the argument order."""
-    return SequenceMatcher(None, a, b).ratio()
+def sequence_ratio(a: str, b: str, at_least: float = 0.0) -> float:
+    """matching-block ratio; depends on the argument order.
+
+    Pairs whose upper bounds already fall short of ``at_least`` give 0 without being aligned.
+    """
+    matcher = SequenceMatcher(None, a, b)
+    if matcher.real_quick_ratio() < at_least or matcher.quick_ratio() < at_least:
+        return 0.0
+    return matcher.ratio()
 
 
-def ratio_column(a: Column, b: Column, method: str) -> Column:
-    """Similarity of two texts between 0 and 1."""
+def ratio_column(a: Column, b: Column, method: str, at_least: float = 0.0) -> Column:
+    """Similarity of two texts between 0 and 1; see ``sequence_ratio`` for ``at_least``."""
     _check(method)
     if method == "sequence":
         @F.pandas_udf("double")
         def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-            return pd.Series([sequence_ratio(p, q) for p, q in zip(x, y)], dtype="float64")
+            return pd.Series([sequence_ratio(p, q, at_least) for p, q in zip(x, y)],
+                             dtype="float64")
         return ratio(a, b)
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(F.lit(1.0) - F.levenshtein(a, b) / longest)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt evenly over the cluster before work that costs far more than its bytes suggest.
+
+    A stated number of partitions also keeps adaptive execution from merging them by size.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *columns)
+
+
 def _percent(threshold: float) -> int:
     return round(threshold * 100)
 
@@ -123,8 +139,9 @@ def matching_tokens(left: DataFrame, right: DataFrame, method: str,
         limit = F.floor(longest * (100 - percent) / 100)
         return pairs.where(longest - shortest <= limit).distinct().where(
             F.levenshtein("left_token", "right_token") <= limit)
-    return pairs.where(shortest * (200 - percent) >= longest * percent).distinct().where(
-        ratio_column(F.col("left_token"), F.col("right_token"), method) >= threshold)
+    sized = pairs.where(shortest * (200 - percent) >= longest * percent).distinct()
+    return spread(sized, "left_token", "right_token").where(
+        ratio_column(F.col("left_token"), F.col("right_token"), method, threshold) >= threshold)
 
 
 def overlapping_sets(left: DataFrame, right: DataFrame, percent: int,

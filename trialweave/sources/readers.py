@@ -78,7 +78,7 @@ def read_drafts(spark: SparkSession, folder: str) -> DataFrame:
     read together, and the parts are united.
     """
     heads = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select(
-        "path", F.substring_index(F.decode("content", F.lit("UTF-8")), "\n", 1).alias("head"))
+        "path", F.substring_index(F.decode("content", "UTF-8"), "\n", 1).alias("head"))
     groups: dict[str, list[str]] = {}
     for row in heads.orderBy("path").collect():
         groups.setdefault(row.head.strip(), []).append(row.path)
