@@ -166,22 +166,33 @@ def worklist_counts(records: DataFrame, dictionary: Dictionary, workbooks: list[
     table = _prepared(records, dictionary, workbooks, ids, site_field, seq)
     cells = _Cells(table, dictionary, sentinels, order_free)
     staged = cells.staged(table, [f for w in workbooks for f in w.fields if f in dictionary])
-    tallies, totals, lines = [], [], []
+    # One number per record and workbook holds four 16-bit tallies, one per state, so each field
+    # costs one addition whatever the modes need.
+    packed, tallies, totals, lines = [], [], [], []
     for i, w in enumerate(workbooks):
         states = [F.col(STATE + f) for f in w.fields if f in dictionary]
-        for mode in MODES if states else ():
-            kinds = ((1, 3), (2, 4)) if mode == WITH_CODES else ((1,), (2,))
+        if not states:
+            continue
+        if len(states) > 0x7FFF:
+            raise ValueError(f"workbook {w.name!r} has more fields than a tally can hold")
+        one = F.lit(1).cast("long")
+        packed.append(reduce(lambda a, b: a + b, [
+            F.when(s > 0, F.call_function("shiftleft", one, (s - 1) * 16)).otherwise(0)
+            for s in states]).alias(f"_p{i}"))
+        held = lambda state: F.shiftrightunsigned(f"_p{i}", (state - 1) * 16).bitwiseAND(0xFFFF)
+        for mode in MODES:
             gap, doubt = f"_g{i}{mode}", f"_u{i}{mode}"
-            for name, codes in zip((gap, doubt), kinds):
-                tallies.append(reduce(lambda a, b: a + b, [
-                    F.when(s.isin(*codes), 1).otherwise(0) for s in states]).alias(name))
+            with_codes = mode == WITH_CODES
+            tallies += [(held(1) + held(3) if with_codes else held(1)).alias(gap),
+                        (held(2) + held(4) if with_codes else held(2)).alias(doubt)]
             totals += [F.count_if(F.col(gap) + F.col(doubt) > 0).alias(f"_r{gap}"),
                        F.sum(gap).alias(f"_s{gap}"), F.sum(doubt).alias(f"_s{doubt}")]
             lines.append(F.struct(
                 F.lit(w.name).alias("workbook"), F.lit(mode).alias("mode"),
                 F.col(f"_r{gap}").alias("rows_with_work"), F.col(f"_s{gap}").alias("gap_cells"),
                 F.col(f"_s{doubt}").alias("uncertain_cells")))
-    by_site = staged.select(F.col(site_field).alias("site"), *tallies).groupBy("site").agg(*totals)
+    per_record = staged.select(F.col(site_field).alias("site"), *packed)
+    by_site = per_record.select("site", *tallies).groupBy("site").agg(*totals)
     return by_site.select("site", F.explode(F.array(*lines)).alias("l")).where(
         F.col("l.rows_with_work") > 0).select(
         "l.workbook", "site", "l.mode", "l.rows_with_work", "l.gap_cells", "l.uncertain_cells")

@@ -10,9 +10,6 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "trialw
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        # The JVM does not compile methods over 8000 bytes; wide dictionaries reach that, and
-        # operators generated one by one split their code.
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
