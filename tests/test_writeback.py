@@ -44,6 +44,13 @@ def test_last_row_of_a_repeated_id_wins(spark, rows):
     assert rows(d.cells()) == [("1", "a", "kept", "kept", "noop")]
 
 
+def test_repeated_ids_do_not_multiply(spark, rows):
+    old = make(spark, ("id", "a"), *[("1", str(i)) for i in range(9)])
+    new = make(spark, ("id", "a"), *[("1", str(i)) for i in range(7)])
+    assert rows(D.CellDiff(new, old, "id").cells()) == [("1", "a", "8", "6", "conflict")]
+    assert D.verify_live(new, old, "id").count() == 7
+
+
 def test_no_shared_fields_is_refused(spark):
     with pytest.raises(ValueError):
         D.CellDiff(make(spark, ("id", "a"), ("1", "x")), make(spark, ("id", "b"), ("1", "x")), "id")

@@ -55,7 +55,7 @@ alone AS (SELECT * FROM notes WHERE note <> '' AND record_id NOT IN
 
 
 def _changes(spark, sf):
-    return A.returned_audit(_sent(spark, sf), _returned(spark, sf))
+    return A.returned_audit(_sent(spark, sf), _returned(spark, sf), unique=True)
 
 
 @query(f"WITH {_SHEET_SQL} SELECT record_id, field, sent, flag, returned, outcome FROM changes")

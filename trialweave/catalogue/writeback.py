@@ -11,7 +11,7 @@ from .registry import query, table
 
 
 def _diff(spark, sf):
-    return D.CellDiff(S.computed(spark, sf), S.study(spark, sf), "record_id")
+    return D.CellDiff(S.computed(spark, sf), S.study(spark, sf), "record_id", unique=True)
 
 
 @query(f"WITH {S.DIFF_SQL} SELECT field, verdict, count(*) AS cells FROM verdicts GROUP BY ALL")
@@ -85,12 +85,13 @@ def _planned(spark, sf):
 
 @query(_LIVE.format(body=S.STUDY_SQL, differs="live <> ''"))
 def verify_live(spark, sf):
-    return D.verify_live(_planned(spark, sf), S.study(spark, sf), "record_id")
+    return D.verify_live(_planned(spark, sf), S.study(spark, sf), "record_id", unique=True)
 
 
 @query(_LIVE.format(body=S.STUDY_SQL, differs="live <> '' AND value <> '0'"))
 def verify_live_reference(spark, sf):
-    return D.verify_live(_planned(spark, sf), S.study(spark, sf), "record_id", "reference")
+    return D.verify_live(_planned(spark, sf), S.study(spark, sf), "record_id", "reference",
+                         unique=True)
 
 
 @query("""SELECT o_orderkey, o_orderstatus AS old, CASE WHEN o_totalprice > 200000 THEN 'F'

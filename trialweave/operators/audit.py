@@ -29,16 +29,22 @@ def sheet_notes(sheet: DataFrame, id_cols: list[str], response: str = "RESPONSE"
                         strip(sheet[response]).alias("note")).where(F.col("record_id") != "")
 
 
-def returned_audit(sent: DataFrame, returned: DataFrame) -> DataFrame:
+def returned_audit(sent: DataFrame, returned: DataFrame, unique: bool = False) -> DataFrame:
     """Every cell that came back different from what was sent.
 
     ``sent`` is (record_id, field, value, flag) over all shown cells, flag null where nothing was
     asked; ``returned`` is (record_id, field, value). The outcome is ``answer`` for a flagged gap,
     ``uncertain_answer`` where it was unclear whether the field applies, and ``out_of_scope`` for
     an edit to a cell that was never flagged. A blank reply to a flagged cell is no change.
+    A cell that occurs twice on a side counts once, with its greatest value; ``unique`` says that
+    none does.
     """
     back = returned.select("record_id", "field", strip("value").alias("returned"))
     seen = sent.select("record_id", "field", strip("value").alias("sent"), "flag")
+    if not unique:
+        back = back.groupBy("record_id", "field").agg(F.max("returned").alias("returned"))
+        seen = seen.groupBy("record_id", "field").agg(
+            F.max(F.struct("sent", "flag")).alias("_s")).select("record_id", "field", "_s.*")
     return seen.join(back, ["record_id", "field"]).where(
         (F.col("returned") != F.col("sent"))
         & ((F.col("returned") != "") | F.col("flag").isNull())

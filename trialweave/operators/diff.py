@@ -17,16 +17,33 @@ def shared_fields(computed: DataFrame, current: DataFrame, id_field: str,
     return [c for c in computed.columns if c in current.columns and c not in skip]
 
 
+def _one_per_key(df: DataFrame, unique: bool) -> DataFrame:
+    """One row per ``_key``, so that repeated ids never multiply in a join.
+
+    Without an input order the row with the greatest values stands for the id. The aggregate
+    leaves the rows partitioned the way the join needs them.
+    """
+    if unique:
+        return df
+    rest = [c for c in df.columns if c != "_key"]
+    if not rest:
+        return df.distinct()
+    return df.groupBy("_key").agg(F.max(F.struct(*rest)).alias("_row")).select(
+        "_key", *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
 class CellDiff:
     """Computed against current, cell by cell, from one equi-join.
 
     Every frame below is a projection or a filter of that join. ``seq`` names the input order
-    column on both sides; with it the last row of a repeated id is the record.
+    column on both sides; with it the last row of a repeated id is the record. ``unique`` says
+    that no id repeats, which saves looking.
     """
 
     def __init__(self, computed: DataFrame, current: DataFrame, id_field: str,
                  fields: list[str] | None = None, key_mode: str = "trim",
-                 exclude=(K.SITE_FIELD,), seq: str | None = None):
+                 exclude=(K.SITE_FIELD,), seq: str | None = None, unique: bool = False):
+        self.unique = unique
         skip = (*exclude, seq) if seq else exclude
         self.id_field = id_field
         self.fields = list(fields or shared_fields(computed, current, id_field, skip))
@@ -44,6 +61,8 @@ class CellDiff:
             for f, n in zip(self.fields, names)], *([F.col(seq)] if seq else []))
         if seq:
             side = last_per_key(side, ["_key"], [seq]).drop(seq)
+        else:
+            side = _one_per_key(side, self.unique)
         return side.select("_key", *[norm_value(n, trimmed=True).alias(n) for n in names],
                            F.lit(True).alias(f"_in_{tag}"))
 
@@ -116,11 +135,12 @@ class CellDiff:
 
 
 def verify_live(planned: DataFrame, live: DataFrame, id_field: str, mode: str = "safe",
-                fields: list[str] | None = None) -> DataFrame:
+                fields: list[str] | None = None, unique: bool = False) -> DataFrame:
     """Planned cells against the live state: ``already_current``, ``conflict`` or ``keep``.
 
     Blank planned cells are skipped. ``safe`` compares normalised values and treats a planned 0
     like any other value; ``reference`` compares raw text and never calls a planned 0 a conflict.
+    Several drafts may plan for one record; ``unique`` says that no live id repeats.
     """
     if mode not in ("safe", "reference"):
         raise ValueError(f"mode {mode!r} is neither 'safe' nor 'reference'")
@@ -138,7 +158,7 @@ def verify_live(planned: DataFrame, live: DataFrame, id_field: str, mode: str =
                                       for c in cells.columns if c != "_key"])
 
     left = side(planned, "p", names, trim=safe).where(F.col("_key") != "")
-    joined = left.join(side(live, "l", present, trim=True), "_key", "left")
+    joined = left.join(_one_per_key(side(live, "l", present, trim=True), unique), "_key", "left")
     cells = joined.select(F.col("_key").alias(id_field), F.explode(F.array(*[
         F.struct(F.lit(n).alias("field"), F.col(f"_p_{i}").alias("planned"),
                  (F.coalesce(F.col(f"_l_{i}"), F.lit("")) if n in present else F.lit(""))
