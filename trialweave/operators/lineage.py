@@ -1,25 +1,25 @@
 """Cutting lineage in storage that outlives an executor, and broadcasts behind a size check."""
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_ROWS = 10_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the cluster names; a temporary one only in local mode."""
-    spark = df.sparkSession
+    """A reliable checkpoint in the folder the cluster names, or else in the shared warehouse."""
+    use_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def use_checkpoint_dir(spark: SparkSession) -> str:
+    """Set the checkpoint folder if none is set: ``spark.checkpoint.dir``, else the warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="trialweave-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(
+            folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return context.getCheckpointDir()
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
