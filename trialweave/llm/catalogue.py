@@ -4,8 +4,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, secrets
-from .common import table
+from . import byte_bpe, langid, quality, secrets, simhash, toxicity
+from .common import fold, table
 
 QUERIES: dict = {}
 #: None of these has SQL: they rest on hashes, models or tokenizers that DuckDB lacks. The tests
@@ -45,3 +45,42 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"),
         count("hex").alias("n_hex"), F.sha2(written(base), 256).alias("base_sha256"),
         written(F.col("spans")).alias("spans"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of the folds that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = toxicity.train(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
+    return toxicity.score(docs, machine).select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = langid.train(docs.where(fold(F.col("doc_id"), 4) != 2), path)
+    return langid.predict(docs, model, path).select(
+        "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        "component_id")
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the rows that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learn = fold(F.col("doc_id"), 4) != 2
+    network = quality.train(docs.where(learn), labels.where(learn))
+    return quality.score(docs, network).select(
+        "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
