@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, langid, quality, secrets, simhash, toxicity
+from . import byte_bpe, langid, packing, quality, secrets, simhash, toxicity
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -18,6 +18,14 @@ def query(fn):
     return fn
 
 
+@query
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in one of as few sequences of 1024 tokens as can be."""
+    return packing.pack(packing.tokenize(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes of every document."""
