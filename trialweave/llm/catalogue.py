@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, langid, packing, quality, secrets, simhash, toxicity
+from . import byte_bpe, digests, langid, packing, quality, secrets, simhash, toxicity
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -36,6 +36,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op7_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    done = digests.with_edits(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                       "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 @query
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of the plain spans, and all spans, of every document."""
