@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_arrow
+from .common import checkpointed, map_arrow
 
 BUCKET_BITS = 20
 #: Lengths of the beginnings that are terms; words up to LONGEST letters are terms as a whole.
@@ -94,20 +94,20 @@ def select_features(sample: DataFrame, features: int = FEATURES) -> np.ndarray:
              pa.array(np.append(seen[0, used], totals[0]), pa.int64()),
              pa.array(np.append(seen[1, used], totals[1]), pa.int64())], ["b", "n0", "n1"])
 
-    counts = (sample.mapInArrow(run, "b int, n0 long, n1 long").groupBy("b")
-              .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    # one row per bucket, of which there is a fixed number
-    got = counts.toPandas()
-    all_rows = got[got["b"] < 0]
-    n0, n1 = float(all_rows["n0"].sum()), float(all_rows["n1"].sum())
-    got = got[got["b"] >= 0].sort_values("b")
-    a, b = got["n1"].to_numpy(float), got["n0"].to_numpy(float)
-    if not len(got) or not n0 or not n1:
+    counts = checkpointed(sample.mapInArrow(run, "b int, n0 long, n1 long").groupBy("b")
+                          .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    totals = counts.where("b < 0").first()
+    if totals is None or not totals["n0"] or not totals["n1"]:
         return np.zeros(0, np.int64)
-    c, d = n1 - a, n0 - b
-    chi = (a * d - b * c) ** 2 * (n0 + n1) / ((a + b) * (c + d) * n1 * n0 + 1e-9)
-    best = np.lexsort((got["b"].to_numpy(), -chi))[:features]
-    return got["b"].to_numpy(np.int64)[best[chi[best] >= MIN_CHI_SQUARE]]
+    n0, n1 = float(totals["n0"]), float(totals["n1"])
+    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
+    cross = a * (n0 - b) - b * (n1 - a)
+    best = (counts.where("b >= 0")
+            .withColumn("chi", cross * cross * (n0 + n1)
+                        / ((a + b) * (n0 + n1 - a - b) * n0 * n1 + 1e-9))
+            .where(F.col("chi") >= MIN_CHI_SQUARE)
+            .orderBy(F.desc("chi"), "b").limit(features))
+    return np.array([r["b"] for r in best.collect()], np.int64)
 
 
 class Machine:
