@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, digests, embeddings, langid, packing, quality, secrets, simhash, toxicity
+from . import byte_bpe, digests, embeddings, langid, packing, quality, secrets, simhash, suffixes, toxicity
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -42,6 +42,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 200-byte strings that occur more than once."""
+    return suffixes.removed(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op7_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they are."""
