@@ -15,9 +15,9 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import map_arrow
+from .common import checkpointed, fresh, map_arrow
 from .components import components
 
 SHINGLE_WORDS = 3
@@ -60,20 +60,27 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                  width: int = SHINGLE_WORDS) -> DataFrame:
-    """Per row: ``doc_id`` and ``fp`` (the 64 bits as a signed long). Null and empty texts get 0.
+    """Per row: ``doc_id``, ``fp`` (the 64 bits as a signed long) and ``row``, a hash of id and text
+    that tells rows apart. Null and empty texts get fingerprint 0.
 
     Other columns are not read; repeated rows stay repeated. One pass, no shuffle.
     """
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), _row(doc_id, text).alias("row"),
+                     F.col(text).alias("text"))
 
     def build():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             fps = np.array([fingerprint(v.as_py(), width) for v in batch.column("text")],
                            dtype=np.uint64).view(np.int64)
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+                [batch.column("doc_id"), pa.array(fps), batch.column("row")],
+                ["doc_id", "fp", "row"])
         return run
-    return map_arrow(rows, build, "doc_id long, fp long", "text")
+    return map_arrow(rows, build, "doc_id long, fp long, row long", "text")
+
+
+def _row(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
 
 
 @functools.lru_cache(maxsize=1)
@@ -167,12 +174,34 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Only distinct fingerprints are compared, so copies cost nothing; ids join back by fingerprint,
     a join whose large side can be split.
     """
-    from .common import checkpointed
+    return _linked(df, doc_id, text, max_bits).select("doc_id", "fp", "component_id")
+
+
+def _linked(df: DataFrame, doc_id: str, text: str, max_bits: int) -> DataFrame:
     marked = checkpointed(fingerprints(df, doc_id, text))
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     linked = components(near_fingerprints(distinct.select("fp"), max_bits))
     roots = distinct.join(linked, distinct.fp == linked.node, "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("root"))
-    smallest = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return marked.join(named, marked.fp == named._fp).select("doc_id", "fp", "component_id")
+    smallest = roots.groupBy(F.col("root").alias("_root")).agg(
+        F.min("first").alias("component_id"))
+    named = roots.join(smallest, F.col("root") == F.col("_root")).select(
+        F.col("fp").alias("_fp"), "root", "component_id")
+    return marked.join(named, marked.fp == named._fp).drop("_fp")
+
+
+def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
+               max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each component, all columns as they are: the one with the smallest id (rows
+    without an id come last; of rows with equal ids one, whichever text hashes lowest, stays).
+    """
+    at, row, id0, picked_id, nth = fresh(df, "_row", "_at", "_id0", "_picked_id", "_nth")
+    best = (_linked(df, doc_id, text, max_bits).groupBy("root")
+            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("b"))
+            .select(F.coalesce("b.doc_id", F.lit(0)).alias(picked_id), F.col("b.row").alias(row)))
+    marked = df.withColumn(at, _row(doc_id, text)).withColumn(
+        id0, F.coalesce(F.col(doc_id).cast("long"), F.lit(0)))
+    kept = marked.join(best.hint("shuffle_hash"),
+                       (F.col(id0) == F.col(picked_id)) & (F.col(at) == F.col(row)), "left_semi")
+    same = Window.partitionBy(id0, at).orderBy(F.lit(0))  # rows alike but for other columns
+    return kept.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1).select(*df.columns)
