@@ -182,9 +182,15 @@ def train(df: DataFrame, vocab_path: str, lang: str = "lang", text: str = "text"
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"),
                      F.col(text).alias("text")).where("lang is not null and text is not null")
     shares = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    key = F.xxhash64("doc_id", "lang")
+    if not shares:
+        return [], np.zeros((0, 0)), np.zeros(0)
+    # of a frequent language only ids with a low hash are ranked, several times as many as needed
+    bounds = F.create_map(*[F.lit(x) for name, n in shares.items()
+                            for x in (name, min(1.0, 4.0 * docs_per_lang / n))])
+    key = F.shiftrightunsigned(F.xxhash64("doc_id", "lang"), 1)
     by = Window.partitionBy("lang").orderBy("key", "doc_id")
     picked = (rows.select("doc_id", "lang", key.alias("key"))
+              .where(F.col("key") <= F.element_at(bounds, F.col("lang")) * float(1 << 63))
               .withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= docs_per_lang)
               .select("doc_id", "lang").distinct())  # at most docs_per_lang rows a language
     sample = rows.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")
