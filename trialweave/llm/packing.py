@@ -26,6 +26,8 @@ from .common import checkpointed, map_arrow
 CAPACITY, END = 1024, 2
 #: Fillings tried at each level of the search, and levels entered in all.
 WIDTH, EFFORT = 4, 2_000
+#: Multiples of the waste that the bound leaves each sequence, tried in turn.
+EASE = (0.0, 0.5, 1.0, 2.0, 4.0)
 #: Pieces whose ranks one window task counts, about.
 RANKED = 200_000
 
@@ -120,12 +122,32 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, width: int) -> list[tuple]:
-    """Up to ``width`` undominated fillings of ``room``, fullest first, then fewest and longest
-    pieces. ``lengths`` are those with counts left, longest first.
-
-    A filling is dominated if some of its pieces could be swapped for one longer piece that is left
-    over and still fits, or several for one of the same length.
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
+    """Best-fit decreasing over counts: each piece, longest first, goes where least room is left."""
+    rooms: dict[int, list] = {}
+    for n in sorted(counts, reverse=True):
+        left = counts[n]
+        while left:
+            room = min((r for r, some in rooms.items() if r >= n and some), default=capacity)
+            pattern, bins = rooms[room].pop() if rooms.get(room) else ((), left)
+            each = min(room // n, left)
+            used = min(bins, left // each)
+            if pattern and bins > used:
+                rooms[room].append((pattern, bins - used))
+            rooms.setdefault(room - n * each, []).append((pattern + (n,) * each, used))
+            left -= each * used
+    return [step for some in rooms.values() for step in some]
+
+
+def fillings(lengths: list[int], counts: dict[int, int], room: int, width: int,
+             slack: int = 0) -> list[tuple]:
+    """Up to ``width`` undominated fillings of ``room``. ``lengths`` are those with counts left,
+    longest first.
+
+    First comes the filling with the longest pieces among those that waste at most ``slack``, which
+    saves short pieces for later; then fillings by waste, longest pieces first. One is dominated if
+    some of its pieces could be swapped for one longer piece that is left over and still fits, or
+    several for one of the same length.
     """
     if room <= 0 or not lengths or lengths[-1] > room:
         return [()]
@@ -134,10 +156,8 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, width: int)
     mask = (1 << (room + 1)) - 1
     reach = [1]
     for n in reversed(fits):
-        sums = reach[-1]
-        left = min(counts[n], room // n)
-        take = 1
-        while left > 0:  # binary parts of the count
+        sums, left, take = reach[-1], min(counts[n], room // n), 1
+        while left > 0:  # a count as parts of 1, 2, 4, ... pieces
             take = min(take, left)
             sums |= sums << (take * n) & mask
             left -= take
@@ -148,7 +168,7 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, width: int)
     found: list[tuple] = []
     budget = [50 * width]
 
-    def dominated(chosen: tuple, slack: int) -> bool:
+    def dominated(chosen: tuple, waste: int) -> bool:
         spare = present
         for n in set(chosen):
             if chosen.count(n) >= counts[n]:
@@ -159,30 +179,41 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, width: int)
                 sums[s + n] = max(sums.get(s + n, 0), k + 1)
         for s, k in sums.items():
             low = s if k > 1 else s + 1  # one piece for several, or a longer one for one
-            if k and (spare >> low) & ((1 << (s + slack - low + 1)) - 1 if s + slack >= low else 0):
+            if k and s + waste >= low and (spare >> low) & ((1 << (s + waste - low + 1)) - 1):
                 return True
         return False
 
-    def descend(at: int, target: int, chosen: tuple, slack: int):
+    def descend(at: int, target: int, spread: int, chosen: tuple, waste: int):
+        """Pieces from position ``at`` on that sum to ``target``, or up to ``spread`` less."""
         budget[0] -= 1
-        if target == 0:
-            if not dominated(chosen, slack):
+        if target <= spread and not reach[at] >> 1 & ((1 << target) - 1):
+            if chosen not in found and not dominated(chosen, waste + target):
                 found.append(chosen)
             return
+        low = max(0, target - spread)
         for i in range(at, len(fits)):
-            if len(found) >= width or budget[0] <= 0 or not reach[i] >> target & 1:
+            if (len(found) >= limit[0] or budget[0] <= 0
+                    or not reach[i] >> low & ((1 << (target - low + 1)) - 1)):
                 return
             n = fits[i]
             spare = counts[n] - chosen.count(n)
             again = i if spare > 1 else i + 1
-            if n <= target and spare > 0 and reach[again] >> (target - n) & 1:
-                descend(again, target - n, chosen + (n,), slack)
+            after, least = target - n, max(0, low - n)
+            if after >= 0 and spare > 0 and reach[again] >> least & ((1 << (after - least + 1)) - 1):
+                descend(again, after, spread, chosen + (n,), waste)
+        if target <= spread and len(found) < limit[0] and chosen not in found:
+            if not dominated(chosen, waste + target):
+                found.append(chosen)
 
+    limit = [1]
+    if slack:
+        descend(0, room, min(slack, room), (), 0)
+    limit[0] = width
     for total in range(room, -1, -1):
-        if reach[0] >> total & 1:
-            descend(0, total, (), room - total)
         if len(found) >= width or budget[0] <= 0:
             break
+        if reach[0] >> total & 1:
+            descend(0, total, 0, (), room - total)
     return found or [()]
 
 
@@ -190,10 +221,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, width: int = WIDTH,
          effort: int = EFFORT) -> list[tuple[tuple, int]]:
     """(lengths of one sequence, number of such sequences) holding every piece exactly once.
 
-    A depth-first search with limited discrepancies: the first descent always takes the fullest
-    filling (the best-fit incumbent); later ones take the second to ``width``-th in one more place.
-    It ends when the lower bound is met or ``effort`` levels have been entered; the best plan found
-    is whole in any case.
+    Best-fit decreasing is the first incumbent. Descents that allow a sequence some multiple of the
+    waste there is to spare then take the first filling everywhere; after them the most promising of
+    the fillings passed over are followed, depth first. A branch is cut when its sequences so far
+    and the volume left cannot beat the incumbent. The search ends when the lower bound is met or
+    ``effort`` levels have been entered; the best plan found is whole in any case.
     """
     counts = {int(n): int(c) for n, c in counts.items() if c > 0}
     if any(n > capacity or n < 1 for n in counts):
@@ -202,42 +234,42 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, width: int = WIDTH,
         return []
     goal = lower_bound(counts, capacity)
     volume = sum(n * c for n, c in counts.items())
-    best: list | None = None
-    fewest = math.inf
+    best = best_fit(counts, capacity)
+    fewest = sum(times for _, times in best)
     entered = 0
-    # a node: counts left, sequences made, steps so far, discrepancies left
-    stack = [(dict(counts), 0, (), volume)]
     later: list[tuple] = []
-    while stack or later:
-        if not stack:
-            later.sort(key=lambda node: (node[1] + -(-node[3] // capacity), -node[1]))
-            stack, later = later[:1], later[1:]
-        left, made, steps, rest = stack.pop()
+
+    def descend(left, made, steps, rest, ease):
+        nonlocal best, fewest, entered
         while left:
             entered += 1
             if made + -(-rest // capacity) >= fewest:
-                break
+                return
             lengths = sorted(left, reverse=True)
             longest = lengths[0]
+            spare = max(0, (goal - made) * capacity - rest)
+            slack = int(ease * spare / max(1, goal - made))
             left[longest] -= 1
-            options = fillings([n for n in lengths if left[n] > 0], left, capacity - longest, width)
+            options = fillings([n for n in lengths if left[n] > 0], left, capacity - longest,
+                               width, slack)
             left[longest] += 1
-            if entered < effort:
-                for other in options[1:]:
-                    later.append(_applied(left, made, steps, rest, (longest, *other)))
+            later.extend((*_applied(left, made, steps, rest, (longest, *other)), ease)
+                         for other in options[1:])
             left, made, steps, rest = _applied(left, made, steps, rest, (longest, *options[0]))
-        else:
-            if made < fewest:
-                fewest, best = made, steps
-        if fewest <= goal or entered >= effort:
-            break
-        if len(later) > 4 * effort:
-            later = later[:effort]
-    out, chain = [], best
-    while chain:
-        chain, pattern, times = chain
-        out.append((pattern, times))
-    return out[::-1]
+        if made < fewest:
+            fewest, best = made, []
+            while steps:
+                steps, pattern, times = steps
+                best.append((pattern, times))
+
+    for ease in EASE:
+        if fewest > goal:
+            descend(dict(counts), 0, (), volume, ease)
+    while later and fewest > goal and entered < effort:
+        later.sort(key=lambda node: (-(node[1] + -(-node[3] // capacity)), node[1]))
+        del later[:-effort]
+        descend(*later.pop())
+    return best
 
 
 def _applied(left: dict, made: int, steps, rest: int, pattern: tuple):
