@@ -19,7 +19,7 @@ from .common import map_arrow
 
 #: Most documents of either kind that the network learns from, picked by a hash of the id.
 MAX_POSITIVE, MAX_UNLABELLED = 20_000, 20_000
-HIDDEN, EPOCHS, BATCH = 24, 60, 1024
+HIDDEN, EPOCHS, BATCH = 24, 60, 256
 BLOCK = 1 << 18
 CLASSES = 9
 N_FEATURES = CLASSES * CLASSES + 14
