@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 
+from trialweave.catalogue.queues import QUEUES
 from trialweave.functions import constants as K
 from trialweave.operators import admin, queues as Q, stats as T
 
@@ -23,17 +24,18 @@ def test_snapshot_changes(spark, rows):
 
 def test_open_and_progress(spark):
     cols = ["queue", "completed", *K.BUILD_STEPS]
-    data = [("STUDY_INITIATION_REQUEST", "Yes", *["Yes"] * 3, "Prospective study, not required", "", "No", ""),
-            ("STUDY_INITIATION_REQUEST", "", *[""] * 7),
-            ("STUDY_INITIATION_REQUEST", "", *["Yes"] * 6, " Yes "),
-            ("DATA_REQUEST", " Yes", *[""] * 7)]
-    df = Q.with_status(spark.createDataFrame(data, ", ".join(f"{c} string" for c in cols)))
+    data = [("build", "Yes", *["Yes"] * 3, "Prospective study, not required", "", "No", ""),
+            ("build", "", *[""] * 7),
+            ("build", "", *["Yes"] * 6, " Yes "),
+            ("extract", " Yes", *[""] * 7)]
+    df = Q.with_status(spark.createDataFrame(data, ", ".join(f"{c} string" for c in cols)),
+                       tuple(QUEUES.values()))
     got = [(r.status, r.s, r.l) for r in df.select(
         "status", Q.progress(strict=True).alias("s"), Q.progress().alias("l")).collect()]
     assert got == [("open", "3/7", "4/7"), ("open", "0/7", "0/7"), ("done", "7/7", "7/7"),
                    ("done", "0/7", "0/7")]
     counts = {r.queue: (r.total, r.open, r.done) for r in Q.queue_counts(df, ["queue"]).collect()}
-    assert counts == {"STUDY_INITIATION_REQUEST": (3, 2, 1), "DATA_REQUEST": (1, 0, 1)}
+    assert counts == {"build": (3, 2, 1), "extract": (1, 0, 1)}
     hist = {(r.rule, r.steps): r.records for r in Q.progress_histogram(df).collect()}
     assert hist["strict", 3] == hist["lenient", 4] == 1 and hist["strict", 0] == 2
 
@@ -52,9 +54,9 @@ def test_bad_id_range(text):
 def test_queue_lines(spark):
     df = spark.createDataFrame([("Ada", "B", "UCH", "PI")],
                                "first_name string, last_name string, institution string, user_role string")
-    line = lambda q: df.select(Q.queue_summary(q, df.columns)).first()[0]
-    assert line("STUDY_PERSONELL_REQUEST") == "Ada B → UCH (PI)"
-    assert line("DATA_LINKING_REQUEST") == "For ? — needed by ?"
+    line = lambda q: df.select(Q.queue_summary(QUEUES[q], df.columns)).first()[0]
+    assert line("people") == "Ada B → UCH (PI)"
+    assert line("linkage") == "For ? — needed by ?"
 
 
 def test_quartiles_and_ranks_with_a_hot_value(spark):

@@ -106,7 +106,10 @@ def test_enriched_dictionary_lints_clean(spark):
         Field("hospital_number", "s", field_label="HN")])
     df = plain.with_missing_codes().to_frame(spark).withColumn("project_id", F.lit("p"))
     assert R.lint_dictionary(df).count() == 0
-    assert R.lint_headers(["a"]) and not R.lint_headers(range(18))
+    one = spark.createDataFrame([("x",)], "a string")
+    rules = lambda rows, width: [r.rule for r in R.lint_file(rows, range(width)).collect()]
+    assert rules(one, 18) == [] and rules(one, 1) == ["wrong_header_count"]
+    assert rules(one.where("a is null"), 3) == ["wrong_header_count", "no_data_rows"]
 
 
 def test_import_rules(spark, rows):

@@ -104,11 +104,11 @@ VISIT = Dictionary([
     Field("remarks", "visit", field_type="notes", field_label="Remarks"),
     Field("remarks2", "visit", field_type="notes", field_label="remarks"),
 ])
-ALIASES = {"outcome": {"All done": "Filled"}, "findings": {"broken": "2", "tardy": "late"}}
+ALIASES = {"outcome": {"ALL  done": "Open", "All done": "Filled"}, "findings": {"broken": "2", "tardy": "late"}}
 
 
 def _answers(spark, sf):
-    """Five typed answers per order, and one under a heading nobody knows."""
+    """Five typed answers per order, some under a heading with marks, and one nobody knows."""
     k = "o_orderkey"
     cell = lambda header, value: F.struct(F.lit(header).alias("header"), value.alias("value"))
     outcome = (
@@ -126,7 +126,8 @@ def _answers(spark, sf):
         .when(S.every(k, 2), "late,broken").otherwise(""))
     remarks = F.when(S.every(k, 6), "12.00").otherwise(F.col("o_orderpriority"))
     return table(spark, sf, "orders").select(S.text(k).alias("record_id"), F.explode(F.array(
-        cell("Order status", outcome), cell("URGENT", urgent), cell("Visit date", seen),
+        F.struct(F.when(S.every(k, 2), "Order  status?:").otherwise("Order status").alias("header"),
+                 outcome.alias("value")), cell("URGENT", urgent), cell("Visit date", seen),
         cell("Findings", findings), cell("Remarks", remarks),
         cell("Mystery", F.lit("x")))).alias("c")).select("record_id", "c.*")
 
@@ -136,7 +137,8 @@ _ANSWERS_SQL = """answers AS (
     o_orderpriority AS p, strftime(o_orderdate, '%Y-%m-%d') AS d,
     strftime(o_orderdate, '%d/%m/%Y') AS dmy FROM orders),
 moved AS (
-  SELECT record_id, 'Order status' AS header, 'outcome' AS "column",
+  SELECT record_id, CASE WHEN k % 2 = 0 THEN 'Order  status?:' ELSE 'Order status' END AS header,
+    'outcome' AS "column",
     CASE WHEN k % 9 = 0 THEN '-888' WHEN k % 10 = 0 OR s = 'F' THEN '1' WHEN s = 'O' THEN '2' END
       AS code,
     CASE WHEN k % 9 = 0 THEN 'Case note NOT found' WHEN k % 10 = 0 THEN 'all  DONE'
@@ -160,7 +162,13 @@ moved AS (
   UNION ALL SELECT record_id, 'Findings', 'findings___2', '1', 'late,broken', NULL
     FROM answers WHERE k % 8 <> 0 AND k % 7 <> 0 AND k % 2 = 0
   UNION ALL SELECT record_id, 'Findings', NULL, NULL, 'Late, scorched',
-    'checkbox option ''scorched'' not a choice' FROM answers WHERE k % 8 <> 0 AND k % 7 = 0)"""
+    'checkbox option ''scorched'' not a choice' FROM answers WHERE k % 8 <> 0 AND k % 7 = 0
+  UNION ALL SELECT record_id, 'Mystery', NULL, NULL, 'x', 'unknown heading' FROM answers),
+headings AS (SELECT 'Order status' AS header UNION ALL SELECT 'Order  status?:' UNION ALL SELECT 'URGENT'
+  UNION ALL SELECT 'Visit date' UNION ALL SELECT 'Findings' UNION ALL SELECT 'Remarks'
+  UNION ALL SELECT 'Mystery'),
+labels AS (SELECT unnest(['Visit', 'Order  status?', 'Urgent', 'Visit date', 'Findings', 'Remarks',
+  'remarks']) AS label)"""
 
 
 def _translated(spark, sf):
@@ -178,6 +186,27 @@ def translate_issues(spark, sf):
     return I.issues(_translated(spark, sf))
 
 
+@query(f"""WITH {_ANSWERS_SQL},
+given AS (SELECT 5 * count(*) + count(*) FILTER (k % 8 = 0 OR k % 7 = 0 OR k % 2 = 0) AS n
+  FROM answers),
+seen AS (SELECT record_id, header, bool_or(code IS NOT NULL) AS cell,
+  bool_or(why = 'unknown heading') AS unknown FROM moved GROUP BY record_id, header)
+SELECT (SELECT n FROM given) AS answers, count(*) FILTER (cell) AS with_cell,
+  count(*) FILTER (NOT cell AND NOT coalesce(unknown, false)) AS with_issue_only,
+  count(*) FILTER (unknown) AS under_unknown_heading FROM seen""")
+def translate_balance(spark, sf):
+    """Every filled answer is a cell, an issue or under an unknown heading: the four counts."""
+    given = _answers(spark, sf).where(F.trim("value") != "").agg(F.count("*").alias("answers"))
+    seen = _translated(spark, sf).groupBy("record_id", "header").agg(
+        F.bool_or(F.col("issue").isNull()).alias("cell"),
+        F.bool_or(F.coalesce(F.col("issue") == I.UNKNOWN_HEADER, F.lit(False))).alias("unknown"))
+    counts = seen.agg(
+        F.count_if("cell").alias("with_cell"),
+        F.count_if(~F.col("cell") & ~F.col("unknown")).alias("with_issue_only"),
+        F.count_if("unknown").alias("under_unknown_heading"))
+    return given.crossJoin(counts)
+
+
 _PAYLOAD_COLUMNS = ("outcome", "urgent", "seen_on", "findings___1", "findings___2",
                     "findings____888", "remarks")
 
@@ -189,7 +218,11 @@ def translate_payload(spark, sf):
     return I.payload_wide(_translated(spark, sf), VISIT)
 
 
-@query("SELECT DISTINCT 'Mystery' AS header FROM orders")
+@query(f"""WITH {_ANSWERS_SQL},
+key_of AS (SELECT lower(regexp_replace(rtrim(trim(label), ' ?.:;'), '\\s+', ' ', 'g')) AS k FROM labels)
+SELECT DISTINCT h.header FROM headings h JOIN (SELECT DISTINCT header FROM moved) m USING (header)
+WHERE lower(regexp_replace(rtrim(trim(h.header), ' ?.:;'), '\\s+', ' ', 'g'))
+  NOT IN (SELECT k FROM key_of)""")
 def unknown_headers(spark, sf):
     return I.unknown_headers(_answers(spark, sf), VISIT)
 

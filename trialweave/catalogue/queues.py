@@ -9,6 +9,29 @@ from . import shapes as S
 from .registry import query, table
 
 
+#: Queues as a caller describes them; the lines are fixed formats.
+QUEUES = {q.name: q for q in (
+    Q.Queue("build", "study_production", (
+        "[", Q.Part("study_status", width=14, blank="?"), "] PID ",
+        Q.Part("new_project_pid", width=4, right=True, blank="no PID", absent="no PID"), " ",
+        Q.Steps(width=4), " — ",
+        Q.Part("shortened_study_name", cut=55, instead=Q.Part(
+            "project_title", cut=60, absent="(no title)")),
+        " — PI: ", Q.Part("pi_surname"))),
+    Q.Queue("people", "completed", (
+        Q.Part("first_name"), " ", Q.Part("last_name"), " → ", Q.Part("institution"), " (",
+        Q.Part("user_role"), ")")),
+    Q.Queue("linkage", "completed", (
+        "For ", Q.Part("request_for_name"), " — needed by ", Q.Part("needed_by"))),
+    Q.Queue("extract", "completed", (
+        "For ", Q.Part("request_for_name"), " — ", Q.Part("database_name"), " — needed by ",
+        Q.Part("date_needed_by"))),
+    Q.Queue("ticket", "completed", (
+        Q.Part("first_name"), " ", Q.Part("surname"), ": ",
+        Q.Part("issue_summary", cut=60, absent=""))),
+)}
+
+
 def _requests(spark, sf):
     """Events as requests: one queue per type, two markers, a daily snapshot stamp."""
     k = "event_id"
@@ -16,18 +39,17 @@ def _requests(spark, sf):
         S.every(k, 5), "No").otherwise("")
     kind = F.col("event_type")
     return table(spark, sf, "events").select(
-        F.when(kind == "signup", "STUDY_INITIATION_REQUEST")
-        .when(kind == "click", "STUDY_PERSONELL_REQUEST").when(kind == "view", "DATA_REQUEST")
-        .when(kind == "purchase", "DATA_LINKING_REQUEST").otherwise("SUPPORT_TICKET_REQUEST")
+        F.when(kind == "signup", "build")
+        .when(kind == "click", "people").when(kind == "view", "extract")
+        .when(kind == "purchase", "linkage").otherwise("ticket")
         .alias("queue"),
         S.text(k).alias("record_id"), F.date_format("ts", "yyyy-MM-dd").alias("day"),
         mark(S.every(k, 3)).alias("completed"), mark(S.every(k, 7)).alias("study_production"))
 
 
 _REQUESTS_SQL = """requests AS (
-  SELECT CASE event_type WHEN 'signup' THEN 'STUDY_INITIATION_REQUEST'
-      WHEN 'click' THEN 'STUDY_PERSONELL_REQUEST' WHEN 'view' THEN 'DATA_REQUEST'
-      WHEN 'purchase' THEN 'DATA_LINKING_REQUEST' ELSE 'SUPPORT_TICKET_REQUEST' END AS queue,
+  SELECT CASE event_type WHEN 'signup' THEN 'build' WHEN 'click' THEN 'people' WHEN 'view' THEN 'extract'
+      WHEN 'purchase' THEN 'linkage' ELSE 'ticket' END AS queue,
     CAST(event_id AS VARCHAR) AS record_id, strftime(ts, '%Y-%m-%d') AS day,
     CASE WHEN event_id % CASE event_type WHEN 'signup' THEN 7 ELSE 3 END = 0 THEN 'done'
       ELSE 'open' END AS status FROM events)"""
@@ -37,18 +59,18 @@ _REQUESTS_SQL = """requests AS (
 SELECT queue, count(*) AS total, count(*) FILTER (status = 'open') AS open,
   count(*) FILTER (status = 'done') AS done FROM requests GROUP BY queue""")
 def queue_counts(spark, sf):
-    return Q.queue_counts(Q.with_status(_requests(spark, sf)), ["queue"])
+    return Q.queue_counts(Q.with_status(_requests(spark, sf), tuple(QUEUES.values())), ["queue"])
 
 
 def _snapshots(spark, sf):
     """Two weekly states per request, from its number; some requests are missing from one."""
-    now = Q.with_status(_requests(spark, sf))
+    now = Q.with_status(_requests(spark, sf), tuple(QUEUES.values()))
     k = F.col("record_id").cast("long")
     before = now.withColumn("status", F.when(k % 6 == 0, "open").when(
         k % 10 == 0, "done").otherwise(F.col("status")))
     # Half of the first month's last days had not been asked yet; one queue could not be read.
     before = before.where(F.col("day") < "2024-01-25")
-    now = now.where((F.col("day") >= "2024-01-03") & (F.col("queue") != "DATA_REQUEST"))
+    now = now.where((F.col("day") >= "2024-01-03") & (F.col("queue") != "extract"))
     keep = ("queue", "record_id", "status")
     return before.select(*keep), now.select(*keep)
 
@@ -56,9 +78,9 @@ def _snapshots(spark, sf):
 _SNAPSHOTS_SQL = _REQUESTS_SQL + """,
 before AS (SELECT queue, record_id, CASE WHEN CAST(record_id AS BIGINT) % 6 = 0 THEN 'open'
     WHEN CAST(record_id AS BIGINT) % 10 = 0 THEN 'done' ELSE status END AS b
-  FROM requests WHERE day < '2024-01-25' AND queue <> 'DATA_REQUEST'),
+  FROM requests WHERE day < '2024-01-25' AND queue <> 'extract'),
 after AS (SELECT queue, record_id, status AS a FROM requests
-  WHERE day >= '2024-01-03' AND queue <> 'DATA_REQUEST'),
+  WHERE day >= '2024-01-03' AND queue <> 'extract'),
 diff AS (SELECT queue, record_id,
     CASE WHEN a IS NULL THEN 'vanished' WHEN a = 'open' AND b IS NULL THEN 'new_open'
          WHEN a = 'open' AND b = 'done' THEN 'reopened' WHEN a = 'open' THEN 'still_open'
@@ -130,7 +152,32 @@ SELECT CAST(o_orderkey AS VARCHAR) AS record_id, '[' || rpad(CASE WHEN o_orderke
 def queue_summaries(spark, sf):
     builds = _builds(spark, sf)
     return builds.select("record_id", Q.queue_summary(
-        "STUDY_INITIATION_REQUEST", builds.columns).alias("summary"))
+        QUEUES["build"], builds.columns).alias("summary"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS record_id, 'people' AS queue,
+  c_name || ' ' || CAST(c_nationkey AS VARCHAR) || ' → ' || c_mktsegment || ' (?)' AS summary FROM customer
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'linkage',
+  'For ' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END || ' — needed by ' || CAST(c_nationkey AS VARCHAR) FROM customer
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'extract',
+  'For ' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END || ' — ' || c_mktsegment
+    || ' — needed by ?' FROM customer
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'ticket',
+  c_name || ' ?: ' || substr('Issue of ' || c_name || ' about the segment ' || c_mktsegment
+    || ' and the number ' || CAST(c_nationkey AS VARCHAR), 1, 60) FROM customer""")
+def queue_lines(spark, sf):
+    """The other four templates, over one table that lacks some of their columns."""
+    people = table(spark, sf, "customer").select(
+        S.text("c_custkey").alias("record_id"), F.col("c_name").alias("first_name"),
+        S.text("c_nationkey").alias("last_name"), F.col("c_mktsegment").alias("institution"),
+        F.when(S.every("c_custkey", 3), "").otherwise(F.col("c_name")).alias("request_for_name"),
+        S.text("c_nationkey").alias("needed_by"), F.col("c_mktsegment").alias("database_name"),
+        F.concat(F.lit("Issue of "), "c_name", F.lit(" about the segment "), "c_mktsegment",
+                 F.lit(" and the number "), S.text("c_nationkey")).alias("issue_summary"))
+    lines = F.array(*[
+        F.struct(F.lit(n).alias("queue"), Q.queue_summary(QUEUES[n], people.columns).alias("summary"))
+        for n in ("people", "linkage", "extract", "ticket")])
+    return people.select("record_id", F.explode(lines).alias("l")).select("record_id", "l.*")
 
 
 def _tickets(spark, sf):

@@ -30,7 +30,8 @@ def norm_value(c, trimmed: bool = False) -> Column:
     """F1: trim, text ``nan`` to blank, numeric spellings collapsed (1, 1.0 and 01 are ``1``).
 
     Whole numbers are collapsed as text, so identifiers of any length keep every digit. Other
-    numbers go through a double and come back in plain notation. Pass ``trimmed`` for a column
+    numbers go through a double, from 1e15 on through a wide decimal, and come back in plain
+    notation; what 38 digits cannot hold stays text. Pass ``trimmed`` for a column
     that an earlier projection has already stripped, so it is stripped once and not per use.
     """
     s = col(c) if trimmed else strip(c)
@@ -42,7 +43,12 @@ def norm_value(c, trimmed: bool = False) -> Column:
         F.when(F.lower(s) == "nan", "")
         .when(s.rlike(INTEGER), F.when(whole == "-0", "0").otherwise(whole))
         .when(s.rlike(NUMBER),
-              F.when(d == 0, "0").when((size >= 1e-6) & (size < 1e15), plain).otherwise(s))
+              F.when(d == 0, "0").when((size >= 1e-6) & (size < 1e15), plain)
+              .when(size >= 1e15, F.coalesce(
+                  F.when(size < 1e20, F.regexp_replace(
+                      s.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")),
+                  s.try_cast("decimal(38,0)").cast("string"), s))
+              .otherwise(s))
         .otherwise(s)
     )
 

@@ -49,6 +49,8 @@ DATE_MISSING_NOTE = (
     "(add comment for reason missing)]"
 )
 DATE_MISSING_MARK = "06-06-6666"
+# A text missing-code mark that is not the tail of a longer number or date.
+TEXT_MISSING_MARK = r"(?<![0-9-])-666"
 MISSING_EXEMPT_TYPES = ("descriptive", "calc", "file")
 MISSING_EXEMPT_FORMS = (
     "internal_tracking", "build_tracking", "study_metadata", "tracking", "library_record_id",
@@ -78,14 +80,7 @@ DICTIONARY_HEADERS = {
 }
 DICTIONARY_COLUMNS = tuple(DICTIONARY_HEADERS.values())
 
-# Request queues: queue, title, form, done marker.
-QUEUES = (
-    ("STUDY_INITIATION_REQUEST", "Study Tracker", "study_initiation_request", "study_production"),
-    ("STUDY_PERSONELL_REQUEST", "Study Personnel Request", "study_personnel_request", "completed"),
-    ("DATA_LINKING_REQUEST", "Data Linking Request", "data_linking_request", "completed"),
-    ("DATA_REQUEST", "Data Request", "data_request", "completed"),
-    ("SUPPORT_TICKET_REQUEST", "Support Ticket Request", "support_ticket", "completed"),
-)
+# Marks of requests and builds.
 DONE_VALUE = "Yes"
 BUILD_STEPS = (
     "project_created", "dd_uploaded", "user_rights_complete", "data_imported",

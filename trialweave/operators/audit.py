@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.cells import strip
 
 RESPONSE_WORDS = ("response", "comment", "note")
+#: Outcomes of edits that nobody asked for.
+UNASKED = ("out_of_scope", "not_sent")
 
 
 def response_columns(columns, name: str = "RESPONSE", loose: bool = False) -> list[str]:
@@ -34,8 +36,9 @@ def returned_audit(sent: DataFrame, returned: DataFrame, unique: bool = False) -
 
     ``sent`` is (record_id, field, value, flag) over all shown cells, flag null where nothing was
     asked; ``returned`` is (record_id, field, value). The outcome is ``answer`` for a flagged gap,
-    ``uncertain_answer`` where it was unclear whether the field applies, and ``out_of_scope`` for
-    an edit to a cell that was never flagged. A blank reply to a flagged cell is no change.
+    ``uncertain_answer`` where it was unclear whether the field applies, ``out_of_scope`` for an
+    edit to a cell that was never flagged, and ``not_sent`` for a filled cell of a record or column
+    that the site added. A blank reply to a flagged cell is no change.
     A cell that occurs twice on a side counts once, with its greatest value; ``unique`` says that
     none does.
     """
@@ -45,19 +48,21 @@ def returned_audit(sent: DataFrame, returned: DataFrame, unique: bool = False) -
         back = back.groupBy("record_id", "field").agg(F.max("returned").alias("returned"))
         seen = seen.groupBy("record_id", "field").agg(
             F.max(F.struct("sent", "flag")).alias("_s")).select("record_id", "field", "_s.*")
-    return seen.join(back, ["record_id", "field"]).where(
-        (F.col("returned") != F.col("sent"))
-        & ((F.col("returned") != "") | F.col("flag").isNull())
-    ).withColumn(
+    added = F.col("sent").isNull()
+    changed = (F.col("returned") != F.col("sent")) & (
+        (F.col("returned") != "") | F.col("flag").isNull())
+    return back.join(seen, ["record_id", "field"], "left").where(
+        F.when(added, F.col("returned") != "").otherwise(changed)
+    ).select("record_id", "field", "sent", "flag", "returned").withColumn(
         "outcome",
-        F.when(F.col("flag") == "gap", "answer")
+        F.when(added, "not_sent").when(F.col("flag") == "gap", "answer")
         .when(F.col("flag") == "uncertain", "uncertain_answer")
         .otherwise("out_of_scope"))
 
 
 def note_only(notes: DataFrame, changes: DataFrame) -> DataFrame:
     """T5: records with a note and no answered cell."""
-    answered = changes.where(F.col("outcome") != "out_of_scope").select("record_id").distinct()
+    answered = changes.where(~F.col("outcome").isin(*UNASKED)).select("record_id").distinct()
     return notes.where(F.col("note") != "").join(answered, "record_id", "left_anti")
 
 
@@ -72,7 +77,7 @@ def triage(changes: DataFrame, unmapped: DataFrame, notes_alone: DataFrame) -> D
     an answer is VERIFY when it says RESOLVED and NO_ACTION otherwise.
     """
     asked = unmapped.select("record_id", "field").distinct().withColumn("_open", F.lit(True))
-    cells = changes.where(F.col("outcome") != "out_of_scope") \
+    cells = changes.where(~F.col("outcome").isin(*UNASKED)) \
         .join(asked, ["record_id", "field"], "left").select(
         "record_id", "field",
         F.when(F.col("_open"), "QUESTION").otherwise("READY").alias("bucket"))

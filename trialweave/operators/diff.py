@@ -1,6 +1,7 @@
 """Diff-only write-back: what may be filled, what conflicts, what has nowhere to go."""
 from __future__ import annotations
 
+from copy import copy
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -66,6 +67,12 @@ class CellDiff:
         return side.select("_key", *[norm_value(n, trimmed=True).alias(n) for n in names],
                            F.lit(True).alias(f"_in_{tag}"))
 
+    def over(self, joined: DataFrame) -> CellDiff:
+        """The same comparison over a stored copy of its join."""
+        other = copy(self)
+        other.joined = joined
+        return other
+
     def _verdict(self, i):
         return verdict(F.coalesce(F.col(f"_c_{i}"), F.lit("")), F.col(f"_n_{i}"))
 
@@ -135,16 +142,22 @@ class CellDiff:
 
 
 def verify_live(planned: DataFrame, live: DataFrame, id_field: str, mode: str = "safe",
-                fields: list[str] | None = None, unique: bool = False) -> DataFrame:
+                fields: list[str] | None = None, unique: bool = False,
+                seq: str | None = None) -> DataFrame:
     """Planned cells against the live state: ``already_current``, ``conflict`` or ``keep``.
 
     Blank planned cells are skipped. ``safe`` compares normalised values and treats a planned 0
     like any other value; ``reference`` compares raw text and never calls a planned 0 a conflict.
-    Several drafts may plan for one record; ``unique`` says that no live id repeats.
+    Several drafts may plan for one record. Of live rows with one id the last in the order of their
+    column ``seq`` counts, or without it the one with the greatest values; ``unique`` says that no
+    live id repeats.
     """
     if mode not in ("safe", "reference"):
         raise ValueError(f"mode {mode!r} is neither 'safe' nor 'reference'")
-    names = fields or [c for c in planned.columns if c != id_field]
+    names = fields or [c for c in planned.columns if c not in (id_field, seq)]
+    if seq:
+        live = last_per_key(live.withColumn("_key", strip(live[id_field])), ["_key"], [seq]).drop(
+            "_key", seq)
     present = [n for n in names if n in live.columns]
     safe = mode == "safe"
 

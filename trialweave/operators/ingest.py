@@ -11,11 +11,25 @@ from ..functions.dates import parse_any
 from ..functions.text import clean_label, is_missing_phrase, text_key
 from ..plans.dictionary import CODED, Dictionary
 
+UNKNOWN_HEADER = "unknown heading"
+#: Most rows of a broadcast look-up table; the dictionary model refuses more fields than this.
+LOOKUP_ROWS = 100_000
+
 
 def _key(text) -> str:
     return re.sub(r"\s+", " ", str(text or "").strip().lower())
 
 
+def header_key(c):
+    """The one key of a heading: of a field's label and of what a sheet calls it."""
+    return text_key(clean_label(c))
+
+
+def _local(df: DataFrame, rows: list) -> DataFrame:
+    """A look-up table made on the driver, broadcast if it is of the size of a dictionary."""
+    return F.broadcast(df) if len(rows) <= LOOKUP_ROWS else df
+
+
 def label_table(spark, dictionary: Dictionary) -> DataFrame:
     """J12 with W2: normalised label to field; the first field under a label owns it."""
     owner: dict[str, str] = {}
@@ -24,8 +38,8 @@ def label_table(spark, dictionary: Dictionary) -> DataFrame:
         key = _key(re.sub(r"\s+", " ", f.field_label).strip().rstrip(" ?.:;"))
         if key and owner.setdefault(key, f.field_name) == f.field_name:
             rows.append((key, f.field_name, f.field_type, f.is_date))
-    return spark.createDataFrame(
-        rows, "label_key string, field string, field_type string, is_date boolean")
+    return _local(spark.createDataFrame(
+        rows, "label_key string, field string, field_type string, is_date boolean"), rows)
 
 
 def label_clashes(spark, dictionary: Dictionary) -> DataFrame:
@@ -40,24 +54,30 @@ def label_clashes(spark, dictionary: Dictionary) -> DataFrame:
 
 
 def answer_table(spark, dictionary: Dictionary, aliases: dict | None = None) -> DataFrame:
-    """(field, answer) to code: choice labels first, then site phrases that resolve to one."""
-    rows = []
+    """(field, answer) to code: choice labels first, then site phrases that resolve to one.
+
+    Of phrases with one key the last counts.
+    """
+    codes: dict[tuple[str, str], str] = {}
     for f in dictionary.fields:
         by_label = {_key(label): code for code, label in f.choices.items()}
-        rows += [(f.field_name, k, c) for k, c in by_label.items()]
+        codes.update(((f.field_name, k), c) for k, c in by_label.items())
         for phrase, target in ((aliases or {}).get(f.field_name) or {}).items():
             key = _key(phrase)
             if key not in by_label:
-                rows.append((f.field_name, key, by_label.get(_key(target), str(target))))
-    return spark.createDataFrame(rows, "field string, answer_key string, code string")
+                codes[f.field_name, key] = by_label.get(_key(target), str(target))
+    rows = [(field, key, code) for (field, key), code in codes.items()]
+    return _local(spark.createDataFrame(
+        rows, "field string, answer_key string, code string"), rows)
 
 
 def changed_answers(answers: DataFrame, sent: DataFrame) -> DataFrame:
     """The answers that differ from what was sent; cells that were never sent stay in.
 
-    Both frames are (record_id, header, value).
+    Both frames are (record_id, header, value). A cell that was sent several times counts once, with
+    its greatest value.
     """
-    before = sent.select("record_id", "header", strip("value").alias("_sent"))
+    before = sent.groupBy("record_id", "header").agg(F.max(strip("value")).alias("_sent"))
     return answers.join(before, ["record_id", "header"], "left").where(
         F.col("_sent").isNull() | (strip("value") != F.col("_sent"))).drop("_sent")
 
@@ -65,8 +85,8 @@ def changed_answers(answers: DataFrame, sent: DataFrame) -> DataFrame:
 def unknown_headers(answers: DataFrame, dictionary: Dictionary) -> DataFrame:
     """Headers that no field's label matches."""
     labels = label_table(answers.sparkSession, dictionary).select("label_key")
-    return answers.select("header", text_key(clean_label("header")).alias("label_key")).distinct() \
-        .join(F.broadcast(labels), "label_key", "left_anti").select("header").distinct()
+    return answers.select("header", header_key("header").alias("label_key")).distinct() \
+        .join(labels, "label_key", "left_anti").select("header").distinct()
 
 
 def translate_cells(answers: DataFrame, dictionary: Dictionary,
@@ -74,17 +94,17 @@ def translate_cells(answers: DataFrame, dictionary: Dictionary,
     """Every non-blank answer as a coded cell or an issue.
 
     ``answers`` is (record_id, header, value). The result has ``column`` and ``code`` where the
-    answer maps, and ``issue`` where it does not. Order of trial: 'not in the chart' phrases,
-    checkbox parts, choice labels then site phrases, dates, plain text. All look-up tables are
-    dictionary-sized and broadcast, so answers are never shuffled.
+    answer maps, and ``issue`` where it does not, an unknown heading included. Order of trial: 'not
+    in the chart' phrases, checkbox parts, choice labels then site phrases, dates, plain text.
+    Look-up tables of a dictionary's size are broadcast, so answers are not shuffled.
     """
     spark = answers.sparkSession
-    labels = F.broadcast(label_table(spark, dictionary))
-    codes = F.broadcast(answer_table(spark, dictionary, aliases))
+    labels = label_table(spark, dictionary)
+    codes = answer_table(spark, dictionary, aliases)
     typed = answers.select(
         strip("record_id").alias("record_id"), "header", strip("value").alias("value"),
-        text_key("header").alias("label_key")).where(F.col("value") != "")
-    known = typed.join(labels, "label_key").drop("label_key")
+        header_key("header").alias("label_key")).where(F.col("value") != "")
+    known = typed.join(labels, "label_key", "left").drop("label_key")
     checkbox = F.col("field_type") == "checkbox"
     coded = F.col("field_type").isin(*CODED)
     keyed = known.withColumn("_text", text_key("value", trimmed=True)).withColumn(
@@ -110,15 +130,17 @@ def translate_cells(answers: DataFrame, dictionary: Dictionary,
                                 .otherwise(F.col("code"))))
         .otherwise(F.col("field")))
     code = (
-        F.when(F.col("_phrase"),
+        F.when(F.col("field").isNull(), None)
+        .when(F.col("_phrase"),
                F.when(checkbox, "1").when(F.col("is_date"), K.NOT_IN_NOTES_DATE)
                .otherwise(K.NOT_IN_NOTES_CODE))
         .when(checkbox, F.when(F.col("code").isNotNull(), "1"))
         .when(coded, F.col("code"))
         .when(F.col("is_date"), F.col("_date"))
-        .otherwise(whole_as_integer("value")))
+        .when(F.col("field").isNotNull(), whole_as_integer("value")))
     issue = (
-        F.when(checkbox, F.concat(F.lit("checkbox option '"), strip("_part"),
+        F.when(F.col("field").isNull(), UNKNOWN_HEADER)
+        .when(checkbox, F.concat(F.lit("checkbox option '"), strip("_part"),
                                   F.lit("' not a choice")))
         .when(coded, "value not in choice list")
         .otherwise("unparseable date"))
@@ -131,9 +153,9 @@ def translate_cells(answers: DataFrame, dictionary: Dictionary,
 
 
 def payload(translated: DataFrame) -> DataFrame:
-    """Mapped cells (record_id, column, code), one per cell."""
-    return translated.where(F.col("issue").isNull()).select(
-        "record_id", "column", "code").distinct()
+    """Mapped cells (record_id, column, code), one per cell: of several codes the greatest."""
+    return translated.where(F.col("issue").isNull()).groupBy("record_id", "column").agg(
+        F.max("code").alias("code"))
 
 
 def issues(translated: DataFrame) -> DataFrame:

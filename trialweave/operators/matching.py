@@ -289,14 +289,16 @@ def renumber_duplicates(records: DataFrame, id_col: str, order: list[str],
     """The second and later rows of an id get the next free integers, in input order.
 
     ``order`` must be a total order of the input. Rows that keep their id have ``renumbered``
-    false.
+    false. An id that is no whole number is kept as it is on its first row, with no ``name``; its
+    repeats are numbered like any other.
     """
     first = records.groupBy(F.col(id_col).alias("_id")).agg(
         F.min(F.struct(*order)).alias("_first"))
     marked = records.join(first, records[id_col] == first["_id"]).withColumn(
         "renumbered", F.struct(*order) != F.col("_first")).drop("_id", "_first")
-    top = records.agg(F.max(F.col(id_col).cast("long"))).first()[0] or 0
+    top = records.agg(F.max(strip(id_col).try_cast("long"))).first()[0] or 0
     moved = numbered(marked.where("renumbered"), order, "_n").withColumn(
         name, F.lit(top) + F.col("_n")).drop("_n")
-    kept = marked.where(~F.col("renumbered")).withColumn(name, F.col(id_col).cast("long"))
+    kept = marked.where(~F.col("renumbered")).withColumn(
+        name, strip(id_col).try_cast("long"))
     return kept.unionByName(moved)

@@ -1,6 +1,7 @@
 """Request queues: what is open, what is done, how far builds are, what changed."""
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,13 +16,45 @@ def is_done(marker, done: str = K.DONE_VALUE) -> Column:
     return strip(marker) == done
 
 
-def with_status(records: DataFrame, queue: str = "queue",
-                markers: dict[str, str] | None = None) -> DataFrame:
-    """Add ``status`` (open or done), the marker column depending on the queue."""
-    markers = markers or {name: marker for name, _, _, marker in K.QUEUES}
-    done = reduce(lambda acc, qm: F.when(
-        F.col(queue) == qm[0], is_done(qm[1]) if qm[1] in records.columns else F.lit(False))
-        .otherwise(acc), markers.items(), F.lit(False))
+@dataclass(frozen=True)
+class Part:
+    """One column in a queue's line: cut to ``cut`` characters, padded to ``width`` (on the right,
+    or on the left), ``blank`` where the cell is empty and ``absent`` where the table lacks the
+    column; ``instead`` is another part to show in both cases."""
+    column: str
+    cut: int | None = None
+    width: int = 0
+    right: bool = False
+    blank: str = ""
+    absent: str = "?"
+    instead: Part | None = None
+
+
+@dataclass(frozen=True)
+class Steps:
+    """The number of settled build steps in a queue's line, as ``3/7``."""
+    width: int = 0
+    steps: tuple[str, ...] = K.BUILD_STEPS
+
+
+@dataclass(frozen=True)
+class Queue:
+    """A request queue as its owner describes it: name, column that marks a request as done, and the
+    parts of its one-line summary (text, ``Part`` or ``Steps``)."""
+    name: str
+    marker: str
+    template: tuple = ()
+
+
+def with_status(records: DataFrame, queues: list[Queue], queue: str = "queue") -> DataFrame:
+    """Add ``status`` (open or done), the marker column depending on the queue.
+
+    A queue that is not listed, or whose marker the table lacks, has only open requests.
+    """
+    done = reduce(lambda acc, q: F.when(
+        F.col(queue) == q.name,
+        is_done(q.marker) if q.marker in records.columns else F.lit(False)).otherwise(acc),
+        queues, F.lit(False))
     return records.withColumn("status", F.when(done, "done").otherwise("open"))
 
 
@@ -109,37 +142,32 @@ def summary_from_fields(fields: list[tuple[str, str]], id_field: str) -> Column:
     return F.when(text == "", "(no details filled in)").otherwise(text)
 
 
-def queue_summary(queue: str, columns) -> Column:
-    """a queue's own one-line template; a column the table lacks shows as ``?``."""
+def queue_summary(queue: Queue, columns) -> Column:
+    """a queue's own one-line template over the columns that the table has."""
     have = set(columns)
-    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in have else F.lit("?")
-    filled = lambda c, other: F.when(text(c) == "", other).otherwise(text(c)) if c in have \
-        else F.lit(other)
-    if queue == "STUDY_INITIATION_REQUEST":
-        title = F.substring(text("project_title"), 1, 60) if "project_title" in have \
-            else F.lit("(no title)")
-        short = F.when(text("shortened_study_name") == "", title).otherwise(
-            text("shortened_study_name")) if "shortened_study_name" in have else title
-        pad = lambda c, n, left: F.when(F.length(c) >= n, c).otherwise(
-            F.lpad(c, n, " ") if left else F.rpad(c, n, " "))
-        return F.concat(
-            F.lit("["), pad(filled("study_status", "?"), 14, False), F.lit("] PID "),
-            pad(filled("new_project_pid", "no PID"), 4, True), F.lit(" "),
-            pad(progress() if have >= set(K.BUILD_STEPS) else F.lit("?"), 4, True),
-            F.lit(" — "), F.substring(short, 1, 55), F.lit(" — PI: "), text("pi_surname"))
-    if queue == "STUDY_PERSONELL_REQUEST":
-        return F.concat(text("first_name"), F.lit(" "), text("last_name"), F.lit(" → "),
-                        text("institution"), F.lit(" ("), text("user_role"), F.lit(")"))
-    if queue == "DATA_LINKING_REQUEST":
-        return F.concat(F.lit("For "), text("request_for_name"), F.lit(" — needed by "),
-                        text("needed_by"))
-    if queue == "DATA_REQUEST":
-        return F.concat(F.lit("For "), text("request_for_name"), F.lit(" — "),
-                        text("database_name"), F.lit(" — needed by "), text("date_needed_by"))
-    if queue == "SUPPORT_TICKET_REQUEST":
-        issue = F.substring(text("issue_summary"), 1, 60) if "issue_summary" in have else F.lit("")
-        return F.concat(text("first_name"), F.lit(" "), text("surname"), F.lit(": "), issue)
-    raise ValueError(f"unknown queue {queue!r}")
+
+    def padded(text, width, right):
+        if not width:
+            return text
+        fill = F.lpad(text, width, " ") if right else F.rpad(text, width, " ")
+        return F.when(F.length(text) >= width, text).otherwise(fill)
+
+    def shown(part):
+        if isinstance(part, str):
+            return F.lit(part)
+        if isinstance(part, Steps):
+            known = have >= set(part.steps)
+            return padded(progress(part.steps) if known else F.lit("?"), part.width, True)
+        other = shown(part.instead) if part.instead else None
+        if part.column not in have:
+            text = F.lit(part.absent) if other is None else other
+        else:
+            text = F.coalesce(F.col(part.column), F.lit(""))
+            text = F.when(text == "", F.lit(part.blank) if other is None else other).otherwise(text)
+        if part.cut:
+            text = F.substring(text, 1, part.cut)
+        return padded(text, part.width, part.right)
+    return F.concat(*[shown(p) for p in queue.template]) if queue.template else F.lit("")
 
 
 def record_detail(records: DataFrame, id_field: str, labels: dict[str, str]) -> DataFrame:

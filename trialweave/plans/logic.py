@@ -11,14 +11,6 @@ from ..functions.cells import NUMBER, col, number, strip
 from ..functions.text import checkbox_spellings
 from .dictionary import Dictionary
 
-# Clause shape: [field] or [field(option)], an operator, a quoted or bare value.
-FULL_CLAUSE = re.compile(
-    r"\[(?P<field>\w+)(?:\((?P<option>-?\w+)\))?\]\s*(?P<op><=|>=|<>|!=|=|<|>)\s*"
-    r"(?P<value>'[^']*'|\"[^\"]*\"|[^\s'\"]+)",
-    re.ASCII,
-)
-# The narrower shape of import linting: equality with a single-quoted value.
-QUOTED_CLAUSE = re.compile(r"\[(?P<field>\w+)(?:\((?P<option>-?\w+)\))?\]\s*=\s*'(?P<value>[^']*)'")
 DOES_NOT, APPLIES, PERHAPS = 0, 1, 2
 COMPARE = {
     "<": lambda a, b: a < b,
@@ -36,15 +28,62 @@ class Clause:
     value: str
 
 
+@dataclass(frozen=True)
+class Grammar:
+    """What a clause may look like: its operators, quotes and blanks, and whether a value may stand
+    without quotes and a name may use letters beyond ASCII."""
+    operators: tuple[str, ...]
+    quotes: str
+    blanks: str | None
+    bare_values: bool
+    ascii_names: bool
+
+
+#: Skip logic in full, and the narrower shape that import linting reads. Two-sign operators first.
+FULL = Grammar(("<=", ">=", "<>", "!=", "=", "<", ">"), "'\"", " \t\n\r\f\v", True, True)
+IMPORT = Grammar(("=",), "'", None, False, False)
+
+
+def _is_name(text: str, grammar: Grammar) -> bool:
+    plain = text.replace("_", "a")
+    return plain.isalnum() and (plain.isascii() or not grammar.ascii_names)
+
+
+def read_clause(text: str, grammar: Grammar) -> tuple[Clause, str] | None:
+    """The clause at the start of the text and what follows it; None if there is none."""
+    inside, closed, rest = text[1:].partition("]")
+    if not text.startswith("[") or not closed:
+        return None
+    field, opened, option = inside.partition("(")
+    if opened:
+        if not option.endswith(")") or not _is_name(option[:-1].removeprefix("-"), grammar):
+            return None
+        option = option[:-1]
+    if not _is_name(field, grammar):
+        return None
+    rest = rest.lstrip(grammar.blanks)
+    op = next((o for o in grammar.operators if rest.startswith(o)), None)
+    if op is None:
+        return None
+    rest = rest[len(op):].lstrip(grammar.blanks)
+    if rest[:1] and rest[0] in grammar.quotes:
+        value, closed, rest = rest[1:].partition(rest[0])
+        if not closed:
+            return None
+    elif grammar.bare_values:
+        size = next((i for i, c in enumerate(rest) if c.isspace() or c in grammar.quotes), len(rest))
+        value, rest = rest[:size], rest[size:]
+        if not value:
+            return None
+    else:
+        return None
+    return Clause(field, option if opened else None, op, value), rest
+
+
 def parse_clause(text: str) -> Clause | None:
     """One clause, or None when any part of the text is not understood."""
-    m = FULL_CLAUSE.fullmatch(text.strip())
-    if m is None:
-        return None
-    value = m["value"]
-    if value[0] in "'\"":
-        value = value[1:-1]
-    return Clause(m["field"], m["option"], m["op"], value)
+    found = read_clause(text.strip(), FULL)
+    return found[0] if found and not found[1] else None
 
 
 def branches(text: str) -> list[list[str]]:
@@ -66,18 +105,20 @@ def unreadable(text: str) -> bool:
 
 
 def import_clauses(text: str) -> list[Clause] | None:
-    """The import grammar: quoted equality joined by OR; None when it is anything more."""
-    body = (text or "").strip()
-    if not body:
-        return []
-    if " and " in body.lower() or "<>" in body:
+    """The import grammar: quoted equality joined by OR; None when it is anything more.
+
+    A part may hold other text around its clause; its first clause counts.
+    """
+    lowered = (text or "").lower()
+    if " and " in lowered or "<>" in lowered:
         return None
     out = []
-    for part in re.split(r"\s+or\s+", body, flags=re.I):
-        m = QUOTED_CLAUSE.search(part)
-        if m is None:
+    for part in filter(None, re.split(r"\s+or\s+", (text or "").strip(), flags=re.I)):
+        starts = (i for i, c in enumerate(part) if c == "[")
+        found = next((f for f in (read_clause(part[i:], IMPORT) for i in starts) if f), None)
+        if found is None:
             return None
-        out.append(Clause(m["field"], m["option"], "=", m["value"]))
+        out.append(found[0])
     return out
 
 

@@ -20,13 +20,24 @@ def blanks(df: DataFrame) -> DataFrame:
     return df.fillna("")
 
 
-def read_export(spark: SparkSession, path, sep: str = ",", multiline: bool = True) -> DataFrame:
+def read_export(spark: SparkSession, path, sep: str = ",", multiline: bool = True,
+                seq: str | None = None) -> DataFrame:
     """A record export or an external source as text columns.
 
-    ``multiline=False`` lets Spark split large files that have no line breaks inside cells.
+    With line breaks allowed inside cells, the default, one task reads each file; write the result
+    to Parquet once if files are large. ``multiline=False`` lets Spark split files that have no line
+    breaks inside cells. ``seq`` names a column to add that orders rows as the files do, for
+    operators where the last row of a repeated id counts.
     """
     options = {**CSV, "multiLine": str(multiline).lower()}
-    return blanks(spark.read.options(**options).option("sep", sep).csv(path))
+    rows = spark.read.options(**options).option("sep", sep).csv(path)
+    if seq is None:
+        return blanks(rows)
+    # ids rise within a split of a file, and splits are ordered by where they start
+    place = F.struct(F.col("_metadata.file_path").alias("file"),
+                     F.col("_metadata.file_block_start").alias("start"),
+                     F.monotonically_increasing_id().alias("row"))
+    return blanks(rows.select(*rows.columns, place.alias(seq)))
 
 
 def read_dictionary(spark: SparkSession, path) -> DataFrame:
@@ -77,8 +88,11 @@ def read_drafts(spark: SparkSession, folder: str) -> DataFrame:
     Files may differ in their columns: one job finds the headers, files that share a header are
     read together, and the parts are united.
     """
-    heads = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select(
-        "path", F.substring_index(F.decode("content", "UTF-8"), "\n", 1).alias("head"))
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder).where(
+        "_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("path"), "value",
+        F.monotonically_increasing_id().alias("at"))
+    heads = lines.groupBy("path").agg(F.min_by("value", "at").alias("head"))
     groups: dict[str, list[str]] = {}
     for row in heads.orderBy("path").collect():
         groups.setdefault(row.head.strip(), []).append(row.path)
@@ -90,7 +104,9 @@ def read_drafts(spark: SparkSession, folder: str) -> DataFrame:
 
 def with_draft_names(df: DataFrame) -> DataFrame:
     """Site (lower case) and workbook from the input file's name."""
-    stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1)
+    # file names come escaped; a plus sign is itself there and would be read as a space
+    name = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    stem = F.regexp_extract(name, r"([^/]+)\.csv$", 1)
     return df.select(
         F.lower(F.substring_index(stem, "_", 1)).alias("site"),
         F.when(stem.contains("_"), F.regexp_replace(stem, "^[^_]*_", "")).otherwise("")
