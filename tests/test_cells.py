@@ -67,7 +67,8 @@ def test_site_dates(spark):
     assert [(r.site, r.date) for r in got] == [("Ife", "2024-02-01"), ("Oyo", "2025-04-03")]
     assert one(spark, raw, D.site_dates_rejected) == 2
     many = ";".join(f"S{i}: 1/1/20" for i in range(12))
-    assert len(one(spark, many, D.site_dates)) == 10
+    assert len(one(spark, many, D.site_dates)) == 12
+    assert len(one(spark, many, lambda c: D.site_dates(c, keep=10))) == 10
 
 
 def test_choices(spark):

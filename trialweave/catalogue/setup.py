@@ -76,7 +76,8 @@ def _sheet(spark, sf):
         F.when(S.every(k, 5), "x").otherwise(S.text(F.col(k) % 4)).alias("study_status"),
         F.when(F.col("o_orderstatus") == "F", "Gastric").otherwise("zzz").alias("cancer"),
         F.when(S.every(k, 4), "pending").when(S.every(k, 3), F.concat(
-            F.lit("Ife: "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("\nOyo: 1/2/25")))
+            F.lit("Ife: "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("\nOyo: 1/2/25"),
+            F.when(S.every(k, 9), "; Ekiti: 3/4/26").otherwise("")))
         .otherwise("").alias("irb_raw"))
 
 
@@ -85,14 +86,17 @@ def _sheet(spark, sf):
   CASE WHEN o_orderstatus = 'F' THEN '3' ELSE '' END AS cancer_type,
   CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE CAST(o_orderkey % 4 AS VARCHAR) END AS study_status,
   CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 4 >= 2 THEN '1' ELSE '' END AS study_production,
-  CASE WHEN dated THEN '2' ELSE '' END AS irb_site_count,
+  CASE WHEN dated THEN CASE WHEN o_orderkey % 9 = 0 THEN '3' ELSE '2' END ELSE '' END
+    AS irb_site_count,
+  CASE WHEN dated AND o_orderkey % 9 = 0 THEN '1' ELSE '' END AS irb_sites_over,
   CASE WHEN dated THEN 'Ife' ELSE '' END AS irb_site_1,
   CASE WHEN dated THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS irb_site_1_expiry,
   CASE WHEN dated THEN 'Oyo' ELSE '' END AS irb_site_2,
   CASE WHEN dated THEN '2025-02-01' ELSE '' END AS irb_site_2_expiry,
   CASE WHEN o_orderkey % 4 = 0 THEN 'IRB expiry raw (verify): pending'
     WHEN dated THEN 'IRB expiry raw (verify): Ife: ' || strftime(o_orderdate, '%d/%m/%Y') || chr(10)
-      || 'Oyo: 1/2/25' ELSE '' END AS build_notes
+      || 'Oyo: 1/2/25' || CASE WHEN o_orderkey % 9 = 0 THEN '; Ekiti: 3/4/26' ELSE '' END
+    ELSE '' END AS build_notes
 FROM (SELECT *, o_orderkey % 4 <> 0 AND o_orderkey % 3 = 0 AS dated FROM orders)""")
 def tracker_payload(spark, sf):
     return A.tracker_payload(

@@ -199,14 +199,14 @@ def form_list(spark, sf):
     return T.form_list(_drug_dictionary(spark, sf), ["project_id"])
 
 
-@query("""WITH a AS (SELECT DISTINCT p_type AS f FROM part WHERE p_brand = 'Brand#1' AND p_size < 20),
-b AS (SELECT DISTINCT p_type AS f FROM part WHERE p_brand = 'Brand#2' AND p_size < 20)
+@query("""WITH a AS (SELECT DISTINCT p_name AS f FROM part WHERE p_brand = 'Brand#1'),
+b AS (SELECT DISTINCT p_name AS f FROM part WHERE p_brand = 'Brand#2')
 SELECT coalesce(a.f, b.f) AS form_name, CASE WHEN b.f IS NULL THEN 'left' ELSE 'right' END
   AS only_in FROM a FULL JOIN b ON a.f = b.f WHERE a.f IS NULL OR b.f IS NULL""")
 def form_differences(spark, sf):
-    """Two sister projects; forms are those with a small part."""
-    part = table(spark, sf, "part").where(F.col("p_size") < 20).select(
-        F.col("p_brand").alias("b"), F.col("p_type").alias("form_name"))
+    """Two sister projects, a form for each name of a part."""
+    part = table(spark, sf, "part").select(
+        F.col("p_brand").alias("b"), F.col("p_name").alias("form_name"))
     return T.form_differences(part.where(F.col("b") == "Brand#1"),
                               part.where(F.col("b") == "Brand#2"))
 

@@ -102,11 +102,10 @@ def is_expired(c, as_of) -> Column:
 LINE = r"^\s*([^:]+):\s*([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4}|[0-9]{2})(?![0-9]).*$"
 
 
-def site_dates(c, keep: int = 10) -> Column:
+def site_dates(c, keep: int | None = None) -> Column:
     """``Site: dd/mm/yy`` lines as array<struct<site,date>>; impossible dates are dropped.
 
-    A two-digit year is 20xx. The first ``keep`` entries count, which is the form's own number
-    of slots.
+    A two-digit year is 20xx. All entries are returned, or the first ``keep``.
     """
     lines = F.filter(F.split(F.coalesce(col(c), F.lit("")), r"[\n;]+"), lambda x: x.rlike(LINE))
 
@@ -118,10 +117,10 @@ def site_dates(c, keep: int = 10) -> Column:
         return F.struct(strip(part(1)).alias("site"), F.when(good, text).alias("date"))
 
     dated = F.filter(F.transform(lines, entry), lambda e: e["date"].isNotNull())
-    return F.slice(dated, 1, keep)
+    return dated if keep is None else F.slice(dated, 1, keep)
 
 
 def site_dates_rejected(c) -> Column:
     """How many lines looked like a dated site but held an impossible date."""
     lines = F.filter(F.split(F.coalesce(col(c), F.lit("")), r"[\n;]+"), lambda x: x.rlike(LINE))
-    return F.size(lines) - F.size(site_dates(c, keep=2**31 - 1))
+    return F.size(lines) - F.size(site_dates(c))

@@ -56,7 +56,9 @@ def tracker_payload(rows: DataFrame, id_col: str, copied: list[str] = (), flags:
 
     ``recodes`` maps a target column to (source column, synonym table). A numeric status of 2 or
     more sets ``production``. ``dated_sites`` names free text with ``Site: date`` lines, spread
-    over numbered site and expiry columns; text that needs a look goes to ``build_notes``.
+    over ``slots`` numbered site and expiry columns. ``irb_site_count`` counts all entries and
+    ``irb_sites_over`` those beyond the slots; text that needs a look, such entries included, goes
+    to ``build_notes``.
     """
     out = [F.col(id_col)]
     out += [strip(c).alias(c) for c in copied]
@@ -73,14 +75,15 @@ def tracker_payload(rows: DataFrame, id_col: str, copied: list[str] = (), flags:
     if not dated_sites:
         return rows.select(*out)
     raw = strip(dated_sites)
-    table = rows.withColumn("_sites", site_dates(dated_sites, slots))
+    table = rows.withColumn("_sites", site_dates(dated_sites))
     entry = lambda i, part: F.coalesce(F.get("_sites", F.lit(i))[part], F.lit(""))
     n = F.size("_sites")
-    out += [F.when(n > 0, n.cast("string")).otherwise("").alias("irb_site_count")]
+    out += [F.when(n > 0, n.cast("string")).otherwise("").alias("irb_site_count"),
+            F.when(n > slots, (n - slots).cast("string")).otherwise("").alias("irb_sites_over")]
     for i in range(slots):
         out += [entry(i, "site").alias(f"irb_site_{i + 1}"),
                 entry(i, "date").alias(f"irb_site_{i + 1}_expiry")]
-    unsure = (raw != "") & ((n == 0) | raw.contains("\n"))
+    unsure = (raw != "") & ((n == 0) | (n > slots) | raw.contains("\n"))
     out.append(F.when(unsure, F.concat(F.lit("IRB expiry raw (verify): "), raw)).otherwise("")
                .alias("build_notes"))
     return table.select(*out)

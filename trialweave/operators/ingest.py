@@ -10,10 +10,9 @@ from ..functions.cells import strip, whole_as_integer
 from ..functions.dates import parse_any
 from ..functions.text import clean_label, is_missing_phrase, text_key
 from ..plans.dictionary import CODED, Dictionary
+from .lineage import lookup
 
 UNKNOWN_HEADER = "unknown heading"
-#: Most rows of a broadcast look-up table; the dictionary model refuses more fields than this.
-LOOKUP_ROWS = 100_000
 
 
 def _key(text) -> str:
@@ -25,11 +24,6 @@ def header_key(c):
     return text_key(clean_label(c))
 
 
-def _local(df: DataFrame, rows: list) -> DataFrame:
-    """A look-up table made on the driver, broadcast if it is of the size of a dictionary."""
-    return F.broadcast(df) if len(rows) <= LOOKUP_ROWS else df
-
-
 def label_table(spark, dictionary: Dictionary) -> DataFrame:
     """J12 with W2: normalised label to field; the first field under a label owns it."""
     owner: dict[str, str] = {}
@@ -38,7 +32,7 @@ def label_table(spark, dictionary: Dictionary) -> DataFrame:
         key = _key(re.sub(r"\s+", " ", f.field_label).strip().rstrip(" ?.:;"))
         if key and owner.setdefault(key, f.field_name) == f.field_name:
             rows.append((key, f.field_name, f.field_type, f.is_date))
-    return _local(spark.createDataFrame(
+    return lookup(spark.createDataFrame(
         rows, "label_key string, field string, field_type string, is_date boolean"), rows)
 
 
@@ -67,7 +61,7 @@ def answer_table(spark, dictionary: Dictionary, aliases: dict | None = None) ->
             if key not in by_label:
                 codes[f.field_name, key] = by_label.get(_key(target), str(target))
     rows = [(field, key, code) for (field, key), code in codes.items()]
-    return _local(spark.createDataFrame(
+    return lookup(spark.createDataFrame(
         rows, "field string, answer_key string, code string"), rows)
 
 

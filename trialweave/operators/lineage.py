@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BROADCAST_ROWS = 10_000
+#: Most rows of a broadcast look-up table; the dictionary model refuses more fields than this.
+LOOKUP_ROWS = 100_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -22,6 +23,6 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame with a broadcast hint if it has at most ``rows`` narrow rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def lookup(df: DataFrame, rows: list) -> DataFrame:
+    """A table made from ``rows`` on the driver, with a broadcast hint if it is small enough."""
+    return F.broadcast(df) if len(rows) <= LOOKUP_ROWS else df

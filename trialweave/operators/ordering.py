@@ -1,14 +1,13 @@
 """Numbering and running totals over a total order, without one task holding a whole group.
 
-A plain window puts a whole group, or the whole table, into one task. Here the order is cut at
-split points taken from a bounded sample; every slice is numbered on its own and shifted by the
-totals of the slices before it.
+A plain window puts a whole group, or the whole table, into one task. Here the order is cut into
+ranges; every slice is numbered on its own and shifted by the totals of the slices before it.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SAMPLE_PER_SLICE = 20
+from .lineage import checkpointed
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -28,49 +27,18 @@ def _edge_per_key(df, keys, order, pick):
         *[F.col(f"_row.{c}").alias(c) if c not in keys else F.col(c) for c in df.columns])
 
 
-def _split_points(df: DataFrame, order: list[str], slices: int) -> list:
-    """Up to ``slices - 1`` keys that cut the order about evenly; a sample of fixed size."""
-    sample = (
-        df.select(*order)
-        .orderBy(F.xxhash64(*order))
-        .limit(slices * SAMPLE_PER_SLICE)
-        .orderBy(*order)
-        .collect()
-    )
-    step = max(1, len(sample) // slices)
-    return [sample[i] for i in range(step, len(sample), step)][: slices - 1]
-
-
-def _slice_of(df: DataFrame, order: list[str], points: list) -> Column:
-    """How many split points are at or before the row: its slice number, by binary search."""
-    if not points:
-        return F.lit(0)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    key = F.struct(*[F.col(c) for c in order])
-    cuts = F.array(*[
-        F.struct(*[F.lit(p[c]).cast(types[c]).alias(c) for c in order]) for p in points])
-    steps = [1 << i for i in reversed(range(len(points).bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]), F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= len(points)) & (F.get(cuts, at + step - 1) <= key), at + step)
-        .otherwise(at))
-
-
-def _slice_count(df: DataFrame) -> int:
-    """As many slices as the session shuffles into, so slices shrink as the cluster grows."""
-    return max(8, min(4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-
-
 def running_total(df: DataFrame, order: list[str], totals: dict[str, str],
                   group: list[str] | None = None, slices: int | None = None) -> DataFrame:
     """Add inclusive running totals of columns: ``totals`` maps a new column to its weight.
 
-    ``order`` must be a total order inside each group. Nulls sort first.
+    ``order`` must be a total order inside each group. Nulls sort first. The input is evaluated
+    once: it is dealt into ranges of the order, by default as many as the session shuffles into,
+    and kept in a checkpoint, so slices shrink as the cluster grows and a retry finds the same ones.
     """
     group = list(group or [])
-    slices = slices or _slice_count(df)
-    cut = df.withColumn("_slice", _slice_of(df, order, _split_points(df, order, slices)))
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = checkpointed(df.repartitionByRange(slices, *group, *order)
+                       .withColumn("_slice", F.spark_partition_id()))
     per_slice = cut.groupBy(*group, "_slice").agg(
         *[F.sum(w).alias(f"_sum_{name}") for name, w in totals.items()])
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(
@@ -84,10 +52,10 @@ def running_total(df: DataFrame, order: list[str], totals: dict[str, str],
                               for name, w in totals.items()])
     keys = group + ["_slice"]
     left, right = local, shifts
-    for k in group:
+    for k in keys:
         right = right.withColumnRenamed(k, f"_g_{k}")
-    right = right.withColumnRenamed("_slice", "_g__slice")
     on = [left[k].eqNullSafe(right[f"_g_{k}"]) for k in keys]
+    # without groups there is one row for each slice
     joined = left.join(F.broadcast(right) if not group else right, on)
     return joined.select(
         *[F.col(c) for c in df.columns],

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K
 from ..functions.cells import strip
-from .lineage import small_side
 
 
 def is_done(marker, done: str = K.DONE_VALUE) -> Column:
@@ -99,10 +98,13 @@ def queue_diff(previous: DataFrame, current: DataFrame, key: list[str] | None =
     """
     keys = key or ["queue", "record_id"]
     head = keys[0]
-    readable = small_side(previous.select(head).distinct().join(
-        current.select(head).distinct(), head, "left_semi"))
-    snap = lambda df, name: df.groupBy(*keys).agg(F.max("status").alias(name))
-    both = snap(previous, "before").join(snap(current, "after"), keys, "full_outer")
+    none = F.lit(None).cast("string")
+    both = previous.select(*keys, F.col("status").alias("before"), none.alias("after")).unionByName(
+        current.select(*keys, none.alias("before"), F.col("status").alias("after"))).groupBy(
+        *keys).agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    # read from the same shuffle: which queues have rows on both sides
+    readable = both.groupBy(F.col(head).alias("_head")).agg(
+        F.count("before").alias("_b"), F.count("after").alias("_a")).where("_b > 0 and _a > 0")
     before, after = F.col("before"), F.col("after")
     change = (
         F.when(after.isNull(), "vanished")
@@ -111,7 +113,7 @@ def queue_diff(previous: DataFrame, current: DataFrame, key: list[str] | None =
         .when(after == "open", "still_open")
         .when(before == "done", "still_done")
         .otherwise("newly_done"))
-    return both.join(readable, head, "left_semi").select(
+    return both.join(readable, both[head] == readable["_head"], "left_semi").select(
         *keys, change.alias("change"),
         ((after == "done") & before.isNull()).alias("unseen_before")).fillna(
         False, ["unseen_before"])

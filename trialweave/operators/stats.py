@@ -9,6 +9,8 @@ from ..plans.dictionary import Dictionary
 from .ordering import running_total
 
 OVERALL = "overall"
+#: Most sites that become columns of one table.
+MOST_COLUMNS = 1000
 
 
 def table1(records: DataFrame, dictionary: Dictionary, continuous: list[str],
@@ -65,8 +67,12 @@ def table1(records: DataFrame, dictionary: Dictionary, continuous: list[str],
 
 
 def table1_wide(long: DataFrame) -> DataFrame:
-    """Table 1 with one column per site plus ``overall``; sites are few, and looked up first."""
-    sites = sorted(r[0] for r in long.select("column").distinct().collect() if r[0] != OVERALL)
+    """Table 1 with one column per site plus ``overall``. Sites are looked up first; more of them
+    than a table can have as columns are refused."""
+    found = long.select("column").distinct().limit(MOST_COLUMNS + 2).collect()
+    sites = sorted(r[0] for r in found if r[0] != OVERALL)
+    if len(sites) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} sites; keep the long table instead")
     return long.groupBy("pos", "variable", "level", "statistic").pivot(
         "column", [*sites, OVERALL]).agg(F.first("value")).orderBy("pos").drop("pos")
 

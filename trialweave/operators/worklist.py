@@ -11,6 +11,7 @@ from ..functions.cells import number, site_or_default, strip
 from ..functions.text import decode, ticked_labels
 from ..plans.dictionary import CODED, Dictionary
 from ..plans.logic import DOES_NOT, LogicCompiler, compared_as_numbers, gates
+from .lineage import lookup
 from .ordering import last_per_key
 
 WITH_CODES, WITHOUT_CODES = "with_MDC", "no_MDC"
@@ -208,14 +209,14 @@ def field_counts(cells: DataFrame) -> DataFrame:
 def gate_table(spark, dictionary: Dictionary) -> DataFrame:
     """Field to controlling field, in dictionary order (P4, dictionary side)."""
     rows = [(f.field_name, g) for f in dictionary.fields for g in gates(f.branching_logic)]
-    return spark.createDataFrame(rows, "field string, gate string")
+    return lookup(spark.createDataFrame(rows, "field string, gate string"), rows)
 
 
 def display_fields(cells: DataFrame, dictionary: Dictionary) -> DataFrame:
     """What each worklist shows: its flagged fields, and the gates that control them."""
     keys = ["workbook", "site", "mode"]
     flagged = cells.select(*keys, "field").distinct()
-    pairs = F.broadcast(gate_table(cells.sparkSession, dictionary))
+    pairs = gate_table(cells.sparkSession, dictionary)
     context = (
         flagged.join(pairs, "field").select(*keys, F.col("gate").alias("field")).distinct()
         .join(flagged, [*keys, "field"], "left_anti")
@@ -269,7 +270,7 @@ def uncertain_logic(cells: DataFrame, dictionary: Dictionary) -> DataFrame:
     logic = cells.sparkSession.createDataFrame(rows, "field string, logic string")
     doubtful = cells.where((F.col("flag") == "uncertain") & (F.col("mode") == WITH_CODES))
     return doubtful.groupBy("field").agg(F.count(F.lit(1)).alias("cells")) \
-        .join(F.broadcast(logic), "field")
+        .join(lookup(logic, rows), "field")
 
 
 def round_diff(previous: DataFrame, current: DataFrame, id_cols: list[str]) -> DataFrame:
