@@ -172,7 +172,7 @@ ranked AS (
     count(*) OVER (PARTITION BY id, round((name_score + hospital) / 2, 9)) AS ties,
     row_number() OVER (PARTITION BY id ORDER BY (name_score + hospital) / 2 DESC, candidate_id)
       AS rank
-  FROM scored WHERE name_score >= 0.6)"""
+  FROM scored WHERE name_score > 0 OR hospital = 1.0)"""
 
 
 def _rounded(df):

@@ -4,7 +4,6 @@ from __future__ import annotations
 import sys
 from functools import reduce
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -13,8 +12,7 @@ from ..functions.text import hospital_key, name_tokens, title_key
 from .lineage import checkpointed
 from .ordering import numbered, smallest_per_key
 from .similarity import (
-    TOKEN_RATIO, _percent, matching_tokens, overlapping_sets, ratio_column, sequence_ratio,
-    spread,
+    TOKEN_RATIO, _percent, matching_tokens, overlapping_sets, ratio_column, spread,
 )
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,45 +32,43 @@ def _vocabulary(sets):
     return sets.select(F.explode("tokens").alias("token")).distinct()
 
 
-def name_pairs(left: DataFrame, right: DataFrame, min_name: float, method: str,
-               token_ratio: float = TOKEN_RATIO) -> DataFrame:
-    """Distinct name pairs (``a``, ``b``, ``name_score``) at or above ``min_name``.
-
-    The score is the share of the longer name's words that have a near match in the other name.
-    Inputs have ``key`` and ``tokens``.
-    """
-    percent = _percent(min_name)
-    matches = matching_tokens(_vocabulary(left), _vocabulary(right), method, token_ratio)
-    pairs = overlapping_sets(left, right, percent, matches)
-    full = pairs.join(left.select(F.col("key").alias("a"), F.col("tokens").alias("_ta")), "a") \
+def _scored(pairs: DataFrame, left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFrame:
+    """Name pairs (``a``, ``b``) with ``name_score``: the share of the longer name's words that have
+    a near match in the other name, from the word matches already found. No match scores 0."""
+    both = pairs.join(left.select(F.col("key").alias("a"), F.col("tokens").alias("_ta")), "a") \
         .join(right.select(F.col("key").alias("b"), F.col("tokens").alias("_tb")), "b")
-    if method == "levenshtein":
-        loss = 100 - _percent(token_ratio)
-        near = lambda x, y: F.levenshtein(x, y) <= F.floor(
-            F.greatest(F.length(x), F.length(y)) * loss / 100)
-        hits = F.size(F.filter("_ta", lambda x: F.exists("_tb", lambda y: near(x, y))))
-    else:
-        @F.pandas_udf("int")
-        def count_hits(xs: pd.Series, ys: pd.Series) -> pd.Series:
-            return pd.Series([
-                sum(any(sequence_ratio(x, y, token_ratio) >= token_ratio for y in b) for x in a)
-                for a, b in zip(xs, ys)], dtype="int32")
-        full = spread(full, "a", "b")
-        hits = count_hits("_ta", "_tb")
+    near = both.select("a", "b", "_tb", F.explode("_ta").alias("left_token")) \
+        .join(matches, "left_token").where(F.array_contains("_tb", F.col("right_token")))
+    hits = near.groupBy("a", "b").agg(F.count_distinct("left_token").alias("_hits"))
     longest = F.greatest(F.size("_ta"), F.size("_tb"))
-    return full.select("a", "b", hits.alias("_hits"), longest.alias("_longest")) \
-        .where(F.col("_hits") * 100 >= F.col("_longest") * percent) \
-        .select("a", "b", (F.col("_hits") / F.col("_longest")).alias("name_score"))
+    return both.join(hits, ["a", "b"], "left").select(
+        "a", "b", (F.coalesce("_hits", F.lit(0)) / longest).alias("name_score"))
+
+
+def _sharing(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFrame:
+    """Name pairs that have at least one word in common, or nearly."""
+    words = left.select(F.col("key").alias("a"), F.explode("tokens").alias("left_token"))
+    used = right.select(F.col("key").alias("b"), F.explode("tokens").alias("right_token"))
+    return words.join(matches, "left_token").join(used, "right_token").select("a", "b").distinct()
+
+
+#: Names that share this much are looked for first; see ``fuzzy_candidates``.
+STRONG = 0.6
 
 
 def fuzzy_candidates(left: DataFrame, right: DataFrame, id_col: str, name_col: str,
-                     hospital_col: str, top: int = 3, min_name: float = 0.6,
+                     hospital_col: str, top: int = 3, min_name: float = 0.0,
                      method: str = "sequence", token_ratio: float = TOKEN_RATIO) -> DataFrame:
     """The ``top`` right-hand candidates of every left record, never auto-accepted.
 
-    A candidate's name score reaches ``min_name``; its score is the mean of the name score and
-    the hospital-number score (1 equal, 0 different, 0.5 when either side has no usable number).
-    Equal scores rank by id, and ``ties`` says how many candidates share the score.
+    A candidate has a near word in common with the record's name, or the same hospital number. Its
+    score is the mean of the name score and the hospital-number score (1 equal, 0 different, 0.5
+    when either side has no usable number). Equal scores rank by id, and ``ties`` says how many
+    candidates share the score. ``min_name`` only hides listed candidates, after ranking.
+
+    Names that share ``STRONG`` of their words and names with an equal number are compared first.
+    What those leave out scores less than (``STRONG`` + 0.5) / 2, so a record whose list is full of
+    better candidates is settled; only the others are compared with every name that shares a word.
 
     Names are compared once per distinct spelling. For one left name and hospital number, only a
     matched right name's ``top`` smallest ids with the same number, with no number, and with any
@@ -83,12 +79,39 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, id_col: str, name_col: s
         _people(right, id_col, name_col, hospital_col)
     distinct_names = lambda p: p.groupBy(F.col("name").alias("key")).agg(
         F.any_value("tokens").alias("tokens"))
-    pairs = name_pairs(distinct_names(people), distinct_names(others), min_name, method,
-                       token_ratio)
+    left_names, right_names = distinct_names(people), distinct_names(others)
+    matches = checkpointed(matching_tokens(
+        _vocabulary(left_names), _vocabulary(right_names), method, token_ratio))
+    asked = people.select(F.col("name").alias("a"), F.col("hospital").alias("h")).distinct()
+    numbers = others.select(F.col("name").alias("b"), "hospital").distinct()
+    lists = _short_lists(others, top)
+
+    def equal_number(wanted):
+        return wanted.join(numbers, F.col("h") == F.col("hospital")).select("a", "b").distinct()
+
+    def listed(wanted, pairs):
+        return _ranked(wanted, _scored(pairs, left_names, right_names, matches), lists, top)
+
+    strong = overlapping_sets(left_names, right_names, _percent(STRONG), matches)
+    first = checkpointed(listed(asked, strong.unionByName(equal_number(asked)).distinct()))
+    bound = (STRONG + 0.5) / 2
+    settled = first.groupBy("a", "_h").agg(
+        F.count_if(F.col("score") >= bound).alias("_good")).where(F.col("_good") >= top) \
+        .select("a", "_h")
+    open_keys = checkpointed(asked.withColumn("_h", F.coalesce("h", F.lit(""))).join(
+        settled, ["a", "_h"], "left_anti").drop("_h"))
+    open_names = left_names.join(open_keys.select(F.col("a").alias("key")).distinct(), "key")
+    rest = listed(open_keys, _sharing(open_names, right_names, matches).unionByName(
+        equal_number(open_keys)).distinct())
+    answer = first.join(settled, ["a", "_h"], "left_semi").unionByName(rest)
+    return people.select("id", F.col("name").alias("a"),
+                         F.coalesce("hospital", F.lit("")).alias("_h")) \
+        .join(answer, ["a", "_h"]).where(F.col("name_score") >= min_name).select(
+        "id", "candidate_id", "name_score", "score", "ties", "rank")
 
-    pairs = checkpointed(pairs)
 
-    # Right side, per name and number and per name: record counts and the smallest ids.
+def _short_lists(others: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
+    """Record counts and the smallest ids of each right-hand name: by number, and in all."""
     keyed = others.select(F.col("name").alias("b"), F.col("hospital").alias("h"), "id")
     by_number = keyed.groupBy("b", "h").agg(F.count(F.lit(1)).alias("n"))
     first = smallest_per_key(keyed, ["b", "h"], [F.col("id")], top).drop("_rank")
@@ -103,11 +126,15 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, id_col: str, name_col: s
         F.sum(F.when(F.col("h").isNull(), F.col("n")).otherwise(0)).alias("n_without"),
         F.sum(F.when(F.col("h").isNotNull(), F.col("n")).otherwise(0)).alias("n_with")) \
         .join(with_number, "b", "left").join(without, "b", "left")
+    return same, per_name
 
-    asked = people.groupBy(F.col("name").alias("a"), F.col("hospital").alias("h")).agg(
-        F.count(F.lit(1)).alias("_n")).drop("_n")
+
+def _ranked(asked: DataFrame, pairs: DataFrame, lists: tuple[DataFrame, DataFrame],
+            top: int) -> DataFrame:
+    """The best ``top`` records for every (name, number) asked for, over scored name pairs."""
+    same, per_name = lists
     wanted = asked.join(pairs, "a").join(per_name, "b").join(same, ["b", "h"], "left")
-    has, none = F.col("h").isNotNull(), F.array().cast(f"array<{_type_of(keyed, 'id')}>")
+    has, none = F.col("h").isNotNull(), F.array().cast(_type_of(same, "ids_same"))
     n_same = F.coalesce("n_same", F.lit(0))
     id_of = lambda x: x["id"]
     ids_with = F.coalesce(F.transform("ids_with", id_of), none)
@@ -124,6 +151,9 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, id_col: str, name_col: s
         entry(0.0, F.col("n_with") - n_same, different),
         entry(0.5, F.col("n_without"), ids_without))).otherwise(F.array(
             entry(0.5, F.col("n_with") + F.col("n_without"), F.concat(ids_with, ids_without))))
+    # without a word in common only an equal number makes a candidate
+    kinds = F.when(F.col("name_score") > 0, kinds).when(has, F.slice(kinds, 1, 1)).otherwise(
+        F.slice(kinds, 1, 0))
     rows = wanted.select("a", F.coalesce("h", F.lit("")).alias("_h"), "name_score",
                          F.explode(kinds).alias("k")).where(F.col("k.n") > 0) \
         .select("a", "_h", "name_score", "k.*", F.round("k.score", 9).alias("_s"))
@@ -131,13 +161,9 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, id_col: str, name_col: s
     ranked = smallest_per_key(
         rows.select("a", "_h", "_s", "name_score", "score", F.explode("ids").alias("id")),
         ["a", "_h"], [F.desc("_s"), F.col("id")], top)
-    answer = ranked.join(ties, ["a", "_h", "_s"]).select(
+    return ranked.join(ties, ["a", "_h", "_s"]).select(
         "a", "_h", F.col("id").alias("candidate_id"), "name_score", "score", "ties",
         F.col("_rank").alias("rank"))
-    return people.select("id", F.col("name").alias("a"),
-                         F.coalesce("hospital", F.lit("")).alias("_h")) \
-        .join(answer, ["a", "_h"]).select("id", "candidate_id", "name_score", "score", "ties",
-                                          "rank")
 
 
 def _type_of(df: DataFrame, name: str) -> str:
