@@ -1,4 +1,5 @@
 """Fuzzy operators against plain loops over every pair."""
+import hashlib
 import random
 from difflib import SequenceMatcher
 
@@ -127,14 +128,14 @@ def _greedy(left, right, manual=()):
     for i, a in left:
         for j, b in right:
             x, y = norm(a), norm(b)
-            wx, wy = set(x.split()), set(y.split())
-            if not x or not y or len(wx & wy) * 100 < max(len(wx), len(wy)) * 50:
+            if not x or not y:
                 continue
             ratio = SequenceMatcher(None, x, y).ratio()
             if ratio >= 0.78:
-                pairs.append((-ratio, x, y, i, j))
+                tie = hashlib.md5(f"{x}\x1f{y}".encode()).hexdigest()
+                pairs.append((-ratio, tie, x, y, i, j))
     # Best title pair first; within one title pair, ids in order on both sides.
-    for r, x, y, i, j in sorted(pairs):
+    for r, t, x, y, i, j in sorted(pairs):
         if i not in used_l and j not in used_r:
             used_l.add(i); used_r.add(j); out.append((i, j, "title"))
     return sorted(out)
@@ -157,6 +158,36 @@ def test_title_matching_equals_greedy(spark, seed):
     assert got == _greedy(left, right, manual)
 
 
+@pytest.mark.parametrize("method", S.METHODS)
+@pytest.mark.parametrize("low, high", [(1, 4), (3, 9), (8, 30)])
+def test_title_pairs_miss_nothing(spark, method, low, high):
+    left, right = words(30, low, high, "abc "), words(30, low, high, "abc ")
+    frame = lambda ws: spark.createDataFrame([(w,) for w in ws], "key string")
+    got = {(r.a, r.b) for r in M.title_pairs(frame(left), frame(right), 0.78, method).collect()}
+    if method == "sequence":
+        good = lambda a, b: SequenceMatcher(None, a, b).ratio() >= 0.78
+    else:
+        good = lambda a, b: 1 - lev(a, b) / max(len(a), len(b)) >= 0.78
+    assert got == {(a, b) for a in left for b in right if good(a, b)}
+
+
+def test_titles_with_few_words_in_common_match(spark):
+    frame = lambda t, c: spark.createDataFrame([(1, t)], f"{c} long, title string")
+    got = M.match_titles(frame("oncolgy studies on breast cancers", "l"),
+                         frame("oncology study of breast cancer", "r"), "l", "r", "title", "title")
+    assert got.count() == 1
+
+
+def test_equal_ratios_settle_in_few_rounds(spark):
+    side = lambda x: spark.createDataFrame(
+        [(f"{x}{i:03d}",) for i in range(40)], "t string")
+    pairs = side("l").crossJoin(side("r").withColumnRenamed("t", "b")).select(
+        F.col("t").alias("a"), "b", F.lit(0.9).alias("ratio"))
+    got = M._allocate(pairs, side("l").select(F.col("t").alias("a"), F.lit(1).alias("left_n")),
+                      side("r").select(F.col("t").alias("b"), F.lit(1).alias("right_n"))).collect()
+    assert len(got) == 40 and max(r["round"] for r in got) < 20
+
+
 def test_merge_classes(spark, rows):
     old = spark.createDataFrame([(1,), (2,)], "e long")
     new = spark.createDataFrame([(10,), (11,)], "n long")

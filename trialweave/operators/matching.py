@@ -170,21 +170,81 @@ def _type_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
-def title_pairs(left: DataFrame, right: DataFrame, min_ratio: float, min_words: float,
-                method: str) -> DataFrame:
-    """Distinct title pairs (``a``, ``b``, ``ratio``) sharing enough words and reaching the ratio.
+def _numbered_pieces(key, size: int):
+    """The runs of ``size`` letters of a text, each with which occurrence it is, as a set."""
+    runs = F.when(F.length(key) >= size, F.transform(
+        F.sequence(F.lit(1), F.length(key) - (size - 1)), lambda i: F.substring(key, i, size))) \
+        .otherwise(F.array().cast("array<string>"))
+    return F.transform(runs, lambda x, i: F.concat(x, F.lit("\u001f"), F.size(
+        F.filter(F.slice(runs, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
 
-    Inputs have ``key`` (the title key) and ``tokens``.
+
+def _shared_pairs_needed(n, m, min_ratio: float, method: str):
+    """Least number of letter pairs that texts of ``n`` and ``m`` letters at the ratio share.
+
+    Sequence ratio: at least M = r (n + m) / 2 letters match, in blocks with an unmatched letter
+    between any two, so in at most 1 + n + m - 2M of them, and a block of L letters holds L - 1
+    pairs. Levenshtein: one edit spoils at most two of the longer text's pairs.
     """
-    percent = _percent(min_words)
-    pairs = overlapping_sets(left, right, percent)
-    full = pairs.join(left.select(F.col("key").alias("a"), F.col("tokens").alias("_ta")), "a") \
-        .join(right.select(F.col("key").alias("b"), F.col("tokens").alias("_tb")), "b")
-    common = F.size(F.array_intersect("_ta", "_tb"))
-    longest = F.greatest(F.size("_ta"), F.size("_tb"))
-    near = full.where(common * 100 >= longest * percent).select("a", "b")
+    slack = F.lit(1e-9)
+    if method == "sequence":
+        return F.ceil((1.5 * min_ratio - 1) * (n + m) - 1 - slack)
+    longest = F.greatest(n, m)
+    return longest - 1 - 2 * F.floor((1 - min_ratio) * longest + slack)
+
+
+#: Titles up to this length may reach the ratio without a common letter pair; they share a letter.
+TINY = 6
+
+
+def title_pairs(left: DataFrame, right: DataFrame, min_ratio: float, method: str) -> DataFrame:
+    """All pairs of titles (``a``, ``b``, ``ratio``) that reach the ratio.
+
+    Inputs have ``key``, distinct title keys. Titles are compared if they share one of the rarest
+    letter pairs of each: of a title's pairs so many are looked up that a partner which shared none
+    of them could not share enough. Length and shared-letter bounds come before any alignment.
+    """
+    if method == "sequence" and min_ratio <= 2 / 3:
+        raise ValueError("ratios of 2/3 or less have no candidate rule")
+    if method == "levenshtein" and min_ratio <= 0.5:
+        raise ValueError("ratios of one half or less have no candidate rule")
+    shortest = min_ratio / (2 - min_ratio) if method == "sequence" else min_ratio
+
+    def pieces(titles):
+        n = F.length("key")
+        return titles.select("key", n.alias("n"), _numbered_pieces(F.col("key"), 2).alias("pairs"),
+                             _numbered_pieces(F.col("key"), 1).alias("letters"))
+
+    sides = checkpointed(pieces(left).withColumn("side", F.lit("a")).unionByName(
+        pieces(right).withColumn("side", F.lit("b"))))
+    uses = sides.select(F.explode("pairs").alias("p")).groupBy("p").agg(
+        F.count(F.lit(1)).alias("uses"))
+    least = F.ceil(F.col("n") * shortest - 1e-9)
+    needed = F.greatest(F.lit(1), _shared_pairs_needed(F.col("n"), least, min_ratio, method)
+                        if method == "sequence" else
+                        _shared_pairs_needed(F.col("n"), F.col("n"), min_ratio, method))
+    ranked = sides.select("side", "key", "n", F.explode("pairs").alias("p")).join(uses, "p") \
+        .groupBy("side", "key", "n").agg(
+            F.sort_array(F.collect_list(F.struct("uses", "p"))).alias("by_use"))
+    probes = ranked.select("side", "key", "n", F.explode(F.transform(
+        F.slice("by_use", F.lit(1), F.greatest(F.size("by_use") - needed + 1, F.lit(0)).cast("int")),
+        lambda r: r["p"])).alias("p"))
+    probes = probes.unionByName(sides.where(F.col("n") <= TINY).select(
+        "side", "key", "n", F.explode("letters").alias("p")))
+    side = lambda s, k, n: probes.where(F.col("side") == s).select(
+        F.col("key").alias(k), F.col("n").alias(n), "p")
+    met = side("a", "a", "_n").join(side("b", "b", "_m"), "p").where(
+        F.least("_n", "_m") >= F.greatest("_n", "_m") * shortest - 1e-9).select("a", "b").distinct()
+    full = lambda s, k, x: sides.where(F.col("side") == s).select(
+        F.col("key").alias(k), F.col("n").alias(f"_n{x}"), F.col("pairs").alias(f"_p{x}"),
+        F.col("letters").alias(f"_l{x}"))
+    near = met.join(full("a", "a", "a"), "a").join(full("b", "b", "b"), "b")
+    common = lambda x: F.size(F.array_intersect(f"_{x}a", f"_{x}b"))
+    near = near.where(common("p") >= _shared_pairs_needed(
+        F.col("_na"), F.col("_nb"), min_ratio, method))
     if method == "sequence":
-        near = spread(near, "a", "b")
+        near = spread(near.where(2 * common("l") >= (F.col("_na") + F.col("_nb")) * min_ratio - 1e-9)
+                      .select("a", "b"), "a", "b")
     ratio = ratio_column(F.col("a"), F.col("b"), method, min_ratio)
     return near.select("a", "b", ratio.alias("ratio")).where(F.col("ratio") >= min_ratio)
 
@@ -196,8 +256,11 @@ def _allocate(pairs: DataFrame, left_cap: DataFrame, right_cap: DataFrame) -> Da
     what working down the sorted pair list would take. The best pair overall always qualifies,
     so rounds go on until no pair is left; there is no limit on their number. A round is one
     checkpoint of the pairs still open, and only pairs whose titles have records left stay in.
+    Equal ratios are ordered by a hash of the two titles, so that many equal pairs settle in a few
+    rounds rather than one after another.
     """
-    rank = F.struct((-F.col("ratio")).alias("r"), "a", "b")
+    rank = F.struct((-F.col("ratio")).alias("r"),
+                    F.md5(F.concat_ws("\u001f", "a", "b")).alias("t"), "a", "b")
     # The ratios are costly and every round reads the pairs three times.
     state = checkpointed(pairs.join(left_cap, "a").join(right_cap, "b").select(
         "a", "b", "ratio", "left_n", "right_n"))
@@ -213,7 +276,7 @@ def _allocate(pairs: DataFrame, left_cap: DataFrame, right_cap: DataFrame) -> Da
         taken = marked.where(F.col("quantity").isNotNull())
         if taken.isEmpty():
             break
-        done.append(taken.select("a", "b", "ratio", F.lit(turn).alias("round"), "quantity"))
+        done.append(taken.select("a", "b", "ratio", F.lit(turn + 1).alias("round"), "quantity"))
         spent = lambda side, name: taken.select(side, F.col("quantity").alias(name))
         left_over = lambda n, used: (F.col(n) - F.coalesce(used, F.lit(0))).alias(n)
         state = marked.where(F.col("quantity").isNull()).drop("quantity") \
@@ -222,20 +285,20 @@ def _allocate(pairs: DataFrame, left_cap: DataFrame, right_cap: DataFrame) -> Da
             .where((F.col("left_n") > 0) & (F.col("right_n") > 0))
         turn += 1
     if not done:
-        return marked.select("a", "b", "ratio", F.lit(0).alias("round"), "quantity")
+        return marked.select("a", "b", "ratio", F.lit(1).alias("round"), "quantity")
     return reduce(lambda x, y: x.unionByName(y), done)
 
 
 def match_titles(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
                  left_title: str, right_title: str, manual: DataFrame | None = None,
-                 min_ratio: float = TITLE_RATIO, min_words: float = 0.5,
-                 method: str = "sequence") -> DataFrame:
+                 min_ratio: float = TITLE_RATIO, method: str = "sequence") -> DataFrame:
     """One-to-one title matches (``left_id``, ``right_id``, ``ratio``, ``how``).
 
     Manual pairs come first. Then the best remaining pair is taken, over and over: highest ratio,
-    then title text, then id. Only titles sharing ``min_words`` of the longer title's words are
-    compared. Records with the same title are interchangeable up to their id order, so titles are
-    matched once with the number of records behind them and the records are dealt out by rank.
+    then a hash of the two titles, then id. Equal titles, which come first of all, are settled by one
+    join; only titles with records left are compared. Records with the same title are
+    interchangeable up to their id order, so titles are matched once with the number of records
+    behind them and the records are dealt out by rank.
     """
     a = left.select(F.col(left_id).alias("left_id"), title_key(left_title).alias("key"))
     b = right.select(F.col(right_id).alias("right_id"), title_key(right_title).alias("key"))
@@ -246,11 +309,17 @@ def match_titles(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
         a = a.join(fixed.select("left_id"), "left_id", "left_anti")
         b = b.join(fixed.select("right_id"), "right_id", "left_anti")
     a, b = a.where(F.col("key") != ""), b.where(F.col("key") != "")
-    sets = lambda x: x.select("key").distinct().withColumn("tokens", name_tokens("key"))
     lcap = a.groupBy(F.col("key").alias("a")).agg(F.count(F.lit(1)).alias("left_n"))
     rcap = b.groupBy(F.col("key").alias("b")).agg(F.count(F.lit(1)).alias("right_n"))
-    pairs = title_pairs(sets(a), sets(b), min_ratio, min_words, method)
-    dealt = _allocate(pairs, lcap, rcap)
+    caps = checkpointed(lcap.join(rcap, F.col("a") == F.col("b"), "full_outer"))
+    equal = caps.where("a = b").select("a", "b", F.lit(1.0).alias("ratio"), F.lit(0).alias("round"),
+                                       F.least("left_n", "right_n").alias("quantity"))
+    over = lambda n, m: F.col(n) - F.coalesce(m, F.lit(0))
+    lcap = caps.select("a", over("left_n", "right_n").alias("left_n")).where("left_n > 0")
+    rcap = caps.select("b", over("right_n", "left_n").alias("right_n")).where("right_n > 0")
+    pairs = title_pairs(lcap.select(F.col("a").alias("key")), rcap.select(F.col("b").alias("key")),
+                        min_ratio, method)
+    dealt = equal.unionByName(_allocate(pairs, lcap, rcap))
 
     # Deal the records out: the k-th of a title goes to the slot that covers k.
     spans = _spans(_spans(dealt, "a"), "b")
