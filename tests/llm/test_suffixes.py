@@ -44,6 +44,36 @@ def _texts(seed):
     return out + [out[3], out[3], "", "x" * 199, "x" * 200, prose(50)[:199].ljust(200, "k")]
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_both_ways_to_compare_contexts_agree(monkeypatch, seed):
+    """Contexts of one anchor cut from texts that share it, near copies of each other."""
+    rng = random.Random(seed)
+    anchor = bytes(rng.choice(b"acgt") for _ in range(suffixes.GRAM))
+    before = bytes(rng.choice(b"acgt") for _ in range(152))
+    after = bytes(rng.choice(b"acgt") for _ in range(152))
+    found = set()
+    for _ in range(rng.randint(3, 40)):
+        a, b = list(before[rng.randint(0, 152):]), list(after[:rng.randint(0, 152)])
+        for side in (a, b):
+            if side and rng.random() < .7:
+                side[rng.randrange(len(side))] = ord("z")
+        if len(a) + len(b) + len(anchor) >= 200:
+            found.add((bytes(a) + anchor + bytes(b), len(a), rng.choice([1, 1, 1, 2])))
+    contexts = sorted(found)
+    if len(contexts) < 3:
+        return
+    plain = suffixes.repeated_starts(contexts)
+    monkeypatch.setattr(suffixes, "MATRIX", 0)
+    assert suffixes.repeated_starts(contexts) == plain
+    strings = collections.Counter()
+    for data, at, times in contexts:
+        for k in range(len(data) - 199):
+            strings[at - k, data[k:k + 200]] += times
+    for (data, at, times), spans in zip(contexts, plain):
+        got = {k for a, b in spans for k in range(a, b + 1)}
+        assert got == {k for k in range(len(data) - 199) if strings[at - k, data[k:k + 200]] > 1}
+
+
 @pytest.mark.parametrize("seed", range(60))
 def test_deep_shallow_is_a_sort(seed):
     rng = random.Random(seed)
@@ -56,8 +86,10 @@ def test_deep_shallow_is_a_sort(seed):
         assert shared[k] == len(os.path.commonprefix([strings[order[k - 1]], strings[order[k]]]))
 
 
-@pytest.mark.parametrize("largest", [suffixes.LARGEST, 2])
-def test_documents(spark, monkeypatch, largest):
+@pytest.mark.parametrize("largest,matrix", [
+    (suffixes.LARGEST, suffixes.MATRIX), (suffixes.LARGEST, 2), (2, 2)])
+def test_documents(spark, monkeypatch, largest, matrix):
+    monkeypatch.setattr(suffixes, "MATRIX", matrix)
     if largest != suffixes.LARGEST:  # anchors with more contexts take the other way
         plain = suffixes.repeated_ranges
         monkeypatch.setattr(suffixes, "repeated_ranges",

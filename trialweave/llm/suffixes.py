@@ -24,8 +24,9 @@ LENGTH, GRAM = 200, 48
 STARTS = 1 << 19
 #: Depth to which multikey quicksort orders suffixes before blind tries take over.
 SHALLOW = GRAM + 16
-#: Distinct contexts of one anchor that are ordered in one task; beyond, windows are hashed instead.
-LARGEST = 1024
+#: Distinct contexts of one anchor up to which common prefixes are put side by side in a matrix, and
+#: up to which they are ordered in one task at all; beyond, windows are hashed instead.
+MATRIX, LARGEST = 48, 50_000
 
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
@@ -223,6 +224,39 @@ def _prefix_matrix(strings: list[bytes]) -> np.ndarray:
     return out
 
 
+def _starts_by_class(left: list[bytes], right: list[bytes], length: int
+                     ) -> list[list[tuple[int, int]]]:
+    """Ranges (nearest, farthest) of offsets to the anchor that are repeated, for each context.
+
+    In sorted order a new class begins where the common prefix falls short, so strings with one
+    start offset are equal exactly if their classes to the left and to the right are.
+    """
+    n = len(left)
+    ranks, shared, lengths = [], [], []
+    for strings in (left, right):
+        order, common = deep_shallow(strings)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        ranks.append(rank)
+        shared.append(np.array(common))
+        lengths.append(np.array([len(s) for s in strings]))
+    repeated = np.zeros((n, length - GRAM + 3), bool)  # with an empty column on either side
+    for offset in range(length - GRAM + 1):
+        rows = np.flatnonzero((lengths[0] >= offset) & (lengths[1] >= length - offset))
+        if len(rows) < 2:
+            continue
+        before = np.cumsum(shared[0] < offset)[ranks[0][rows]] if offset else 0
+        after = np.cumsum(shared[1] < length - offset)[ranks[1][rows]]
+        _, member, size = np.unique(before * (n + 1) + after, return_inverse=True,
+                                    return_counts=True)
+        repeated[rows[size[member] > 1], offset + 1] = True
+    edges = np.diff(repeated.astype(np.int8), axis=1)
+    spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for (i, a), (_, b) in zip(np.argwhere(edges == 1).tolist(), np.argwhere(edges == -1).tolist()):
+        spans[i].append((a, b - 1))
+    return spans
+
+
 def repeated_starts(contexts: list[tuple[bytes, int, int]], length: int = LENGTH
                     ) -> list[list[tuple[int, int]]]:
     """For contexts (bytes, bytes before the anchor, times it occurs) of one anchor: the ranges
@@ -232,6 +266,11 @@ def repeated_starts(contexts: list[tuple[bytes, int, int]], length: int = LENGTH
         return [[(0, len(data) - length)] if times > 1 else []]
     left = [data[:before][::-1] for data, before, _ in contexts]
     right = [data[before:] for data, before, _ in contexts]
+    if len(contexts) > MATRIX:
+        found = _starts_by_class(left, right, length)
+        return [[(0, len(data) - length)] if times > 1 else
+                [(before - b, before - a) for a, b in reversed(spans)]
+                for (data, before, times), spans in zip(contexts, found)]
     if len(contexts) == 2:
         lefts = rights = None
         pair = common_prefix(*left), common_prefix(*right)
