@@ -420,8 +420,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, largest: int = LARGES
     """
     once = _runs_of(docs, length, False).groupBy("h").agg(
         F.count("*").alias("n"), F.min("sh").alias("low"), F.max("sh").alias("high"))
-    shared = once.where("n > 1").select(F.col("h").alias("_h"),
-                                        (F.col("low") == F.col("high")).alias("single"))
+    # stored, so that the join below reads plain shuffles, whose hot anchors can be split
+    shared = checkpointed(once.where("n > 1").select(
+        F.col("h").alias("_h"), (F.col("low") == F.col("high")).alias("single")))
     kept = checkpointed(_runs_of(docs, length, True).join(shared.hint("merge"), F.col("h") == F.col("_h"))
                         .drop("_h"))
 
