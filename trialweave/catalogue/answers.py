@@ -92,6 +92,31 @@ def triage(spark, sf):
     return A.triage(changes, coded, A.note_only(_notes(spark, sf), changes))
 
 
+@query("""WITH shown AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS record_id, CAST(l_linenumber AS VARCHAR) AS field,
+    l_returnflag AS value, CASE l_linestatus WHEN 'O' THEN 'gap' END AS flag,
+    CASE WHEN l_suppkey % 2 = 0 THEN l_linestatus ELSE l_returnflag END AS reply, l_partkey AS p
+  FROM lineitem),
+sent AS (SELECT record_id, field, value AS sent, flag FROM shown WHERE p % 10 <> 0
+  QUALIFY row_number() OVER (PARTITION BY record_id, field ORDER BY value DESC, flag DESC NULLS LAST) = 1),
+back AS (SELECT record_id, field, max(reply) AS returned FROM shown GROUP BY ALL),
+found AS (SELECT CASE WHEN sent IS NULL THEN 'not_sent' WHEN flag = 'gap' THEN 'answer'
+    ELSE 'out_of_scope' END AS outcome
+  FROM back LEFT JOIN sent USING (record_id, field) WHERE sent IS NULL OR returned <> sent)
+SELECT outcome, count(*) AS cells FROM found GROUP BY outcome""")
+def audit_repeats(spark, sf):
+    """Cells that occur several times on either side, and cells that were never sent."""
+    shown = table(spark, sf, "lineitem").select(
+        S.text("l_orderkey").alias("record_id"), S.text("l_linenumber").alias("field"),
+        F.col("l_returnflag").alias("value"),
+        F.when(F.col("l_linestatus") == "O", "gap").alias("flag"), "l_partkey",
+        F.when(S.every("l_suppkey", 2), F.col("l_linestatus")).otherwise(F.col("l_returnflag"))
+        .alias("reply"))
+    sent = shown.where(F.col("l_partkey") % 10 != 0).select("record_id", "field", "value", "flag")
+    back = shown.select("record_id", "field", F.col("reply").alias("value"))
+    return A.audit_counts(A.returned_audit(sent, back))
+
+
 VISIT = Dictionary([
     Field("visit_id", "visit", field_label="Visit"),
     Field("outcome", "visit", field_type="radio", field_label="Order  status?",
@@ -280,3 +305,12 @@ SELECT site, workbook, primary_field, count(*) AS records,
 def change_summary(spark, sf):
     return C.largest_first(C.change_groups(C.change_details(
         _drafts(spark, sf), S.STUDY, "record_id")))
+
+
+@query(f"""WITH {_DRAFTS_SQL}
+SELECT site, record_id, primary_field FROM lines ORDER BY primary_field, site, record_id LIMIT 20""")
+def first_operations(spark, sf):
+    """A trial run over the first operations of a stated order."""
+    changes = C.change_details(_drafts(spark, sf), S.STUDY, "record_id").select(
+        "site", "record_id", "primary_field")
+    return C.first_operations(changes, ["primary_field", "site", "record_id"], 20)

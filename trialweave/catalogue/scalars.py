@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
+from ..functions import constants as K
 from ..functions import dates as D
 from ..functions import text as X
 from . import shapes as S
@@ -132,6 +133,27 @@ def classify_text(spark, sf):
         "doc_id", X.keyword_class("source", "text", rules=rules, default="none").alias("kind"))
 
 
+_STUDIES = ("a tissue-bank of {}", "Focus group on {}", "RANDOMISED use of {}", "deep  learning for {}",
+            "deep learning for {}", "capacity-building with {}", "prevalence of {}",
+            "single-cell {}", "the price of {}", "Phase 2 of {}, a cohort study", "brinterviewing {}")
+
+
+@query("SELECT p_partkey, CASE " + " ".join(
+    f"WHEN regexp_matches(t, '{pattern}') THEN '{label}'" for pattern, label in K.SUBCATEGORIES)
+    + f" ELSE '{K.SUBCATEGORY_UNCLEAR}' END AS subcategory FROM (SELECT p_partkey, lower(CASE "
+    + " ".join(f"WHEN p_partkey % {len(_STUDIES)} = {i} THEN '{t.split('{}')[0]}' || p_name || "
+               f"'{t.split('{}')[1]}'" for i, t in enumerate(_STUDIES))
+    + " END || ' ' || p_type) AS t FROM part)")
+def study_subcategories(spark, sf):
+    """The seven research sub-categories, first pattern first, over titles made of part names."""
+    titles = F.array(*[F.concat(F.lit(t.split("{}")[0]), "p_name", F.lit(t.split("{}")[1]))
+                       for t in _STUDIES])
+    return table(spark, sf, "part").select(
+        "p_partkey", F.element_at(titles, (F.col("p_partkey") % len(_STUDIES) + 1).cast("int"))
+        .alias("title"), "p_type").select(
+        "p_partkey", X.keyword_class("title", "p_type").alias("subcategory"))
+
+
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'as cited' WHEN c_custkey % 3 = 0
   THEN c_mktsegment ELSE c_mktsegment || ' F' END AS cited, CASE WHEN c_custkey % 3 = 0 THEN ''
   ELSE 'Funmilola A' END AS first FROM customer""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import diff as D
-from ..operators.ordering import first_per_key
+from ..operators.ordering import first_per_key, last_per_key
 from ..sources import readers as R
 from . import shapes as S
 from .registry import query, table
@@ -94,6 +94,54 @@ def verify_live_reference(spark, sf):
                          unique=True)
 
 
+_LINES = """lines AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS record_id, l_returnflag AS status,
+    CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS price,
+    CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_linestatus END AS status_now,
+    CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END
+      AS price_now,
+    l_linenumber * 10000000000 + l_partkey AS seq, l_suppkey * 10000000000 + l_partkey AS seq_now
+  FROM lineitem),
+new AS (SELECT record_id, status, price FROM lines QUALIFY row_number() OVER (
+  PARTITION BY record_id ORDER BY seq DESC, status DESC, price DESC) = 1),
+old AS (SELECT record_id, status_now AS status, price_now AS price FROM lines QUALIFY row_number()
+  OVER (PARTITION BY record_id ORDER BY seq_now DESC, status_now DESC, price_now DESC) = 1),
+cells AS (SELECT record_id, 'status' AS field, new.status AS n, old.status AS o
+  FROM new JOIN old USING (record_id)
+  UNION ALL SELECT record_id, 'price', new.price, old.price FROM new JOIN old USING (record_id))"""
+
+
+def _lines(spark, sf):
+    """Order lines as two tables in which record ids repeat, each with its own input order."""
+    lines = table(spark, sf, "lineitem")
+    price = S.text(F.col("l_quantity").cast("int"))
+    key, line = S.text("l_orderkey").alias("record_id"), F.col("l_linenumber")
+    order = lambda c: (F.col(c).cast("long") * 10**10 + F.col("l_partkey")).alias("seq")
+    new = lines.select(key, F.col("l_returnflag").alias("status"), price.alias("price"),
+                       order("l_linenumber"))
+    old = lines.select(key, F.when(line % 3 == 0, "").otherwise(F.col("l_linestatus")).alias("status"),
+                       F.when(line % 2 == 0, "").otherwise(price).alias("price"),
+                       order("l_suppkey"))
+    return new, old
+
+
+@query(f"""WITH {_LINES} SELECT field, CASE WHEN o = n OR n = '' THEN 'noop' WHEN o = '' THEN 'fill'
+  ELSE 'conflict' END AS verdict, count(*) AS cells FROM cells GROUP BY ALL""")
+def cell_diff_repeats(spark, sf):
+    """Of rows with one id the last of each table counts."""
+    return D.CellDiff(*_lines(spark, sf), "record_id", seq="seq").counts()
+
+
+@query(f"""WITH {_LINES} SELECT field, CASE WHEN o = n THEN 'already_current' WHEN o <> '' THEN 'conflict'
+  ELSE 'keep' END AS outcome, count(*) AS cells FROM cells WHERE n <> '' GROUP BY ALL""")
+def verify_live_repeats(spark, sf):
+    """One plan for each record against live rows whose ids repeat."""
+    new, old = _lines(spark, sf)
+    planned = last_per_key(new, ["record_id"], ["seq"]).drop("seq")
+    return D.verify_live(planned, old, "record_id", seq="seq").groupBy("field", "outcome").agg(
+        F.count(F.lit(1)).alias("cells"))
+
+
 @query("""SELECT o_orderkey, o_orderstatus AS old, CASE WHEN o_totalprice > 200000 THEN 'F'
   ELSE o_orderstatus END AS new FROM orders WHERE o_totalprice > 200000 AND o_orderstatus <> 'F'""")
 def changed_values(spark, sf):

@@ -67,3 +67,12 @@ def change_groups(details: DataFrame, group: tuple[str, ...] = ("site", "workboo
 def largest_first(groups: DataFrame, group: tuple[str, ...] = ("site", "workbook")) -> DataFrame:
     """O4."""
     return groups.orderBy(*group, F.desc("records"), "primary_field")
+
+
+def first_operations(operations: DataFrame, order: list[str], n: int | None) -> DataFrame:
+    """The first ``n`` operations of an explicit total order, all of them without ``n``.
+
+    Spark keeps ``n`` rows on each task and merges those.
+    """
+    ordered = operations.orderBy(*order)
+    return ordered if n is None else ordered.limit(n)
