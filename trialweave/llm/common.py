@@ -1,7 +1,13 @@
 """What the operators share: tables, folds, Arrow batches, row keys and a safe checkpoint."""
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +19,27 @@ from ..operators.lineage import checkpointed, use_checkpoint_dir
 #: documents and what is made of it stays small beside a worker's memory.
 PIECE_BYTES = 4 << 20
 
-__all__ = ["checkpointed", "use_checkpoint_dir", "table", "fold", "fresh", "map_arrow", "pieces"]
+__all__ = ["checkpointed", "use_checkpoint_dir", "table", "fold", "fresh", "map_arrow", "pieces",
+           "ship"]
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's sources to the workers, once for each application, so that tasks can
+    import it wherever they run and whatever folder they start in."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix=f"{package.name}-")  # read by the driver's file server only
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, f"{package.name}-sources.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as sources:
+        for path in sorted(package.rglob("*.py")):
+            sources.write(path, path.relative_to(package.parent))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +81,8 @@ def map_arrow(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.R
 
     With ``text`` the batches are cut by the size of that column first.
     """
+    ship(df.sparkSession)
+
     def run(batches):
         fn = build()
         for batch in batches:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed
+from .common import checkpointed, ship
 
 
 def _fold_batches(batches):
@@ -41,6 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     it can reach. ``edges`` holds two long columns; loops, repeats and nulls are allowed and have
     no effect. No edges give no rows.
     """
+    ship(edges.sparkSession)
     a, b = edges.columns[:2]
     now = (edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
            .where("x is not null and y is not null and x <> y")

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import map_arrow
+from .common import map_arrow, ship
 
 BUCKETS = 512
 #: Offsets of the triplets inside a window of five bytes.
@@ -141,6 +141,8 @@ def with_edits(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"),
                      F.coalesce(text, F.lit("")).alias("text"))
 
+    ship(df.sparkSession)
+
     def run(batches):
         waiting = None  # (slice, id, text, fingerprint) of the row whose successor comes next
         for batch in batches:

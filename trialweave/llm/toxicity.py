@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, map_arrow
+from .common import checkpointed, map_arrow, ship
 
 BUCKET_BITS = 20
 #: Lengths of the beginnings that are terms; words up to LONGEST letters are terms as a whole.
@@ -81,6 +81,8 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: s
 
 def select_features(sample: DataFrame, features: int = FEATURES) -> np.ndarray:
     """The buckets whose presence differs most between the labels, by chi-square, best first."""
+    ship(sample.sparkSession)
+
     def run(batches):
         seen = np.zeros((2, 1 << BUCKET_BITS), np.int32)
         totals = np.zeros(2, np.int64)
