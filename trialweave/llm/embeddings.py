@@ -150,7 +150,10 @@ def _split(state: DataFrame, large: DataFrame, first: bool, threshold: float, le
     """One round: the leaves of every row in a large node are replaced by leaves below it."""
     rows = state.select("uid", "unit", F.explode("leaves").alias("node"))
     ranked = Window.partitionBy("node").orderBy("key", "uid")
-    sample = (rows.join(large, "node").withColumn("key", F.xxhash64("uid", "node"))
+    # of a large node only low hashes are ranked, several times as many rows as the sample needs
+    sample = (rows.join(large, "node")
+              .withColumn("key", F.shiftrightunsigned(F.xxhash64("uid", "node"), 1))
+              .where(F.col("key") <= F.least(F.lit(1.0), 4.0 * SAMPLE / F.col("n")) * float(1 << 63))
               .withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= SAMPLE))
 
     def fit(key, table):

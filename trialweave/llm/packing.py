@@ -11,7 +11,6 @@ all pieces in parallel by their rank among pieces of their length.
 from __future__ import annotations
 
 import functools
-import math
 import sys
 import zlib
 from array import array

@@ -53,7 +53,8 @@ _HINTS = ("password", "passwd", "secret", "token", "api")
 _PAIR = re.compile(
     r"""(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})["'\]]{0,2}[ \t]{0,8}(?P<mark>:=|=>|=|:)[ \t]{0,8}"""
     r"""(?:"(?P<dq>[^"\n\\]{0,512})"|'(?P<sq>[^'\n\\]{0,512})'|(?P<bare>[^\s"'<>,;(){}\[\]]{1,512}))""")
-_JOINED = re.compile(r"""[ \t]{0,8}\+[ \t]{0,8}(?:"(?P<dq>[^"\n\\]{0,512})"|'(?P<sq>[^'\n\\]{0,512})')""")
+_JOINED = re.compile(
+    r"""[ \t]{0,8}\+[ \t]{0,8}(?:"(?P<dq>[^"\n\\]{0,512})"|'(?P<sq>[^'\n\\]{0,512})')""")
 _TAG = re.compile(r"<(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})>(?P<bare>[^<>\s]{1,512})</(?P=name)>")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")

@@ -439,7 +439,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, largest: int = LARGES
     wanted = checkpointed(classes.join(number, F.col("h") == F.col("_h")).select(
         "h", "sh", "times", "classes", "one.*"))
     again = wanted.where("times > 1").select(F.col("h").alias("_h"), F.col("sh").alias("_sh"))
-    copies = ranges(mixed.join(again.hint("merge"), (F.col("h") == F.col("_h")) & (F.col("sh") == F.col("_sh"))))
+    copies = ranges(mixed.join(again.hint("merge"), (F.col("h") == F.col("_h"))
+                               & (F.col("sh") == F.col("_sh"))))
     slices = checkpointed(_slices(docs, wanted, length))
     out = equal.unionByName(copies).unionByName(
         _ordered(slices.where(F.col("classes") <= largest), length))
