@@ -128,3 +128,40 @@ def json_roundtrip(spark, sf):
     records = table(spark, sf, "customer").select(
         S.text("c_custkey").alias("c_custkey"), "c_name", "c_mktsegment")
     return A.from_json_payload(A.to_json_payload(records, "c_custkey"), records.columns)
+
+
+_KIND = "CASE p_partkey % 6 WHEN 0 THEN 'radio' WHEN 1 THEN 'text' WHEN 2 THEN 'notes' " \
+    "WHEN 3 THEN 'checkbox' WHEN 4 THEN 'calc' ELSE 'dropdown' END"
+_MISSING = ", ".join(f"'{t}'" for t in K.MISSING_CHOICE_TEXT)
+
+
+@query(f"""WITH f AS (
+  SELECT p_brand AS project_id, p_partkey AS pos, {_KIND} AS field_type,
+    CASE WHEN p_partkey % 6 IN (0, 3, 5) THEN CASE WHEN p_size % 3 = 0 THEN '1, Yes | -888, Missing in case notes'
+      WHEN p_size % 3 = 1 THEN '1, Yes' ELSE '' END ELSE '' END AS choices,
+    CASE WHEN p_size % 4 = 0 THEN p_name ELSE '' END AS note, p_size % 2 = 1 AS dated,
+    p_partkey > min(p_partkey) OVER (PARTITION BY p_brand) AND p_partkey % 6 <> 4 AS due
+  FROM part)
+SELECT project_id, pos, CASE WHEN due AND field_type IN ('radio', 'dropdown', 'checkbox')
+    THEN array_to_string(list_filter([choices] || list_filter([{_MISSING}],
+      lambda t: NOT contains(choices, t)), lambda t: t <> ''), ' | ') ELSE choices END AS choices,
+  CASE WHEN due AND field_type IN ('text', 'notes') AND note = '' THEN
+    CASE WHEN dated THEN '{K.DATE_MISSING_NOTE}' ELSE '{K.TEXT_MISSING_NOTE}' END
+    ELSE note END AS note FROM f""")
+def missing_codes_added(spark, sf):
+    """Parts as fields, brands as projects: what each field's choices and note become."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    kinds = F.array(*map(F.lit, ("radio", "text", "notes", "checkbox", "calc", "dropdown")))
+    rows = table(spark, sf, "part").select(
+        F.col("p_brand").alias("project_id"), k.alias("pos"),
+        F.concat(F.lit("f"), S.text("p_partkey")).alias("field_name"),
+        F.element_at(kinds, (k % 6 + 1).cast("int")).alias("field_type"),
+        F.when((k % 6).isin(0, 3, 5), F.when(size % 3 == 0, "1, Yes | -888, Missing in case notes")
+               .when(size % 3 == 1, "1, Yes").otherwise("")).otherwise("")
+        .alias("select_choices_or_calculations"),
+        F.when(size % 4 == 0, F.col("p_name")).otherwise("").alias("field_note"),
+        F.when(size % 2 == 1, "date_dmy").otherwise("")
+        .alias("text_validation_type_or_show_slider_number"))
+    return A.with_missing_codes(rows).select(
+        "project_id", "pos", F.col("select_choices_or_calculations").alias("choices"),
+        F.col("field_note").alias("note"))

@@ -117,3 +117,27 @@ def from_json_payload(df: DataFrame, columns: list[str], payload: str = "payload
     """R5 back: named string columns out of a JSON text."""
     schema = ", ".join(f"`{c}` string" for c in columns)
     return df.select(F.from_json(payload, schema).alias("_j")).select("_j.*")
+
+
+def with_missing_codes(rows: DataFrame, project: str = "project_id") -> DataFrame:
+    """R4 over many dictionaries at once: missing-code choices or notes where the field type asks.
+
+    ``rows`` are dictionary rows with ``pos``; a project's first row, exempt types and exempt fields
+    stay as they are. Choices that are there already are not added again, and a note is only written
+    where there is none.
+    """
+    first = rows.groupBy(F.col(project).alias("_project")).agg(F.min("pos").alias("_first"))
+    kind, choices = F.col("field_type"), "select_choices_or_calculations"
+    due = ((F.col("pos") != F.col("_first")) & ~kind.isin(*K.MISSING_EXEMPT_TYPES)
+           & ~F.col("field_name").isin(*K.MISSING_EXEMPT_FIELDS))
+    have = strip(choices)
+    lacking = F.filter(F.array(*[F.lit(t) for t in K.MISSING_CHOICE_TEXT]),
+                       lambda t: ~have.contains(t))
+    note = F.when(F.col("text_validation_type_or_show_slider_number").startswith("date"),
+                  K.DATE_MISSING_NOTE).otherwise(K.TEXT_MISSING_NOTE)
+    return rows.join(first, F.col(project).eqNullSafe(F.col("_project"))).withColumns({
+        choices: F.when(due & kind.isin("radio", "dropdown", "checkbox"), F.array_join(
+            F.filter(F.concat(F.array(have), lacking), lambda t: t != ""), " | "))
+        .otherwise(F.col(choices)),
+        "field_note": F.when(due & kind.isin("text", "notes") & (strip("field_note") == ""), note)
+        .otherwise(F.col("field_note"))}).drop("_project", "_first")
