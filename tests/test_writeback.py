@@ -1,7 +1,9 @@
 import pytest
 
+from trialweave.functions.cells import norm_value
 from trialweave.operators import diff as D
 from trialweave.operators import linkage as L
+from trialweave.operators import matching as M
 from trialweave.sources import readers as R
 from trialweave.sources import sinks
 
@@ -125,3 +127,61 @@ def test_snapshots(spark, tmp_path, rows):
     snaps = sinks.read_snapshots(spark, path)
     assert rows(latest_before(snaps), "v") == [("c",)]
     assert rows(latest_before(snaps, before="2024-01-15T00"), "v") == [("b",)]
+
+
+def test_a_round_written_again_loses_sites_without_work(spark, tmp_path):
+    cells = lambda *sites: make(spark, ("mode", "workbook", "site", "record_id"),
+                                *[("m", "w", s, "1") for s in sites])
+    path = str(tmp_path / "lists")
+    sinks.write_worklists(cells("007", "008"), path, "r1")
+    sinks.write_worklists(cells("009"), path, "r 2/b")
+    sinks.write_worklists(cells("007"), path, "r1")
+    back = sinks.read_snapshots(spark, path)
+    assert sorted((r["round"], r.site) for r in back.collect()) == [("r 2/b", "009"), ("r1", "007")]
+    assert dict(back.dtypes)["site"] == "string"
+
+
+def test_snapshots_are_replaced_by_stamp(spark, tmp_path, rows):
+    path = str(tmp_path / "snaps")
+    frame = lambda *sites: make(spark, ("site", "v"), *[(s, "x") for s in sites])
+    sinks.write_snapshot(frame("01", "02"), path, "2024-01-01", ["site"])
+    sinks.write_snapshot(frame("01"), path, "2024-01-02", ["site"])
+    sinks.write_snapshot(frame("02"), path, "2024-01-01", ["site"])
+    assert rows(sinks.read_snapshots(spark, path), "snapshot_ts", "site", "v") == [
+        ("2024-01-01", "02", "x"), ("2024-01-02", "01", "x")]
+
+
+def test_input_order_of_a_file(spark, tmp_path, rows):
+    path = tmp_path / "records.csv"
+    path.write_text("id,a\n1,first\n2,only\n1,\"la\nst\"\n")
+    records = R.read_export(spark, str(path), seq="seq")
+    assert rows(R.keyed(records, "id", "seq"), "id", "a") == [("1", "la\nst"), ("2", "only")]
+    plain = tmp_path / "plain.csv"
+    plain.write_text("id,a\n" + "".join(f"{i % 50},{i}\n" for i in range(500)))
+    split = R.read_export(spark, str(plain), multiline=False, seq="seq")
+    assert {r.id: r.a for r in R.keyed(split, "id", "seq").collect()} == {
+        str(i): str(450 + i) for i in range(50)}
+
+
+def test_drafts_take_names_as_written(spark, tmp_path):
+    (tmp_path / "My Site_core.csv").write_text("record_id,a\n1,x\n")
+    (tmp_path / "b+c_more_parts.csv").write_text("record_id,b\n2,y\n")
+    got = R.read_drafts(spark, str(tmp_path))
+    assert got.columns[:3] == ["site", "workbook", "record_id"]
+    assert sorted((r.site, r.workbook, r.record_id, r.a, r.b) for r in got.collect()) == [
+        ("b+c", "more_parts", "2", "", "y"), ("my site", "core", "1", "x", "")]
+
+
+def test_text_ids_are_kept_and_repeats_numbered(spark):
+    df = spark.createDataFrame([("A1", 1), ("7", 2), ("A1", 3), ("7", 4)], "id string, at long")
+    got = {r["at"]: (r["new_id"], r.renumbered) for r in M.renumber_duplicates(df, "id", ["at"]).collect()}
+    assert got == {1: (None, False), 2: (7, False), 3: (8, True), 4: (9, True)}
+
+
+@pytest.mark.parametrize("text, want", [
+    ("1e16", "10000000000000000"), ("-2.50e15", "-2500000000000000"), ("1e38", "1e38"),
+    ("1234567890123456.50", "1234567890123456.5"), ("0.10", "0.1"), ("00012345678901234567890", "12345678901234567890"),
+])
+def test_wide_numbers(spark, text, want):
+    got = make(spark, ("a",), (text,)).select(norm_value("a").alias("x")).first().x
+    assert got == want

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import constants as K
@@ -82,6 +82,11 @@ def union_payloads(frames: list[DataFrame]) -> DataFrame:
     return blanks(stacked.select(*order))
 
 
+def _unescaped(path: Column) -> Column:
+    """A file's path as it is named; Spark escapes it, but for the plus sign, which stays itself."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def read_drafts(spark: SparkSession, folder: str) -> DataFrame:
     """Every ``<site>_<workbook>.csv`` of a folder, with both names taken from the file name.
 
@@ -90,7 +95,7 @@ def read_drafts(spark: SparkSession, folder: str) -> DataFrame:
     """
     lines = spark.read.option("pathGlobFilter", "*.csv").text(folder).where(
         "_metadata.file_block_start = 0").select(
-        F.col("_metadata.file_path").alias("path"), "value",
+        _unescaped(F.col("_metadata.file_path")).alias("path"), "value",
         F.monotonically_increasing_id().alias("at"))
     heads = lines.groupBy("path").agg(F.min_by("value", "at").alias("head"))
     groups: dict[str, list[str]] = {}
@@ -104,9 +109,7 @@ def read_drafts(spark: SparkSession, folder: str) -> DataFrame:
 
 def with_draft_names(df: DataFrame) -> DataFrame:
     """Site (lower case) and workbook from the input file's name."""
-    # file names come escaped; a plus sign is itself there and would be read as a space
-    name = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
-    stem = F.regexp_extract(name, r"([^/]+)\.csv$", 1)
+    stem = F.regexp_extract(_unescaped(F.input_file_name()), r"([^/]+)\.csv$", 1)
     return df.select(
         F.lower(F.substring_index(stem, "_", 1)).alias("site"),
         F.when(stem.contains("_"), F.regexp_replace(stem, "^[^_]*_", "")).otherwise("")
