@@ -117,15 +117,29 @@ def missing_labels(spark, sf):
     return T.missingness(docs, ["text", "lang", "source", "quality"]).drop("rate")
 
 
-@query("""SELECT count(*) AS records, 14 AS fields, 'record_id' AS id_field, 5 AS coded_fields
-FROM orders""")
+def _nation_dictionary(spark, sf):
+    """Nations as fields: regions are forms, some have choices."""
+    region = F.col("n_regionkey")
+    return Dictionary.from_frame(table(spark, sf, "nation").select(
+        F.col("n_nationkey").alias("pos"), F.concat(F.lit("f"), S.text("n_nationkey")).alias("field_name"),
+        F.concat(F.lit("form"), S.text("n_regionkey")).alias("form_name"),
+        F.when(region == 1, "radio").when(region == 2, "checkbox").otherwise("text").alias("field_type"),
+        F.when(S.every("n_nationkey", 3), "").otherwise("1, Yes | 0, No")
+        .alias("select_choices_or_calculations")))
+
+
+@query("""SELECT (SELECT count(*) FROM customer) AS records,
+  (SELECT count(*) FROM (DESCRIBE customer)) AS fields,
+  (SELECT 'f' || min(n_nationkey) FROM nation) AS id_field,
+  (SELECT count(*) FROM nation WHERE n_regionkey IN (1, 2) AND n_nationkey % 3 <> 0) AS coded_fields""")
 def dataset_shape(spark, sf):
-    return T.dataset_shape(S.study(spark, sf), S.STUDY)
+    return T.dataset_shape(table(spark, sf, "customer"), _nation_dictionary(spark, sf))
 
 
-@query("SELECT count(*) AS records, 11 AS fields, 2 AS forms FROM orders")
+@query("""SELECT (SELECT count(*) FROM orders) AS records, (SELECT count(*) FROM nation) AS fields,
+  (SELECT count(DISTINCT n_regionkey) FROM nation) AS forms""")
 def overview(spark, sf):
-    return E.overview(S.study(spark, sf), S.STUDY)
+    return E.overview(table(spark, sf, "orders"), _nation_dictionary(spark, sf))
 
 
 _PRICES_SQL = S.STUDY_SQL + """,
