@@ -1,6 +1,7 @@
 """Plain spans against the patterns as given, and what the lexer adds."""
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -76,3 +77,39 @@ def test_query(spark):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(
             sum(s[1] == i for s in plain) for i in range(3))
         assert set(text.split(",")) - {""} <= set(r["spans"].split(","))
+
+
+_LONG = "".join(hashlib.sha256(str(i).encode()).hexdigest()[:20].upper() for i in range(36))
+
+
+@pytest.mark.parametrize("text,literals", [
+    (f'private_key = "{_LONG}"', [_LONG]),
+    (f"client_auth = {_LONG} x", [_LONG]),
+    (f"<credentials>{_LONG}</credentials>", [_LONG]),
+    (f"auth_signature = '{_LONG}' + '{_LONG}'", [f"{_LONG}' + '{_LONG}"]),
+    (r'db_pwd = "Zx81\kkQ0-17ab"', [r"Zx81\kkQ0-17ab"]),
+    (r'"private_key": "-----BEGIN\nMIIEvQ\"9a\n-----END\n"}', [r"-----BEGIN\nMIIEvQ\"9a\n-----END\n"]),
+    ('db_pwd' + " " * 30 + "=" + "\t" * 30 + '"Zx81-kkQ0-17ab"', ["Zx81-kkQ0-17ab"]),
+    ("auth_signature = 'a8Kd93'" + " " * 20 + "+" + " " * 20 + "'Lm20Qx'",
+     ["a8Kd93'" + " " * 20 + "+" + " " * 20 + "'Lm20Qx"]),
+    ("a_" * 60 + "db_pwd = 'Zx81-kkQ0-17ab'", ["Zx81-kkQ0-17ab"]),
+    ("<" + "a_" * 60 + "pwd>mN4kP9sT2vX7</" + "a_" * 60 + "pwd>", ["mN4kP9sT2vX7"]),
+    (r'''note = "one\n db_pwd = 'Zx81-kkQ0-17ab' two"''', ["Zx81-kkQ0-17ab"]),
+    (f'''note = "{'word ' * 200} db_pwd: 'Zx81-kkQ0-17ab'"''', ["Zx81-kkQ0-17ab"]),
+    (f"link = https://x/?q={'word' * 200}&db_pwd=Zx81-kkQ0-17ab&z=1", ["Zx81-kkQ0-17ab"]),
+])
+def test_literals_names_and_gaps_of_any_length(text, literals):
+    found = [text[a:b] for a, b, k in secrets.all_spans(text) if k == "literal"]
+    assert found == literals
+
+
+@pytest.mark.parametrize("part", ["a", "a=", "a = ", 'a="', "a='b=\"", "a=\\\"", "a ", "<a>", "?a=",
+                                  "a='\\", 'a="b" + ', "a: \t"])
+def test_the_scan_is_linear(part):
+    clock = time.process_time
+    times = []
+    for n in (20_000, 160_000):
+        text, began = part * n, clock()
+        secrets.literal_spans(text)
+        times.append(clock() - began)
+    assert times[1] < 30 * times[0] + 0.5

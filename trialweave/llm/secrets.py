@@ -49,13 +49,18 @@ _HEX = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)  # noqa: UP031
 _HINTS = ("password", "passwd", "secret", "token", "api")
 
 # A name, an assignment mark, and what follows it up to the end of a literal. The name may be
-# quoted or dotted; one space-free bare word counts as a literal only after "=" or ":".
+# quoted or dotted; one space-free bare word counts as a literal only after "=" or ":". Nothing has
+# a length limit: possessive runs keep the scan linear, since none of them is read twice.
+_LABEL = r"(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)"
+_QUOTED = (r"""(?:"(?P<dq>[^"\n\\]*+(?:\\[\s\S][^"\n\\]*+)*+)"|"""
+           r"""'(?P<sq>[^'\n\\]*+(?:\\[\s\S][^'\n\\]*+)*+)'""")
 _PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})["'\]]{0,2}[ \t]{0,8}(?P<mark>:=|=>|=|:)[ \t]{0,8}"""
-    r"""(?:"(?P<dq>[^"\n\\]{0,512})"|'(?P<sq>[^'\n\\]{0,512})'|(?P<bare>[^\s"'<>,;(){}\[\]]{1,512}))""")
-_JOINED = re.compile(
-    r"""[ \t]{0,8}\+[ \t]{0,8}(?:"(?P<dq>[^"\n\\]{0,512})"|'(?P<sq>[^'\n\\]{0,512})')""")
-_TAG = re.compile(r"<(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})>(?P<bare>[^<>\s]{1,512})</(?P=name)>")
+    r"(?<![A-Za-z0-9_.-])" + _LABEL + r"""["'\]]{0,2}[ \t]*+(?P<mark>:=|=>|=|:)[ \t]*+"""
+    + _QUOTED + r"""|(?P<bare>[^\s"'<>,;(){}\[\]]++))""")
+_JOINED = re.compile(r"[ \t]*+\+[ \t]*+" + _QUOTED + ")")
+_TAG = re.compile("<" + _LABEL + r">(?P<bare>[^<>\s]++)</(?P=name)>")
+#: A further pair of a query string, inside a bare literal.
+_FIELD = re.compile("(?<=[?&])" + _LABEL + "=(?P<bare>[^&]++)")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 
@@ -92,37 +97,58 @@ def randomness(literal: str) -> float:
     return min(1.0, entropy / scale) * (1.0 if digits else 0.4)
 
 
-def lex(text: str) -> list[tuple[int, str, int, int, str]]:
-    """Pairs (position, name, literal start, literal end, literal) in the order of the text."""
-    pairs = []
-    for match in _PAIR.finditer(text):
-        group = next(g for g in ("dq", "sq", "bare") if match[g] is not None)
-        start, end = match.span(group)
-        literal, at = match[group], match.end()
-        while group != "bare" and (more := _JOINED.match(text, at)):
-            part = "dq" if more["dq"] is not None else "sq"
-            literal, end, at = literal + more[part], more.end(part), more.end()
-        pairs.append((match.start(), match["name"], start, end, literal))
+def lex(text: str) -> list[tuple[int, str, int, int, str, bool]]:
+    """Pairs (position, name, literal start, literal end, literal, whether it lies in the literal of
+    another pair) in the order of the text."""
+    pairs = list(_lexed(text, 0, len(text), False))
     if "</" in text:
-        pairs += [(m.start(), m["name"], *m.span("bare"), m["bare"]) for m in _TAG.finditer(text)]
+        pairs += [(m.start(), m["name"], *m.span("bare"), m["bare"], False)
+                  for m in _TAG.finditer(text)]
         pairs.sort()
     return pairs
 
 
+def _lexed(text: str, begin: int, stop: int, inner: bool):
+    """The pairs of a stretch of the text, each followed by those that its literal holds."""
+    for match in _PAIR.finditer(text, begin, stop):
+        group = next(g for g in ("dq", "sq", "bare") if match[g] is not None)
+        start, end = match.span(group)
+        parts, at = [(start, end)], match.end()
+        while group != "bare" and (more := _JOINED.match(text, at, stop)):
+            parts.append(more.span("dq" if more["dq"] is not None else "sq"))
+            end, at = parts[-1][1], more.end()
+        yield (match.start(), match["name"], start, end,
+               "".join(text[a:b] for a, b in parts), inner)
+        if group == "bare":
+            for field in _FIELD.finditer(text, start, end):
+                yield field.start(), field["name"], *field.span("bare"), field["bare"], True
+            continue
+        for a, b in parts:
+            yield from _lexed(text, a, b, True)
+
+
 def literal_spans(text: str) -> list[tuple[int, int, str]]:
-    """Spans of literals whose target's name, or that of a name they reach, is sensitive."""
+    """Spans of literals whose target's name, or that of a name they reach, is sensitive; none lies
+    in another."""
     if "=" not in text and ":" not in text and "</" not in text:
         return []
     constants: dict[str, tuple[int, int, str]] = {}
-    found = set()
-    for _, name, start, end, literal in lex(text):
+    found, covered = set(), 0
+    for at, name, start, end, literal, inner in lex(text):
         value = (start, end, literal)
         if _NAME.match(literal) and literal in constants:
             value = constants[literal]  # the target is given what that constant holds
-        constants[name] = value
+        if inner:
+            constants.setdefault(name, value)
+            if at < covered:
+                continue
+        else:
+            constants[name] = value
         weight = sensitivity(name)
         if weight and weight + randomness(value[2]) >= MIN_SCORE and len(value[2]) >= MIN_LITERAL:
             found.add((value[0], value[1], "literal"))
+            if value[:2] == (start, end):
+                covered = max(covered, end)
     return sorted(found)
 
 
