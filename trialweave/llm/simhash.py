@@ -65,7 +65,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Other columns are not read; repeated rows stay repeated. One pass, no shuffle.
     """
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), _row(doc_id, text).alias("row"),
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), row_hash(doc_id, text).alias("row"),
                      F.col(text).alias("text"))
 
     def build():
@@ -79,7 +79,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return map_arrow(rows, build, "doc_id long, fp long, row long", "text")
 
 
-def _row(doc_id: str, text: str) -> Column:
+def row_hash(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
 
 
@@ -195,11 +195,16 @@ def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row of each component, all columns as they are: the one with the smallest id (rows
     without an id come last; of rows with equal ids one, whichever text hashes lowest, stays).
     """
+    return first_rows(df, _linked(df, doc_id, text, max_bits), doc_id, text)
+
+
+def first_rows(df: DataFrame, linked: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows that ``keep_first`` keeps; ``linked`` has their ``doc_id``, ``row`` and ``root``."""
     at, row, id0, picked_id, nth = fresh(df, "_row", "_at", "_id0", "_picked_id", "_nth")
-    best = (_linked(df, doc_id, text, max_bits).groupBy("root")
+    best = (linked.groupBy("root")
             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("b"))
             .select(F.coalesce("b.doc_id", F.lit(0)).alias(picked_id), F.col("b.row").alias(row)))
-    marked = df.withColumn(at, _row(doc_id, text)).withColumn(
+    marked = df.withColumn(at, row_hash(doc_id, text)).withColumn(
         id0, F.coalesce(F.col(doc_id).cast("long"), F.lit(0)))
     kept = marked.join(best.hint("shuffle_hash"),
                        (F.col(id0) == F.col(picked_id)) & (F.col(at) == F.col(row)), "left_semi")
