@@ -194,3 +194,13 @@ def test_merge_classes(spark, rows):
     pairs = spark.createDataFrame([(1, 10)], "left_id long, right_id long")
     got = M.merge_master(old, new, pairs, "e", "n").select("kind", F.coalesce("e", F.lit(0)))
     assert rows(got) == [("create", 0), ("sir-only", 2), ("update", 1)]
+
+
+@pytest.mark.parametrize("method,ratio,a,b", [
+    ("sequence", 0.7, "axbcydezfg", "abucdvefwg"),
+    ("levenshtein", 0.55, "abcdefg", "axcyezg"),
+])
+def test_titles_without_a_common_letter_pair_meet(spark, method, ratio, a, b):
+    left, right = (spark.createDataFrame([(k,)], "key string") for k in (a, b))
+    got = M.title_pairs(left, right, ratio, method).select("a", "b").collect()
+    assert [tuple(r) for r in got] == [(a, b)]

@@ -193,7 +193,8 @@ def _shared_pairs_needed(n, m, min_ratio: float, method: str):
     return longest - 1 - 2 * F.floor((1 - min_ratio) * longest + slack)
 
 
-#: Titles up to this length may reach the ratio without a common letter pair; they share a letter.
+#: Titles up to this length, and those whose bound asks for no common letter pair, are also looked
+#: up by letters: they may reach the ratio without a common pair, but not without a common letter.
 TINY = 6
 
 
@@ -220,16 +221,19 @@ def title_pairs(left: DataFrame, right: DataFrame, min_ratio: float, method: str
     uses = sides.select(F.explode("pairs").alias("p")).groupBy("p").agg(
         F.count(F.lit(1)).alias("uses"))
     least = F.ceil(F.col("n") * shortest - 1e-9)
-    needed = F.greatest(F.lit(1), _shared_pairs_needed(F.col("n"), least, min_ratio, method)
-                        if method == "sequence" else
-                        _shared_pairs_needed(F.col("n"), F.col("n"), min_ratio, method))
+    # the fewest that any partner may share; the edit bound does not always grow with the length
+    bound = (_shared_pairs_needed(F.col("n"), least, min_ratio, method) if method == "sequence" else
+             F.array_min(F.transform(
+                 F.sequence(F.col("n"), F.floor(F.col("n") / shortest + 1e-9).cast("int")),
+                 lambda m: _shared_pairs_needed(m, m, min_ratio, method))))
+    needed = F.greatest(F.lit(1), bound)
     ranked = sides.select("side", "key", "n", F.explode("pairs").alias("p")).join(uses, "p") \
         .groupBy("side", "key", "n").agg(
             F.sort_array(F.collect_list(F.struct("uses", "p"))).alias("by_use"))
     probes = ranked.select("side", "key", "n", F.explode(F.transform(
         F.slice("by_use", F.lit(1), F.greatest(F.size("by_use") - needed + 1, F.lit(0)).cast("int")),
         lambda r: r["p"])).alias("p"))
-    probes = probes.unionByName(sides.where(F.col("n") <= TINY).select(
+    probes = probes.unionByName(sides.where((F.col("n") <= TINY) | (bound < 1)).select(
         "side", "key", "n", F.explode("letters").alias("p")))
     side = lambda s, k, n: probes.where(F.col("side") == s).select(
         F.col("key").alias(k), F.col("n").alias(n), "p")
