@@ -4,13 +4,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, digests, embeddings, langid, packing, quality, secrets, simhash, suffixes, toxicity
+from . import (byte_bpe, digests, embeddings, langid, licenses, packing, quality, secrets, simhash, suffixes,
+               toxicity)
 from .common import fold, table
 
 QUERIES: dict = {}
-#: None of these has SQL: they rest on hashes, models or tokenizers that DuckDB lacks. The tests
-#: in tests/llm hold each against a brute-force version, a round trip or held-out labels.
-ORACLES: dict = {}
+#: The others rest on hashes, models or tokenizers that DuckDB lacks. The tests in tests/llm hold
+#: each against a brute-force version, a round trip or held-out labels.
+ORACLES: dict = {"op13_licenses": licenses.oracle_sql()}
 
 
 def query(fn):
@@ -113,3 +114,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, network).select(
         "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of every document."""
+    return licenses.digest(
+        licenses.find_licenses(table(spark, sf_dir, "documents"), licenses.TEMPLATES),
+        {label for label, _ in licenses.BASE})
