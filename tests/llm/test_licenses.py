@@ -49,7 +49,7 @@ def _brute(texts):
 def texts():
     rng = random.Random(4)
     whole = [" ".join(t.words) for t in licenses.TEMPLATES]
-    out = [None, "", "MIT License", "mit-license mit license", "mit the license", "CC BY-NC 4.0", "cc  by",
+    out = [None, "", "MIT License", "mit-license mit license", "mit the license", "CC BY-NC 4.0", "cc  by", ".", "  a",
            "Kelvin GNU\tGeneral\nPublic, License!", "é mit licensé", "apache license " * 400]
     for text in whole:
         words = text.split()
@@ -82,6 +82,8 @@ def test_hard_documents(spark, docs, empty, pairs):
 def test_a_template_needs_a_phrase():
     with pytest.raises(ValueError):
         licenses.read_template("x", "no phrase here")
+    with pytest.raises(ValueError):
+        licenses.read_template("x", "[\u212a]")
 
 
 def test_main_path_is_native(spark):

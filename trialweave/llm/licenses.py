@@ -59,7 +59,10 @@ RARE = 6
 #: Words of a phrase whose places are intersected before the phrase is compared.
 MEET = 2
 #: Alignments in the same or in neighbouring blocks of so many words belong together.
-BLOCK = 32
+BLOCK_BITS = 5
+BLOCK = 1 << BLOCK_BITS
+#: Bits for a place in a text, and what is added to it so that no place in a template makes it negative.
+PLACE_BITS, BIAS = 33, 1 << 15
 
 
 class Template(NamedTuple):
@@ -80,18 +83,32 @@ def read_template(label: str, text: str) -> Template:
             words.append(token)
     if not phrases or any(a >= b for a, b in phrases):
         raise ValueError(f"template {label!r} needs a phrase in brackets")
+    if not all(map(str.isascii, words)):
+        raise ValueError(f"template {label!r} has letters beyond ASCII")
     return Template(label, tuple(words), tuple(phrases))
 
 
-def words_of(text: Column) -> Column:
-    """The words of a whole text, A-Z lower-cased; none for null."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+def _split(text: Column) -> Column:
+    """The words of a whole text, lower-cased; where the text begins or ends with no word character, or
+    has none, an empty string stands there too. Extracting every match would take time with the square
+    of the text's length. Of the letters beyond A-Z only the Kelvin sign has a lower case in a-z, and
+    no word of a template has a letter beyond them, so that lower() does what lower-casing A-Z does."""
+    low = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
+    return F.split(low, WORD.replace("[^", "["))
+
+
+def words_of(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Per row ``doc_id`` and ``words``: none for null."""
+    first, last = (F.element_at("words", n) == "" for n in (1, -1))
+    size = F.size("words") - first.cast("int") - last.cast("int")
+    return (df.select(F.col(doc_id).alias("doc_id"), _split(F.col(text)).alias("words"))
+            .select("doc_id", F.slice("words", 1 + first.cast("int"), F.greatest(size, F.lit(0))).alias("words")))
 
 
 def word_weights(df: DataFrame, vocabulary: set[str], text: str = "text") -> dict[str, int]:
     """By word: 1000 times the logarithm of its rarity over all rows, rounded down. The rows that reach
     the driver are one for each word of the templates. An empty table makes all words equally rare."""
-    held = F.array_distinct(F.filter(words_of(F.col(text)), lambda w: w.isin(sorted(vocabulary))))
+    held = F.array_distinct(F.filter(_split(F.col(text)), lambda w: w.isin(sorted(vocabulary))))
     # the empty string is no word; it counts the rows
     counts = dict(df.select(F.explode(F.array_append(held, "")).alias("word")).groupBy("word")
                   .agg(F.count("*")).collect())
@@ -108,20 +125,28 @@ def _rarest(words: list[tuple[str, int]], weights: dict[str, int], most: int) ->
     return sorted(first.items(), key=lambda x: (-weights[x[0]], x[0]))[:most]
 
 
-def _less(numbers, back: int) -> Column:
-    return F.transform(numbers, lambda n: n - back)
+def _table(values: dict[str, list[int]]) -> Column:
+    """A literal look-up from word to numbers; its size is that of the templates."""
+    return F.create_map(*(x for word, numbers in sorted(values.items()) for x in (
+        F.lit(word), F.array(*(F.lit(n).cast("long") for n in numbers)))))
 
 
-def _spans(label: str, starts: str, length: int) -> Column:
-    return F.transform(starts, lambda s: F.struct(
-        F.lit(label).alias("label"), s.cast("long").alias("start"), F.lit(length).alias("length")))
+def _looked_up(postings: Column) -> Column:
+    """For every hit and posting of its word: the posting's number plus the hit's place."""
+    return F.flatten(F.transform("hits", lambda h: F.transform(
+        F.coalesce(F.try_element_at(postings, h["word"]), F.slice(F.array(F.lit(0).cast("long")), 1, 0)),
+        lambda n: n + h["place"])))
 
 
 def _blocks(alignments: Column) -> Column:
-    def two(a):
-        block = F.floor(a / F.lit(float(BLOCK)))
-        return F.array(block, block + 1)
-    return F.array_distinct(F.flatten(F.transform(alignments, two)))
+    """The block of each alignment and the next one, so that neighbours have one in common."""
+    return F.array_distinct(F.flatten(F.transform(alignments, lambda a: F.array(
+        F.shiftright(a, BLOCK_BITS), F.shiftright(a, BLOCK_BITS) + 1))))
+
+
+def _without(blocks: Column, how_many: Column, shift: int, p: int) -> Column:
+    """The blocks of templates that have no phrase number ``p``."""
+    return F.filter(blocks, lambda g: F.get(how_many, F.shiftright(g, shift).cast("int")) <= p)
 
 
 def find_licenses(df: DataFrame, templates: list[Template], doc_id: str = "doc_id",
@@ -133,57 +158,88 @@ def find_licenses(df: DataFrame, templates: list[Template], doc_id: str = "doc_i
 
     Null and empty texts have no words and no labels; texts of any length are read whole; repeated rows
     stay repeated; an empty table gives no rows; no column but the two named is read, whatever its name.
+
+    Places are numbers: what the place belongs to (a phrase, a template, a rare word of one) above
+    ``PLACE_BITS``, and the place below; sets of them meet by hash, whatever the length of a text.
     """
+    if any(len(t.words) >= BIAS for t in templates):
+        raise ValueError(f"a template has at most {BIAS - 1} words")
     weights = word_weights(df, {w for t in templates for w in t.words}, text)
     rare = [_rarest([(w, i) for i, w in enumerate(t.words)], weights, RARE) for t in templates]
-    meet = [[_rarest([(t.words[i], i) for i in range(a, b)], weights, MEET) for a, b in t.phrases]
-            for t in templates]
-    indexed = {w for found in (*rare, *(x for m in meet for x in m)) for w, _ in found}
-    rows = (df.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("words"))
-            .select("doc_id", "words", F.filter(
-                F.transform("words", lambda w, i: F.when(w.isin(sorted(indexed)), F.struct(
-                    w.alias("word"), i.alias("place")))), lambda h: h.isNotNull()).alias("hits")))
-
-    def moved(word: str, back: int) -> Column:
-        """Starts that the places of a word speak for, if it stands ``back`` words after the start."""
-        here = F.filter("hits", lambda h: h["word"] == word)
-        return _less(F.transform(here, lambda h: h["place"]), back)
-
-    def starts(t: Template, phrase: int) -> Column:
-        a, b = t.phrases[phrase]
-        agreed = None
-        for word, place in meet[templates.index(t)][phrase]:
-            said = moved(word, place - a)
-            agreed = said if agreed is None else F.array_intersect(agreed, said)
-        whole = F.array(*(F.lit(w) for w in t.words[a:b]))
-        return F.filter(agreed, lambda s: (s >= 0) & (
-            F.slice("words", F.greatest(s + 1, F.lit(1)), b - a) == whole))
-
-    names = {(k, p): f"p{k}_{p}" for k, t in enumerate(templates) for p in range(len(t.phrases))}
-    rows = rows.select("doc_id", "words", "hits", *(
-        starts(templates[k], p).alias(name) for (k, p), name in names.items()))
-    agreed = []
-    for k, t in enumerate(templates):
-        blocks = None
-        for p, (a, _) in enumerate(t.phrases):
-            own = _blocks(_less(names[k, p], a))
-            blocks = own if blocks is None else F.array_intersect(blocks, own)
-        agreed.append(blocks.alias(f"b{k}"))
-    rows = rows.select("*", *agreed)
-    places, labels, shares = [], [], []
-    for k, t in enumerate(templates):
-        found = F.size(f"b{k}") > 0
-        phrases = F.concat(*(_spans(t.label, names[k, p], b - a) for p, (a, b) in enumerate(t.phrases)))
-        places.append(F.when(found, phrases).otherwise(F.slice(phrases, 1, 0)))
-        labels.append(F.when(found, F.lit(t.label)))
-        total = sum(weights[w] for w, _ in rare[k])
-        held = sum((F.when(F.arrays_overlap(_blocks(moved(w, i)), F.col(f"b{k}")), weights[w])
-                    .otherwise(0) for w, i in rare[k]), F.lit(0))
-        shares.append(F.when(found, held / F.lit(total) if total else F.lit(1.0)))
+    phrases = [(k, p, a, b) for k, t in enumerate(templates) for p, (a, b) in enumerate(t.phrases)]
+    meet: list[dict[str, list[int]]] = [{} for _ in range(MEET)]
+    votes: dict[str, list[int]] = {}
+    for number, (k, _, a, b) in enumerate(phrases):
+        found = _rarest([(templates[k].words[i], i - a) for i in range(a, b)], weights, MEET)
+        for turn in range(MEET):  # a phrase of one word meets itself
+            word, place = found[min(turn, len(found) - 1)]
+            meet[turn].setdefault(word, []).append((number << PLACE_BITS) + BIAS - place)
+    for k, found in enumerate(rare):
+        for j, (word, place) in enumerate(found):
+            votes.setdefault(word, []).append(((k * RARE + j) << PLACE_BITS) + BIAS - place)
+    indexed = sorted({*votes, *(w for table in meet for w in table)})
+
+    def of(values: list, kind: str = "long") -> Column:
+        return F.array(*(F.lit(v) for v in values)).cast(f"array<{kind}>")
+
+    owner, number_in, offset = (of([x[i] for x in phrases]) for i in range(3))
+    whole = F.array(*(of(list(templates[k].words[a:b]), "string") for k, _, a, b in phrases))
+    label, how_many = of([t.label for t in templates], "string"), of([len(t.phrases) for t in templates])
+    share = of([weights[w] for found in rare for w, _ in (found + [found[0]] * RARE)[:RARE]])
+    total = of([float(sum(weights[w] for w, _ in found)) for found in rare], "double")
+
+    def at(values: Column, n: Column) -> Column:
+        return F.get(values, n.cast("int"))
+
+    def above(n: Column) -> Column:
+        return F.shiftright(n, PLACE_BITS)
+
+    def below(n: Column) -> Column:
+        return n.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) - BIAS
+
+    def stands(n: Column) -> Column:
+        here, words = below(n), at(whole, above(n))
+        return (here >= 0) & (F.slice("words", F.greatest(here + 1, F.lit(1)).cast("int"), F.size(words)) == words)
+
+    rows = words_of(df, doc_id, text).select("doc_id", "words", F.filter(
+        F.transform("words", lambda w, i: F.when(w.isin(indexed), F.struct(
+            w.alias("word"), i.alias("place")))), lambda h: h.isNotNull()).alias("hits"))
+    starts = _looked_up(_table(meet[0]))
+    for table in meet[1:]:
+        starts = F.array_intersect(starts, _looked_up(_table(table)))
+    rows = rows.select("doc_id", "words", "hits", F.array_sort(F.filter(starts, stands)).alias("starts"))
+
+    def aligned(p: int) -> Column:
+        return _blocks(F.transform(
+            F.filter("starts", lambda n: at(number_in, above(n)) == p),
+            lambda n: F.shiftleft(at(owner, above(n)), PLACE_BITS) + BIAS + below(n) - at(offset, above(n))))
+
+    shift = PLACE_BITS - BLOCK_BITS
+    agreed = aligned(0)
+    for p in range(1, max(len(t.phrases) for t in templates)):
+        agreed = F.concat(F.array_intersect(agreed, aligned(p)), _without(agreed, how_many, shift, p))
+    rows = rows.select("doc_id", "words", "hits", "starts", agreed.alias("agreed"))
+    found = F.array_distinct(F.transform("agreed", lambda g: F.shiftright(g, shift)))
+    wanted = F.flatten(F.transform("agreed", lambda g: F.transform(
+        F.sequence(F.lit(0), F.lit(RARE - 1)),
+        lambda j: F.shiftleft(F.shiftright(g, shift) * RARE + j, shift)
+        + g.bitwiseAND(F.lit((1 << shift) - 1)))))
+    held = F.array_distinct(F.transform(
+        F.array_intersect(_blocks(_looked_up(_table(votes))), wanted), lambda n: F.shiftright(n, shift)))
+    rows = rows.select("doc_id", "words", "starts", found.alias("found"), held.alias("held"))
+
+    def held_share(k: Column) -> Column:
+        own = F.filter("held", lambda n: F.floor(n / RARE) == k)
+        weight = F.aggregate(own, F.lit(0).cast("long"), lambda x, n: x + at(share, n))
+        return F.when(at(total, k) > 0, weight / at(total, k)).otherwise(F.lit(1.0))
+
     return rows.select(
-        "doc_id", F.size("words").cast("long").alias("n_words"), F.concat(*places).alias("places"),
-        F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("labels"),
-        F.coalesce(F.greatest(*shares), F.lit(0.0)).alias("score"))
+        "doc_id", F.size("words").cast("long").alias("n_words"),
+        F.transform(F.filter("starts", lambda n: F.array_contains("found", at(owner, above(n)))),
+                    lambda n: F.struct(at(label, at(owner, above(n))).alias("label"), below(n).alias("start"),
+                                       F.size(at(whole, above(n))).alias("length"))).alias("places"),
+        F.array_sort(F.array_distinct(F.transform("found", lambda k: at(label, k)))).alias("labels"),
+        F.coalesce(F.array_max(F.transform("found", held_share)), F.lit(0.0)).alias("score"))
 
 
 def digest(found: DataFrame, base: set[str]) -> DataFrame:
