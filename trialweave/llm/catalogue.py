@@ -4,8 +4,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (byte_bpe, digests, embeddings, langid, licenses, packing, quality, secrets, simhash, suffixes,
-               toxicity)
+from . import (byte_bpe, conversations, digests, embeddings, langid, licenses, packing, quality, secrets,
+               simhash, suffixes, toxicity)
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -116,6 +116,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of the repaired rows of every conversation, after damage."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.report(rows, conversations.damage(rows))
+
+
 @query
 def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and labels of every document."""
