@@ -4,14 +4,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (byte_bpe, conversations, digests, embeddings, langid, licenses, packing, quality, secrets,
-               simhash, suffixes, toxicity)
+from . import (byte_bpe, conversations, digests, embeddings, langid, licenses, packing, quality, search,
+               secrets, simhash, suffixes, toxicity)
 from .common import fold, table
 
 QUERIES: dict = {}
 #: The others rest on hashes, models or tokenizers that DuckDB lacks. The tests in tests/llm hold
 #: each against a brute-force version, a round trip or held-out labels.
-ORACLES: dict = {"op13_licenses": licenses.oracle_sql()}
+ORACLES: dict = {"op11_search": search.oracle_sql(), "op13_licenses": licenses.oracle_sql()}
 
 
 def query(fn):
@@ -116,6 +116,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of every benchmark item."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest repair and digest of the repaired rows of every conversation, after damage."""
