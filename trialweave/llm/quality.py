@@ -75,7 +75,7 @@ def features(text: str | None) -> np.ndarray:
         min(lengths.max(), 200) / 100, repeated / max(1, n - 1), apart / max(1, n - 2),
         distinct / max(1, n), math.log1p(distinct) / math.log1p(max(1, n)),
         len(set(lines)) / max(1, len(lines)), math.log1p(len(lines)) / 10,
-        len(text) / max(1, len(lines)) / 1000 if len(text) < 1e6 else 10.0,
+        len(text) / max(1, len(lines)) / 1000,
         float((lengths == 1).mean()), float((lengths > 12).mean()),
         float((lengths[:-1] == lengths[1:]).mean()) if n > 1 else 0.0)
     return np.clip(out, -10, 10)
