@@ -2,7 +2,8 @@
 
 Terms are the words of the lower-cased text (runs of letters) and their beginnings of four to seven
 letters, hashed into a fixed number of buckets, so that words never seen in training still count by
-their stems. The buckets that best tell the two labels apart become features, valued by how often
+their stems. In a run of more than sixteen letters, as glued words and unspaced scripts have, every
+window of four to seven letters is a term like a beginning. The buckets that best tell the two labels apart become features, valued by how often
 they occur; the length of the text, in powers of two words, is a feature too. The machine adds a
 weight for each feature and, for each pair of features, the product of their factor vectors: two
 terms together, or a term in a short text, can say more than each alone.
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import checkpointed, map_arrow, ship
 
 BUCKET_BITS = 20
-#: Lengths of the beginnings that are terms; words up to LONGEST letters are terms as a whole.
+#: Lengths of the beginnings that are terms; of runs of more than LONGEST letters all windows are.
 BEGINNINGS, LONGEST = (4, 5, 6, 7), 16
 #: Labelled documents the machine learns from at most, picked by a hash of the id.
 MAX_LABELLED = 40_000
@@ -27,6 +28,7 @@ FEATURES, FACTORS, EPOCHS = 1024, 8, 12
 MIN_CHI_SQUARE = 15.0
 LENGTHS = 24
 BLOCK = 1 << 18
+PRIME, WHOLE = np.uint32(0x01000193), np.uint32(0x5BD1E995)
 
 
 @functools.lru_cache(maxsize=1)
@@ -51,17 +53,39 @@ def buckets(text: str | None) -> tuple[np.ndarray, int]:
         edge = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).view(np.int8)))
         first, length = edge[::2], edge[1::2] - edge[::2]
         count += len(first)
+        glued = length > LONGEST
+        if glued.any():
+            out += _glued(codes, first[glued], length[glued])
         value = np.zeros(len(first), np.uint32)
         for k in range(min(LONGEST, int(length.max(initial=0)))):
             alive = length > k
             first, length, value = first[alive], length[alive], value[alive]
-            value = value * np.uint32(0x01000193) + codes[first + k]
+            value = value * PRIME + codes[first + k]
             if k + 1 in BEGINNINGS:
                 out.append(_mixed(value + np.uint32(k + 1)))
-            out.append(_mixed(value[length == k + 1] ^ np.uint32(0x5BD1E995)))
+            out.append(_mixed(value[length == k + 1] ^ WHOLE))
     return (np.concatenate(out) if out else np.zeros(0, np.uint32)), count
 
 
+def _glued(codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+    """Buckets of the windows after the beginning of each run, and of each run as a whole."""
+    start = length.cumsum() - length
+    place = np.arange(length.sum()) - np.repeat(start, length)
+    left = np.repeat(length, length) - place
+    letters = codes[np.repeat(first, length) + place]
+    powers = np.full(int(length.max()), PRIME, np.uint32)
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=np.uint32)
+    out = [_mixed(np.add.reduceat(letters * powers[left - 1], start, dtype=np.uint32) ^ WHOLE)]
+    value = np.zeros(len(letters), np.uint32)
+    for k in range(max(BEGINNINGS)):
+        value = value[:len(letters) - k] * PRIME + letters[k:]
+        if k + 1 in BEGINNINGS:
+            inside = (left[:len(value)] > k) & (place[:len(value)] > 0)
+            out.append(_mixed(value[inside] + np.uint32(k + 1)))
+    return out
+
+
 def _mixed(value: np.ndarray) -> np.ndarray:
     value = (value ^ (value >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     value ^= value >> np.uint32(12)
@@ -229,7 +253,11 @@ def score(df: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "
 
 def drop_toxic(df: DataFrame, machine: Machine, text: str = "text",
                threshold: float = 0.5) -> DataFrame:
-    """The rows of the frame, all columns as they are, whose text scores below ``threshold``."""
+    """The rows of the frame, all columns as they are, whose text scores below ``threshold``.
+
+    Null and empty texts have the score of a text without features, and stay or go by it. Repeated
+    rows stay repeated.
+    """
     def build():
         def run(batch):
             keep = [machine.score(v.as_py()) < threshold for v in batch.column(text)]
