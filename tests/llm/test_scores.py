@@ -1,6 +1,7 @@
 """Held-out accuracy of the learned operators, and what they do with hard documents."""
 import math
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -62,6 +63,41 @@ def test_term_buckets_are_the_same_in_blocks(monkeypatch, pairs):
         assert sorted(again.tolist()) == sorted(terms.tolist())
 
 
+def _plain_buckets(text):
+    """Terms of a text and their buckets, run by run and letter by letter."""
+    mask = 0xFFFFFFFF
+
+    def bucket(letters, size):
+        value = 0
+        for c in letters:
+            value = (value * 0x01000193 + ord(c)) & mask
+        value = (value + size) & mask if size else value ^ 0x5BD1E995
+        value = (value ^ value >> 15) * 0x2C1B3C6D & mask
+        value ^= value >> 12
+        return (value * 0x297A2D39 & mask) >> (32 - toxicity.BUCKET_BITS)
+    out = []
+    for run in re.findall(r"[^\W\d_]+", text.lower()):
+        out.append(bucket(run, 0))
+        for size in toxicity.BEGINNINGS:
+            last = len(run) - size if len(run) > toxicity.LONGEST else min(0, len(run) - size)
+            out += [bucket(run[i:i + size], size) for i in range(last + 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("text", [
+    "", "short words only", "a" * 16, "a" * 17 + " " + "bcd" * 40, "日本語" * 30 + " end",
+    "x" * 29 + "insult" + "y" * 900, "𝒳yz" * 9])
+def test_every_letter_of_a_long_run_is_hashed(text):
+    assert sorted(toxicity.buckets(text)[0].tolist()) == _plain_buckets(text)
+
+
+def test_a_term_deep_inside_a_run_counts():
+    inside = set(toxicity.buckets("qwrtzpqwrtzpqwrtzpqwrtzpqwrtzp" + "insult" + "kkkkkkkk")[0].tolist())
+    assert set(toxicity.buckets("insult")[0].tolist()) & inside
+    one, other = "abcdefghijklmnopqr" + "insultnow", "abcdefghijklmnopqr" + "flowerbed"
+    assert sorted(toxicity.buckets(one)[0]) != sorted(toxicity.buckets(other)[0])
+
+
 def test_machine_learns_a_pair_that_weights_alone_miss():
     """Labels are the exclusive or of two features, which no sum of weights can tell."""
     machine = toxicity.Machine(np.array([5, 9]))
@@ -110,6 +146,12 @@ def test_features_are_the_same_in_blocks(monkeypatch, pairs):
     assert not quality.features(None).any()
 
 
+def test_line_length_has_one_formula():
+    line = "Some words of a line.\n"
+    below, above = (quality.features(line * (n // len(line))) for n in (999_970, 1_000_050))
+    assert np.allclose(below, above, atol=1e-4)
+
+
 def test_risk_stays_unbiased_without_negatives():
     """Unlabelled rows hold the positives too; the boundary must still fall between the kinds."""
     rng = np.random.default_rng(3)
@@ -136,12 +178,12 @@ def test_quality_of_hard_documents(spark, docs, empty, pairs):
 
 # -- language ---------------------------------------------------------------------------------
 
-def _all_segmentations(word, probs, number):
+def _all_segmentations(word, probs, number, longest):
     """Sum over every way to cut the word, one by one."""
     if not word:
         return 1.0
     total = 0.0
-    for size in range(1, min(len(word), langid.MAX_PIECE) + 1):
+    for size in range(1, min(len(word), longest) + 1):
         piece = word[:size]
         if piece in number:
             p = probs[number[piece]]
@@ -149,7 +191,7 @@ def _all_segmentations(word, probs, number):
             p = probs[len(number) + (ord(piece) >> 7)]
         else:
             continue
-        total += p * _all_segmentations(word[size:], probs, number)
+        total += p * _all_segmentations(word[size:], probs, number, longest)
     return total
 
 
@@ -163,10 +205,67 @@ def test_forward_sums_all_segmentations():
     got = langid.word_scores(vocab, words, probs)
     for row, word in zip(got, words):
         for k in (0, 1):
-            want = _all_segmentations("▁" + word, probs[:, k], number)
+            want = _all_segmentations("▁" + word, probs[:, k], number, vocab.longest)
             assert row[k] == pytest.approx(math.log(want), rel=1e-9)
 
 
+def _forward_and_counts(word, probs, number, total):
+    """Log probability of a word and expected counts of its pieces, letter by letter in fractions."""
+    def steps(start):
+        for end in range(start + 1, len(word) + 1):
+            if word[start:end] in number:
+                yield end, number[word[start:end]]
+            elif end == start + 1:
+                yield end, len(number) + (ord(word[start]) >> 7)
+    exact = [Fraction(float(p)) for p in probs]
+    ahead, behind = [Fraction(0)] * (len(word) + 1), [Fraction(0)] * (len(word) + 1)
+    ahead[0] = behind[-1] = Fraction(1)
+    for start in range(len(word)):
+        for end, piece in steps(start):
+            ahead[end] += ahead[start] * exact[piece]
+    counts = np.zeros(total)
+    for start in range(len(word) - 1, -1, -1):
+        for end, piece in steps(start):
+            behind[start] += exact[piece] * behind[end]
+            counts[piece] += float(ahead[start] * exact[piece] * behind[end] / ahead[-1])
+    return math.log(ahead[-1].numerator) - math.log(ahead[-1].denominator), counts
+
+
+@pytest.mark.parametrize("letters", [1 << 16, 7, 16])
+def test_long_words_are_summed_whole(monkeypatch, letters):
+    monkeypatch.setattr(langid, "LETTERS", letters)
+    pieces = ["▁", "▁a", "a", "b", "ab", "aba", "b" * 9, "abcabcabcabcabca", "c"]
+    vocab = langid.Vocabulary(pieces)
+    assert vocab.longest == 16
+    number = {p: i for i, p in enumerate(sorted(pieces))}
+    probs = np.random.default_rng(2).integers(1, 64, (vocab.total, 1)) / 256
+    for word in ["abc" * 34, "b" * 30 + "é" + "ab" * 20, "a" * 24, "abcabcabcabcabca"]:
+        log, counts = _forward_and_counts("▁" + word, probs[:, 0], number, vocab.total)
+        assert langid.word_scores(vocab, [word, "ab"], probs)[0, 0] == pytest.approx(log, rel=1e-9)
+        got = langid._long_counts(vocab, word, langid._log_table(probs))
+        assert np.allclose(got, counts)
+    assert langid.word_scores(vocab, ["ab" * 5000], probs)[0, 0] < -1000
+
+
+def test_the_longest_pieces_count():
+    vocab = langid.vocabulary(PIECES)
+    assert vocab.longest == 16
+    probs = np.full((vocab.total, 1), 1e-5)
+    import sentencepiece
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    piece = next(p for p in map(model.id_to_piece, range(model.get_piece_size()))
+                 if len(p) == 16 and p[0] == "▁" and p[1:].isalpha())
+    assert langid.word_scores(vocab, [piece[1:].lower()], probs)[0, 0] >= math.log(1e-5)
+
+
+def test_too_many_languages_are_refused(spark):
+    many = spark.range(langid.MAX_LANGUAGES + 1).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("x"), "id").alias("lang"),
+        F.lit("some words").alias("text"))
+    with pytest.raises(ValueError, match="different values"):
+        langid.train(many, PIECES)
+
+
 def test_fitting_raises_the_likelihood():
     vocab = langid.Vocabulary(["▁", "a", "b", "ab", "ba", "▁ab"])
     counts = {"ab": 50, "abab": 20, "ba": 5}
@@ -181,8 +280,7 @@ def test_fitting_raises_the_likelihood():
 def test_words_are_whole():
     text = "Ab " + "x" * 100 + " 12 _ ß日本"
     runs = langid.words(text)
-    assert sum(len(w.lstrip("\0")) * n for w, n in runs.items()) == sum(
-        c.isalpha() for c in text.lower())
+    assert runs == {"ab": 1, "x" * 100: 1, "ß日本": 1}
     assert langid.words(None) == langid.words("12 !") == {}
 
 

@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import map_arrow
 
-#: Longest vocabulary piece used, and longest run of a word scored at once (a longer word is scored
-#: run after run, whole), both in characters with the word-start mark.
-MAX_PIECE, MAX_RUN = 8, 24
+#: Words of fewer letters are summed over many at a time; longer ones in logarithms, which cannot
+#: underflow, with the forward values of the last letters carried from block to block.
+MAX_RUN, LETTERS = 24, 1 << 16
+#: Languages that a model may have; a column with more distinct values is refused.
+MAX_LANGUAGES = 256
 #: Documents per language that the piece probabilities are fitted on, picked by a hash of the id.
 DOCS_PER_LANG = 500
 ROUNDS = 4
@@ -43,8 +45,8 @@ class Vocabulary:
 
     def __init__(self, pieces: list[str]):
         kept = sorted({p.lower() for p in pieces
-                       if 0 < len(p.lower()) <= MAX_PIECE
-                       and (p == WORD_START or p.replace(WORD_START, "", 1).isalpha())})
+                       if p == WORD_START or p.replace(WORD_START, "", 1).isalpha()})
+        self.longest = max(map(len, kept), default=1)
         self.size = len(kept)
         self.total = self.size + 0x110000 // 128
         hashes = np.array([_hash(p) for p in kept], dtype=np.uint64)
@@ -79,27 +81,21 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def words(text: str | None) -> Counter:
-    """Counts of the runs of letters of a whole text, lower-cased, as runs of at most MAX_RUN."""
-    counts = Counter(_WORD.findall(text.lower())) if text else Counter()
-    for word in [w for w in counts if len(w) >= MAX_RUN]:
-        n, marked = counts.pop(word), WORD_START + word
-        first = marked[1:MAX_RUN]
-        counts[first] += n
-        for at in range(MAX_RUN, len(marked), MAX_RUN):
-            counts["\0" + marked[at:at + MAX_RUN]] += n  # goes on inside a word
-    return counts
-
-
-def _lattice(vocab: Vocabulary, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Piece numbers [word, start, length - 1] of all substrings (-1: none), and lengths."""
-    marked = [w[1:] if w[0] == "\0" else WORD_START + w for w in batch]
+    """Counts of the runs of letters of a whole text, lower-cased."""
+    return Counter(_WORD.findall(text.lower())) if text else Counter()
+
+
+def _lattice(vocab: Vocabulary, marked: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Piece numbers [word, start, length - 1] of all substrings (-1: none), and lengths, of words
+    with their word-start marks."""
     lengths = np.array([len(w) for w in marked])
     width = int(lengths.max())
     codes = np.frombuffer("".join(w.ljust(width, "\0") for w in marked).encode("utf-32-le"),
-                          np.uint32).reshape(len(batch), width).astype(np.uint64)
-    found = np.full((len(batch), width, MAX_PIECE), -1, np.int32)
-    rolling = np.zeros((len(batch), width), np.uint64)
-    for size in range(1, min(MAX_PIECE, width) + 1):
+                          np.uint32).reshape(len(marked), width).astype(np.uint64)
+    deepest = min(vocab.longest, width)
+    found = np.full((len(marked), width, deepest), -1, np.int32)
+    rolling = np.zeros((len(marked), width), np.uint64)
+    for size in range(1, deepest + 1):
         last = width - size + 1
         rolling = rolling[:, :last] * _BASE + codes[:, size - 1:] + np.uint64(1)
         ids = vocab.find(rolling * np.uint64(0xD6E8FEB86659FD93))
@@ -125,15 +121,91 @@ def _forward(found: np.ndarray, probs: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def _log_steps(found: np.ndarray, logs: np.ndarray, carried: np.ndarray) -> np.ndarray:
+    """Log of the forward values before and after every letter of a stretch of one word.
+
+    ``found`` [start, size - 1] covers the last ``deepest`` letters before the stretch and the
+    stretch; ``carried`` holds the values at those letters. ``logs`` ends with a row of -inf, which
+    the piece number -1 picks.
+    """
+    deepest = found.shape[1]
+    alpha = np.full((len(found) + 1, logs.shape[1]), -np.inf)
+    alpha[:deepest + 1] = carried
+    sizes = np.arange(deepest, 0, -1)
+    for end in range(deepest + 1, len(alpha)):
+        terms = alpha[end - deepest:end] + logs[found[np.arange(end - deepest, end), sizes - 1]]
+        most = terms.max(axis=0)
+        alpha[end] = most + np.log(np.exp(terms - most).sum(axis=0))
+    return alpha
+
+
+def _long_word(vocab: Vocabulary, word: str, logs: np.ndarray):
+    """Yields (piece numbers, log forward values) of one word, stretch by stretch, over all segmentations.
+
+    The values start at the stretch's first letter but ``longest``; the last one is the last letter's.
+    """
+    deepest = vocab.longest
+    marked = "\0" * deepest + WORD_START + word
+    carried = np.full((deepest + 1, logs.shape[1]), -np.inf)
+    carried[deepest] = 0.0
+    for at in range(deepest, len(marked), LETTERS):
+        stretch = marked[at - deepest:at + LETTERS]
+        found = _lattice(vocab, [stretch])[0][0]
+        if at == deepest:
+            found[:deepest] = -1
+        alpha = _log_steps(found, logs, carried)
+        carried = alpha[-deepest - 1:]
+        yield found, alpha
+
+
+def _log_table(probs: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(np.vstack((probs, np.zeros((1, probs.shape[1])))))
+
+
+def _shorter(items, limit: int = MAX_RUN) -> tuple[list[str], list[str]]:
+    """Words below ``limit`` letters, by length, and the others."""
+    order = sorted(items, key=len)
+    cut = next((i for i, w in enumerate(order) if len(w) >= limit), len(order))
+    return order[:cut], order[cut:]
+
+
 def word_scores(vocab: Vocabulary, batch: list[str], probs: np.ndarray) -> np.ndarray:
-    """Log probability of each word in each language, over all segmentations."""
+    """Log probability of each word in each language, over all segmentations of the whole word."""
     out = np.zeros((len(batch), probs.shape[1]))
-    order = sorted(range(len(batch)), key=lambda i: len(batch[i]))
-    for at in range(0, len(order), 8192):
-        rows = order[at:at + 8192]
-        found, lengths = _lattice(vocab, [batch[i] for i in rows])
+    place = {w: i for i, w in enumerate(batch)}
+    short, long = _shorter(place)
+    for at in range(0, len(short), 8192):
+        some = short[at:at + 8192]
+        found, lengths = _lattice(vocab, [WORD_START + w for w in some])
         alpha = _forward(found, probs)
-        out[rows] = np.log(alpha[np.arange(len(rows)), lengths] + 1e-300)
+        out[[place[w] for w in some]] = np.log(alpha[np.arange(len(some)), lengths] + 1e-300)
+    logs = _log_table(probs) if long else None
+    for word in long:
+        for _, alpha in _long_word(vocab, word, logs):
+            out[place[word]] = alpha[-1]
+    return out
+
+
+def _long_counts(vocab: Vocabulary, word: str, logs: np.ndarray) -> np.ndarray:
+    """Expected piece counts of one long word: forward stretch by stretch, then backward."""
+    deepest, out = vocab.longest, np.zeros(vocab.total)
+    stretches = list(_long_word(vocab, word, logs))
+    total = stretches[-1][1][-1, 0]
+    after = np.full(deepest + 1, -np.inf)  # log backward values at a stretch's last letters
+    after[deepest] = 0.0
+    for found, alpha in reversed(stretches):
+        n = len(found)
+        beta = np.full(n + 1, -np.inf)
+        beta[n - deepest:] = after
+        for start in range(n - 1, -1, -1):
+            # pieces that end before the stretch's own letters are counted in the one before
+            first, last = max(start, deepest) + 1, min(start + deepest, n)
+            ids = found[start, first - start - 1:last - start]
+            steps = logs[ids, 0] + beta[first:last + 1]
+            out[ids[ids >= 0]] += np.exp(alpha[start, 0] + steps - total)[ids >= 0]
+            beta[start] = np.logaddexp.reduce(steps, initial=beta[start])
+        after = beta[:deepest + 1]
     return out
 
 
@@ -141,11 +213,11 @@ def fit_pieces(vocab: Vocabulary, counts: dict[str, int], rounds: int = ROUNDS)
     """Piece probabilities of one language by expectation-maximisation, smoothed."""
     probs = np.full((vocab.total, 1), 1.0 / vocab.size)
     probs[vocab.size:] = 1e-7
-    order = sorted(counts, key=len)
+    short, long = _shorter(counts)
     lattices = []
-    for at in range(0, len(order), 8192):
-        some = order[at:at + 8192]
-        found, lengths = _lattice(vocab, some)
+    for at in range(0, len(short), 8192):
+        some = short[at:at + 8192]
+        found, lengths = _lattice(vocab, [WORD_START + w for w in some])
         lattices.append((found, lengths, np.array([counts[w] for w in some], float)))
     for _ in range(rounds):
         expected = np.zeros(vocab.total)
@@ -165,6 +237,9 @@ def fit_pieces(vocab: Vocabulary, counts: dict[str, int], rounds: int = ROUNDS)
                     beta[rows, start] += step
                     expected += np.bincount(ids[rows], alpha[rows, start] * step * scale[rows],
                                             vocab.total)
+        logs = _log_table(probs) if long else None
+        for word in long:
+            expected += counts[word] * _long_counts(vocab, word, logs)
         smoothed = expected + 0.01
         smoothed[vocab.size:] = expected[vocab.size:] + 1e-4
         probs = (smoothed / smoothed.sum())[:, None]
@@ -177,11 +252,15 @@ def train(df: DataFrame, vocab_path: str, lang: str = "lang", text: str = "text"
 
     Languages are the non-null values of ``lang``; priors are their shares of all rows, and the
     pieces are fitted on ``docs_per_lang`` documents each, one task per language over that bounded
-    sample. Null and empty texts teach nothing. No rows, or no letters: no languages.
+    sample. Null and empty texts teach nothing. No rows, or no letters: no languages. More than
+    ``MAX_LANGUAGES`` values are refused, since a model of them would not fit the driver.
     """
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"),
                      F.col(text).alias("text")).where("lang is not null and text is not null")
-    shares = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    shares = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(
+        F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(shares) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} different values in {lang}")
     if not shares:
         return [], np.zeros((0, 0)), np.zeros(0)
     # of a frequent language only ids with a low hash are ranked, several times as many as needed
@@ -250,9 +329,10 @@ def predict(df: DataFrame, model, vocab_path: str, doc_id: str = "doc_id",
                 if len(known) + len(new) > REMEMBERED:
                     known.clear()
                     new = {w for c in counted for w in c}
-                new = list(new)
+                short, long = _shorter(new)  # long words are not remembered
+                new = short + long
                 fresh = word_scores(vocab, new, table)
-                room = min(len(new), REMEMBERED - len(known))
+                room = min(len(short), REMEMBERED - len(known))
                 base = len(known)
                 scores[base:base + room] = fresh[:room]
                 known.update(zip(new[:room], range(base, base + room)))
@@ -263,13 +343,12 @@ def predict(df: DataFrame, model, vocab_path: str, doc_id: str = "doc_id",
                     preds.append(UNKNOWN)
                     shares.append(0.0)
                     continue
-                total = priors.copy()
-                if extra:
-                    for w, n in counts.items():
-                        total += n * (scores[known[w]] if w in known else extra[w])
-                else:
-                    at = np.fromiter(map(known.__getitem__, counts), np.int64, len(counts))
-                    total += np.fromiter(counts.values(), float, len(counts)) @ scores[at]
+                at = np.fromiter((known.get(w, -1) for w in counts), np.int64, len(counts))
+                times = np.fromiter(counts.values(), float, len(counts))
+                inside = at >= 0
+                total = priors + times[inside] @ scores[at[inside]]
+                if not inside.all():
+                    total = total + sum(n * extra[w] for w, n in counts.items() if w not in known)
                 best = int(np.argmax(total))
                 preds.append(langs[best])
                 shares.append(float(1.0 / np.exp(total - total[best]).sum()))
