@@ -141,8 +141,9 @@ def _greedy(left, right, manual=()):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_title_matching_equals_greedy(spark, seed):
+@pytest.mark.parametrize("seed, bands", [
+    (1, M.BANDS), (2, M.BANDS), (3, M.BANDS), (1, ()), (2, (0.95, 0.9, 0.85, 0.8)), (3, (0.8, 0.7))])
+def test_title_matching_equals_greedy(spark, seed, bands):
     rnd = random.Random(seed)
     vocab = ["outcomes", "of", "colorectal", "surgery", "study", "breast", "cancer", "in", "lagos"]
     title = lambda: " ".join(rnd.sample(vocab, rnd.randint(3, 6)))
@@ -154,10 +155,27 @@ def test_title_matching_equals_greedy(spark, seed):
     frame = lambda d, c: spark.createDataFrame(d, f"{c} long, title string")
     got = sorted((r.left_id, r.right_id, r.how) for r in M.match_titles(
         frame(left, "l"), frame(right, "r"), "l", "r", "title", "title",
-        manual=spark.createDataFrame(manual, "a long, b long")).collect())
+        manual=spark.createDataFrame(manual, "a long, b long"), bands=bands).collect())
     assert got == _greedy(left, right, manual)
 
 
+def test_settled_titles_are_not_compared_in_lower_bands(spark, monkeypatch):
+    seen, plain = [], M.title_pairs
+
+    def watched(left, right, ratio, method):
+        seen.append((ratio, {r.key for r in left.collect()}, {r.key for r in right.collect()}))
+        return plain(left, right, ratio, method)
+    monkeypatch.setattr(M, "title_pairs", watched)
+    frame = lambda ts, c: spark.createDataFrame(list(enumerate(ts)), f"{c} long, title string")
+    left = ["equal title", "outcomes of colorectal surgery", "breast cancer in lagos"]
+    right = ["equal title", "outcomes of colorectal surgerys", "breast cancer trial lagos"]
+    got = {(r.l, r.r) for r in M.match_titles(
+        frame(left, "l"), frame(right, "r"), "l", "r", "title", "title").selectExpr(
+            "left_id as l", "right_id as r").collect()}
+    assert got == {(0, 0), (1, 1), (2, 2)}
+    assert seen == [(0.9, set(left[1:]), set(right[1:])), (0.78, {left[2]}, {right[2]})]
+
+
 @pytest.mark.parametrize("method", S.METHODS)
 @pytest.mark.parametrize("low, high", [(1, 4), (3, 9), (8, 30)])
 def test_title_pairs_miss_nothing(spark, method, low, high):
@@ -171,6 +189,15 @@ def test_title_pairs_miss_nothing(spark, method, low, high):
     assert got == {(a, b) for a in left for b in right if good(a, b)}
 
 
+def test_bounds_come_before_alignment(spark):
+    """The ratio's filter must not move below the joins that find and bound the candidates."""
+    frame = lambda ws: spark.createDataFrame([(w,) for w in ws], "key string")
+    pairs = M.title_pairs(frame(words(9, 8, 30, "abc ")), frame(words(9, 8, 30, "abc ")), 0.78,
+                          "sequence")
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ratio(") and plan.rindex("ratio(") < plan.index("Join")
+
+
 def test_titles_with_few_words_in_common_match(spark):
     frame = lambda t, c: spark.createDataFrame([(1, t)], f"{c} long, title string")
     got = M.match_titles(frame("oncolgy studies on breast cancers", "l"),

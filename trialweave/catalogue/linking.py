@@ -214,6 +214,42 @@ def title_matches(spark, sf):
     return M.match_titles(existing, incoming, "sir_id", "row_id", "title", "title")
 
 
+@query("""WITH RECURSIVE existing AS (SELECT p_partkey AS id, trim(regexp_replace(lower(
+    p_name || ' study of ' || p_type), '[^a-z0-9]+', ' ', 'g')) AS key FROM part WHERE p_size <= 25),
+incoming AS (SELECT p_partkey AS id, trim(regexp_replace(lower(
+    p_name || ' study: ' || p_type || ' parts'), '[^a-z0-9]+', ' ', 'g')) AS key
+  FROM part WHERE p_size > 25),
+l AS (SELECT key, count(*) AS n, row_number() OVER (ORDER BY key) AS i FROM existing GROUP BY key),
+r AS (SELECT key, count(*) AS n, row_number() OVER (ORDER BY key) AS j FROM incoming GROUP BY key),
+pairs AS (SELECT i, j, l.key AS a, r.key AS b,
+    1.0 - levenshtein(l.key, r.key) / greatest(length(l.key), length(r.key)) AS ratio FROM l, r),
+sorted AS (SELECT *, row_number() OVER (ORDER BY ratio DESC, md5(a || chr(31) || b), a, b) AS turn
+  FROM pairs WHERE ratio >= 0.7),
+walk AS (  -- down the sorted pairs, with the records that every title has left
+  SELECT CAST(0 AS BIGINT) AS turn, CAST(0 AS BIGINT) AS quantity,
+    (SELECT list(n ORDER BY i) FROM l) AS ls, (SELECT list(n ORDER BY j) FROM r) AS rs
+  UNION ALL
+  SELECT p.turn, least(ls[i], rs[j]),
+    ls[1:i - 1] || [ls[i] - least(ls[i], rs[j])] || ls[i + 1:],
+    rs[1:j - 1] || [rs[j] - least(ls[i], rs[j])] || rs[j + 1:]
+  FROM walk JOIN sorted p ON p.turn = walk.turn + 1),
+taken AS (SELECT a, b, ratio, quantity,
+    sum(quantity) OVER (PARTITION BY a ORDER BY turn) - quantity AS before_a,
+    sum(quantity) OVER (PARTITION BY b ORDER BY turn) - quantity AS before_b
+  FROM walk JOIN sorted USING (turn) WHERE quantity > 0),
+ls AS (SELECT id, key, row_number() OVER (PARTITION BY key ORDER BY id) AS k FROM existing),
+rs AS (SELECT id, key, row_number() OVER (PARTITION BY key ORDER BY id) AS k FROM incoming)
+SELECT ls.id AS sir_id, rs.id AS row_id, ratio
+FROM taken JOIN ls ON ls.key = a AND ls.k > before_a AND ls.k <= before_a + quantity
+  JOIN rs ON rs.key = b AND rs.k - before_b = ls.k - before_a""")
+def title_matches_edit(spark, sf):
+    """The same by edit distance, in three bands of the ratio."""
+    existing, incoming = _titles(spark, sf)
+    return M.match_titles(existing, incoming, "sir_id", "row_id", "title", "title", min_ratio=0.7,
+                          method="levenshtein", bands=(0.9, 0.8)).select(
+        F.col("left_id").alias("sir_id"), F.col("right_id").alias("row_id"), "ratio")
+
+
 @query("""SELECT c_custkey, s_suppkey, CASE WHEN c_custkey IS NULL THEN 'create'
   WHEN s_suppkey IS NULL THEN 'sir-only' ELSE 'update' END AS kind
 FROM customer FULL JOIN (SELECT *, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey + 5 END

@@ -18,6 +18,8 @@ from .similarity import (
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TITLE_RATIO = 0.78
+#: Titles are matched at these ratios first; what they settle is not compared at lower ones.
+BANDS = (0.9,)
 
 
 def _people(df, id_col, name_col, hospital_col):
@@ -253,8 +255,10 @@ def title_pairs(left: DataFrame, right: DataFrame, min_ratio: float, method: str
     return near.select("a", "b", ratio.alias("ratio")).where(F.col("ratio") >= min_ratio)
 
 
-def _allocate(pairs: DataFrame, left_cap: DataFrame, right_cap: DataFrame) -> DataFrame:
-    """Best pair first over titles with capacities; returns (a, b, ratio, round, quantity).
+def _allocate(pairs: DataFrame, left_cap: DataFrame, right_cap: DataFrame,
+              turn: int = 0) -> tuple[DataFrame, int]:
+    """Best pair first over titles with capacities; returns (a, b, ratio, round, quantity), with
+    rounds after ``turn``, and the last round.
 
     Each round takes every pair that is the best remaining one for both of its titles, which is
     what working down the sorted pair list would take. The best pair overall always qualifies,
@@ -268,7 +272,7 @@ def _allocate(pairs: DataFrame, left_cap: DataFrame, right_cap: DataFrame) -> Da
     # The ratios are costly and every round reads the pairs three times.
     state = checkpointed(pairs.join(left_cap, "a").join(right_cap, "b").select(
         "a", "b", "ratio", "left_n", "right_n"))
-    done, turn = [], 0
+    done = []
     while True:
         best_of_left = state.groupBy("a").agg(F.min(rank).alias("_bl"))
         best_of_right = state.groupBy("b").agg(F.min(rank).alias("_br"))
@@ -289,18 +293,30 @@ def _allocate(pairs: DataFrame, left_cap: DataFrame, right_cap: DataFrame) -> Da
             .where((F.col("left_n") > 0) & (F.col("right_n") > 0))
         turn += 1
     if not done:
-        return marked.select("a", "b", "ratio", F.lit(1).alias("round"), "quantity")
-    return reduce(lambda x, y: x.unionByName(y), done)
+        return marked.select("a", "b", "ratio", F.lit(turn + 1).alias("round"), "quantity"), turn
+    return reduce(lambda x, y: x.unionByName(y), done), turn
+
+
+def _remaining(cap: DataFrame, dealt: DataFrame, side: str) -> DataFrame:
+    """The titles of one side that still have records, with how many."""
+    n = f"{'left' if side == 'a' else 'right'}_n"
+    used = dealt.groupBy(side).agg(F.sum("quantity").alias("_used"))
+    return cap.join(used, side, "left").select(
+        side, (F.col(n) - F.coalesce("_used", F.lit(0))).alias(n)).where(F.col(n) > 0)
 
 
 def match_titles(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
                  left_title: str, right_title: str, manual: DataFrame | None = None,
-                 min_ratio: float = TITLE_RATIO, method: str = "sequence") -> DataFrame:
+                 min_ratio: float = TITLE_RATIO, method: str = "sequence",
+                 bands: tuple[float, ...] = BANDS) -> DataFrame:
     """One-to-one title matches (``left_id``, ``right_id``, ``ratio``, ``how``).
 
     Manual pairs come first. Then the best remaining pair is taken, over and over: highest ratio,
     then a hash of the two titles, then id. Equal titles, which come first of all, are settled by one
-    join; only titles with records left are compared. Records with the same title are
+    join; only titles with records left are compared. They are compared in ``bands``, from the
+    highest ratio down to ``min_ratio``: pairs of a band come before all pairs below it, so the
+    result is the same with any bands, while titles that a band uses up are looked up and aligned
+    in no lower one. Records with the same title are
     interchangeable up to their id order, so titles are matched once with the number of records
     behind them and the records are dealt out by rank.
     """
@@ -321,9 +337,15 @@ def match_titles(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     over = lambda n, m: F.col(n) - F.coalesce(m, F.lit(0))
     lcap = caps.select("a", over("left_n", "right_n").alias("left_n")).where("left_n > 0")
     rcap = caps.select("b", over("right_n", "left_n").alias("right_n")).where("right_n > 0")
-    pairs = title_pairs(lcap.select(F.col("a").alias("key")), rcap.select(F.col("b").alias("key")),
-                        min_ratio, method)
-    dealt = equal.unionByName(_allocate(pairs, lcap, rcap))
+    dealt, turn = equal, 0
+    for ratio in sorted({min_ratio, *(x for x in bands if x > min_ratio)}, reverse=True):
+        pairs = title_pairs(lcap.select(F.col("a").alias("key")),
+                            rcap.select(F.col("b").alias("key")), ratio, method)
+        taken, turn = _allocate(pairs, lcap, rcap, turn)
+        dealt = dealt.unionByName(taken)
+        if ratio > min_ratio:
+            lcap, rcap = (checkpointed(_remaining(lcap, taken, "a")),
+                          checkpointed(_remaining(rcap, taken, "b")))
 
     # Deal the records out: the k-th of a title goes to the slot that covers k.
     spans = _spans(_spans(dealt, "a"), "b")

@@ -46,7 +46,8 @@ def ratio_column(a: Column, b: Column, method: str, at_least: float = 0.0) -> Co
         def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
             return pd.Series([sequence_ratio(p, q, at_least) for p, q in zip(x, y)],
                              dtype="float64")
-        return ratio(a, b)
+        # else a filter on the ratio would move below the joins and bounds that come before it
+        return ratio.asNondeterministic()(a, b)
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(F.lit(1.0) - F.levenshtein(a, b) / longest)
 
