@@ -1,5 +1,7 @@
 """Registered queries over the given tables."""
-from . import answers, linking, lint, queues, scalars, setup, tables, worklists, writeback  # noqa: F401
+from . import (  # noqa: F401
+    answers, history, linking, lint, queues, scalars, setup, tables, worklists, writeback,
+)
 from . import checks  # noqa: F401  reads a query of tables
 from .registry import ORACLES, QUERIES
 
