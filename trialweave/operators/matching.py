@@ -255,10 +255,8 @@ def title_pairs(left: DataFrame, right: DataFrame, min_ratio: float, method: str
     return near.select("a", "b", ratio.alias("ratio")).where(F.col("ratio") >= min_ratio)
 
 
-def _allocate(pairs: DataFrame, left_cap: DataFrame, right_cap: DataFrame,
-              turn: int = 0) -> tuple[DataFrame, int]:
-    """Best pair first over titles with capacities; returns (a, b, ratio, round, quantity), with
-    rounds after ``turn``, and the last round.
+def _allocate(pairs: DataFrame, left_cap: DataFrame, right_cap: DataFrame) -> DataFrame:
+    """Best pair first over titles with capacities; returns (a, b, ratio, round, quantity).
 
     Each round takes every pair that is the best remaining one for both of its titles, which is
     what working down the sorted pair list would take. The best pair overall always qualifies,
@@ -272,7 +270,7 @@ def _allocate(pairs: DataFrame, left_cap: DataFrame, right_cap: DataFrame,
     # The ratios are costly and every round reads the pairs three times.
     state = checkpointed(pairs.join(left_cap, "a").join(right_cap, "b").select(
         "a", "b", "ratio", "left_n", "right_n"))
-    done = []
+    done, turn = [], 0
     while True:
         best_of_left = state.groupBy("a").agg(F.min(rank).alias("_bl"))
         best_of_right = state.groupBy("b").agg(F.min(rank).alias("_br"))
@@ -293,8 +291,8 @@ def _allocate(pairs: DataFrame, left_cap: DataFrame, right_cap: DataFrame,
             .where((F.col("left_n") > 0) & (F.col("right_n") > 0))
         turn += 1
     if not done:
-        return marked.select("a", "b", "ratio", F.lit(turn + 1).alias("round"), "quantity"), turn
-    return reduce(lambda x, y: x.unionByName(y), done), turn
+        return marked.select("a", "b", "ratio", F.lit(1).alias("round"), "quantity")
+    return reduce(lambda x, y: x.unionByName(y), done)
 
 
 def _remaining(cap: DataFrame, dealt: DataFrame, side: str) -> DataFrame:
@@ -333,16 +331,18 @@ def match_titles(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     rcap = b.groupBy(F.col("key").alias("b")).agg(F.count(F.lit(1)).alias("right_n"))
     caps = checkpointed(lcap.join(rcap, F.col("a") == F.col("b"), "full_outer"))
     equal = caps.where("a = b").select("a", "b", F.lit(1.0).alias("ratio"), F.lit(0).alias("round"),
-                                       F.least("left_n", "right_n").alias("quantity"))
+                                       F.least("left_n", "right_n").alias("quantity"),
+                                       F.lit(0).alias("band"))
     over = lambda n, m: F.col(n) - F.coalesce(m, F.lit(0))
     lcap = caps.select("a", over("left_n", "right_n").alias("left_n")).where("left_n > 0")
     rcap = caps.select("b", over("right_n", "left_n").alias("right_n")).where("right_n > 0")
-    dealt, turn = equal, 0
-    for ratio in sorted({min_ratio, *(x for x in bands if x > min_ratio)}, reverse=True):
+    dealt = equal
+    steps = sorted({min_ratio, *(x for x in bands if x > min_ratio)}, reverse=True)
+    for band, ratio in enumerate(steps, start=1):
         pairs = title_pairs(lcap.select(F.col("a").alias("key")),
                             rcap.select(F.col("b").alias("key")), ratio, method)
-        taken, turn = _allocate(pairs, lcap, rcap, turn)
-        dealt = dealt.unionByName(taken)
+        taken = _allocate(pairs, lcap, rcap)
+        dealt = dealt.unionByName(taken.withColumn("band", F.lit(band)))
         if ratio > min_ratio:
             lcap, rcap = (checkpointed(_remaining(lcap, taken, "a")),
                           checkpointed(_remaining(rcap, taken, "b")))
@@ -366,11 +366,11 @@ def match_titles(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
 
 def _spans(dealt: DataFrame, side: str) -> DataFrame:
-    """Where each allocation starts among its title's records, in round order.
+    """Where each allocation starts among its title's records, by band and round.
 
     A title gets at most one partner per round, so a window holds no more rows than rounds.
     """
-    upto = F.sum("quantity").over(Window.partitionBy(side).orderBy("round"))
+    upto = F.sum("quantity").over(Window.partitionBy(side).orderBy("band", "round"))
     return dealt.withColumn(f"_from_{side}", upto - F.col("quantity"))
 
 
