@@ -1,3 +1,4 @@
+import pytest
 import study_fixture as fixture
 from pyspark.sql import functions as F
 
@@ -127,3 +128,24 @@ def test_blank_site_counts_overall_only(spark):
     assert value["x", "", "sd", "s"] is None
     # The denominator holds every usable value, also a code the dictionary does not list.
     assert value["y", "Yes", "pct", "overall"] == 50.0 and value["y", "Yes", "pct", "s"] == 0.0
+
+
+@pytest.mark.parametrize("counts", [False, True])
+def test_wide_dictionaries_keep_methods_small(spark, counts):
+    """No method of 96 conditioned fields passes the 8,000 bytes that the JVM compiles."""
+    logic = lambda i: f"[c{i // 2}] = '1' and [c{i // 3}] <> '2' or [c{i // 4}] > 3" if i else ""
+    fields = [Field("record_id", "f")] + [Field(f"c{i}", "f", branching_logic=logic(i)) for i in range(96)]
+    # rows that Spark has to compute, so that nothing is folded before code is generated
+    records = spark.range(8).select(F.col("id").cast("string").alias("record_id"), *[
+        (F.col("id") % (i % 5 + 2)).cast("string").alias(f"c{i}") for i in range(96)])
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        books = [W.Workbook("w", tuple(f.field_name for f in fields[1:]))]
+        plan = (W.worklist_counts if counts else W.worklist_cells)(records, Dictionary(fields), books)._jdf
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        found = debug.codegenStringSeq(plan.queryExecution().executedPlan())
+        sizes = [found.apply(i)._3().maxMethodCodeSize() for i in range(found.size())]
+        assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)

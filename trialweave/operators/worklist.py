@@ -10,7 +10,7 @@ from ..functions import constants as K
 from ..functions.cells import number, site_or_default, strip
 from ..functions.text import decode, ticked_labels
 from ..plans.dictionary import CODED, Dictionary
-from ..plans.logic import DOES_NOT, LogicCompiler, compared_as_numbers, gates
+from ..plans.logic import DOES_NOT, ClauseBits, LogicCompiler, compared_as_numbers, gates
 from .lineage import lookup
 from .ordering import last_per_key
 
@@ -44,19 +44,19 @@ def with_site(records: DataFrame, site_field: str = K.SITE_FIELD,
     return records.withColumn(site_field, value)
 
 
-NUMBER, WHY, APPLICABLE, STATE = "_number_", "_why_", "_applies_", "_state_"
+NUMBERS, BITS, WHY, STATES = "_numbers", "_bits", "_why", "_states"
 BLANK, ONLY_CODES = 1, 3
 
 
 class _Cells:
     """The per-cell verdicts of one prepared record table, as Columns."""
 
-    def __init__(self, records: DataFrame, dictionary: Dictionary, sentinels, order_free: bool):
+    def __init__(self, records: DataFrame, numbers: dict[str, Column], dictionary: Dictionary, sentinels,
+                 order_free: bool):
         self.columns = records.columns
         self.dictionary = dictionary
         self.sentinels = sentinels
         self.order_free = order_free
-        numbers = {c[len(NUMBER):]: c for c in records.columns if c.startswith(NUMBER)}
         self.compiler = LogicCompiler(records.columns, trimmed=True, numbers=numbers)
 
     def value(self, name: str) -> Column:
@@ -67,39 +67,45 @@ class _Cells:
             return F.concat_ws(",", *marks) if marks else F.lit("")
         return F.col(f"`{name}`") if name in self.columns else F.lit("")
 
-    def missing(self, name: str) -> Column:
-        """``BLANK``, ``ONLY_CODES`` or 0."""
+    def held(self, name: str) -> Column:
+        """What tells whether a field is answered: its value; of checkboxes null where an option is
+        ticked, a missing code where only such codes are."""
         field = self.dictionary[name]
-        if field.is_checkbox:
-            options = self.dictionary.option_columns(name, self.columns)
-            ticked = [(code, F.col(f"`{c}`") == "1") for code, c in options.items()]
-            any_of = lambda marks: reduce(lambda a, b: a | b, marks, F.lit(False))
-            real = any_of([t for code, t in ticked if code not in self.sentinels])
-            code = any_of([t for code, t in ticked if code in self.sentinels])
-            return F.when(real, 0).when(code, ONLY_CODES).otherwise(BLANK)
-        value = self.value(name)
-        return F.when(value == "", BLANK).when(value.isin(*self.sentinels), ONLY_CODES).otherwise(0)
+        if not field.is_checkbox:
+            return self.value(name)
+        options = self.dictionary.option_columns(name, self.columns)
+        ticked = [(code, F.col(f"`{c}`") == "1") for code, c in options.items()]
+        any_of = lambda marks: reduce(lambda a, b: a | b, marks, F.lit(False))
+        real = any_of([t for code, t in ticked if code not in self.sentinels])
+        code = any_of([t for code, t in ticked if code in self.sentinels])
+        return F.when(real, None).when(code, next(iter(self.sentinels), None)).otherwise("")
 
     def staged(self, table: DataFrame, names: list[str]) -> DataFrame:
-        """Add each field's state: 0 nothing to do; 1 and 2 blank, 3 and 4 only missing codes; odd
-        when the condition was certain.
+        """Add an array with each field's state, read by ``state``: 0 nothing to do; 1 and 2 blank, 3 and
+        4 only missing codes; odd when the condition was certain.
 
-        The parts are columns of their own, which keeps every generated expression small.
+        Fields are elements of arrays and conditions masks over the bits of their clauses, so a step is
+        one column whatever the number of fields, and Spark splits its code into small methods.
         """
         names = list(dict.fromkeys(names))
-        asked = [n for n in names if self.dictionary[n].branching_logic.strip()]
-        parts = table.select(
-            "*", *[self.missing(n).alias((WHY if n in asked else STATE) + n) for n in names],
-            *[self.compiler.applicability(self.dictionary[n].branching_logic, self.order_free)
-              .alias(APPLICABLE + n) for n in asked])
-        why, applies = lambda n: F.col(WHY + n), lambda n: F.col(APPLICABLE + n)
-        return parts.select("*", *[
-            F.when((why(n) > 0) & (applies(n) != DOES_NOT), why(n) + applies(n) - 1).otherwise(0)
-            .alias(STATE + n) for n in asked])
+        self.places = {n: i for i, n in enumerate(names)}
+        logic = [self.dictionary[n].branching_logic for n in names]
+        bits = ClauseBits(self.compiler, logic, self.order_free)
+        why = F.transform(F.array(*map(self.held, names)), lambda v: F.when(v == "", BLANK).when(
+            v.isin(*self.sentinels), ONLY_CODES).otherwise(0))
+        words = [word.alias(f"{BITS}{i}") for i, word in enumerate(bits.words())]
+        parts = table.select("*", *words, why.alias(WHY))
+        held = [F.col(f"{BITS}{i}") for i in range(len(words))]
+        applies = F.array(*[bits.state(text, held) for text in logic])
+        return parts.withColumn(STATES, F.zip_with(WHY, applies, lambda w, a: F.when(
+            (w > 0) & (a != DOES_NOT), w + a - 1).otherwise(0)))
+
+    def state(self, name: str) -> Column:
+        return F.col(STATES)[self.places[name]]
 
     def cell(self, workbook: str, name: str) -> Column:
         """The flagged cell as a struct, or null when there is nothing to do."""
-        state = F.col(STATE + name)
+        state = self.state(name)
         return F.when(
             state > 0,
             F.struct(F.lit(workbook).alias("workbook"), F.lit(name).alias("field"),
@@ -111,7 +117,8 @@ class _Cells:
 def _prepared(records, dictionary, workbooks, id_cols, site_field, seq):
     """Site filled, columns pruned to what the workbooks read and stripped once, last duplicate kept.
 
-    Fields that some condition puts in order get a column that holds them as a double.
+    Fields that some condition puts in order are kept as doubles too, in one array; where they lie in it
+    is the second result. (A column for each would make Spark infer a constraint for every subset of them.)
     """
     records = with_site(records, site_field)
     wanted = [f for w in workbooks for f in w.fields if f in dictionary]
@@ -119,12 +126,14 @@ def _prepared(records, dictionary, workbooks, id_cols, site_field, seq):
     read = list(dict.fromkeys(wanted + [g for text in logic for g in gates(text)]))
     cells = [c for c in dictionary.columns_for(read, records.columns)
              if c not in (*id_cols, site_field)]
-    table = records.select(*id_cols, site_field, *[strip(F.col(f"`{c}`")).alias(c) for c in cells],
-                           *([seq] if seq else []))
+    ordered = list(dict.fromkeys(f for text in logic for f in compared_as_numbers(text) if f in cells))
+    texts = F.array(*[F.col(f"`{f}`").cast("string") for f in ordered]).cast("array<string>")
+    table = records.select(
+        *id_cols, site_field, *[strip(F.col(f"`{c}`")).alias(c) for c in cells],
+        F.transform(texts, lambda v: number(v)).alias(NUMBERS), *([seq] if seq else []))
     if seq:
         table = last_per_key(table, [id_cols[0]], [seq]).drop(seq)
-    ordered = dict.fromkeys(f for text in logic for f in compared_as_numbers(text) if f in cells)
-    return table.select("*", *[number(f, trimmed=True).alias(NUMBER + f) for f in ordered])
+    return table, {f: F.col(NUMBERS)[i] for i, f in enumerate(ordered)}
 
 
 def worklist_cells(records: DataFrame, dictionary: Dictionary, workbooks: list[Workbook],
@@ -137,15 +146,15 @@ def worklist_cells(records: DataFrame, dictionary: Dictionary, workbooks: list[W
     Give ``seq`` when ids may repeat: the row with the highest value is the record.
     """
     ids = list(id_cols or [dictionary.id_field])
-    table = _prepared(records, dictionary, workbooks, ids, site_field, seq)
-    cells = _Cells(table, dictionary, sentinels, order_free)
+    table, numbers = _prepared(records, dictionary, workbooks, ids, site_field, seq)
+    cells = _Cells(table, numbers, dictionary, sentinels, order_free)
     pairs = [(w.name, f) for w in workbooks for f in w.fields if f in dictionary]
     if not pairs:
         raise ValueError("no workbook names a field of the dictionary")
     staged = cells.staged(table, [f for _, f in pairs])
     listed = staged.select(*ids, F.col(site_field).alias("site"),
-                           F.array(*[cells.cell(w, f) for w, f in pairs]).alias("_cells"))
-    # A plain explode would push a size check of the whole array below; the array is never empty.
+                           F.array_compact(F.array(*[cells.cell(w, f) for w, f in pairs])).alias("_cells"))
+    # A plain explode would push a size check of the whole array below.
     one = listed.select(*ids, "site", F.explode_outer("_cells").alias("cell")).where(
         F.col("cell").isNotNull())
     modes = F.when(F.col("cell.reason") == "blank", F.array(*map(F.lit, MODES))) \
@@ -164,22 +173,21 @@ def worklist_counts(records: DataFrame, dictionary: Dictionary, workbooks: list[
     only shuffle, which carries one row per site from each task.
     """
     ids = list(id_cols or [dictionary.id_field])
-    table = _prepared(records, dictionary, workbooks, ids, site_field, seq)
-    cells = _Cells(table, dictionary, sentinels, order_free)
+    table, numbers = _prepared(records, dictionary, workbooks, ids, site_field, seq)
+    cells = _Cells(table, numbers, dictionary, sentinels, order_free)
     staged = cells.staged(table, [f for w in workbooks for f in w.fields if f in dictionary])
     # One number per record and workbook holds four 16-bit tallies, one per state, so each field
     # costs one addition whatever the modes need.
     packed, tallies, totals, lines = [], [], [], []
     for i, w in enumerate(workbooks):
-        states = [F.col(STATE + f) for f in w.fields if f in dictionary]
+        states = [cells.state(f) for f in w.fields if f in dictionary]
         if not states:
             continue
         if len(states) > 0x7FFF:
             raise ValueError(f"workbook {w.name!r} has more fields than a tally can hold")
-        one = F.lit(1).cast("long")
-        packed.append(reduce(lambda a, b: a + b, [
-            F.when(s > 0, F.call_function("shiftleft", one, (s - 1) * 16)).otherwise(0)
-            for s in states]).alias(f"_p{i}"))
+        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+        packed.append(F.aggregate(F.array(*states), none, lambda total, s: total + F.when(
+            s > 0, F.call_function("shiftleft", one, (s - 1) * 16)).otherwise(none)).alias(f"_p{i}"))
         held = lambda state: F.shiftrightunsigned(f"_p{i}", (state - 1) * 16).bitwiseAND(0xFFFF)
         for mode in MODES:
             gap, doubt = f"_g{i}{mode}", f"_u{i}{mode}"
@@ -247,13 +255,14 @@ def worklist_sheet(records: DataFrame, dictionary: Dictionary, workbook: Workboo
     fields = [f for f in workbook.fields if f in dictionary]
     controls = {g for f in fields for g in gates(dictionary[f].branching_logic)} - set(fields)
     order = [f.field_name for f in dictionary.fields if f.field_name in controls] + fields
-    table = _prepared(records, dictionary, [workbook], ids, site_field, None)
-    cells = _Cells(table, dictionary, sentinels, False)
+    table, numbers = _prepared(records, dictionary, [workbook], ids, site_field, None)
+    cells = _Cells(table, numbers, dictionary, sentinels, False)
+    staged = cells.staged(table, fields)
     flagged = F.array_compact(F.array(*[cells.cell(workbook.name, f) for f in fields]))
     if mode == WITHOUT_CODES:
         flagged = F.filter(flagged, lambda c: c["reason"] == "blank")
     labels = dictionary.label_map(order)
-    shown = cells.staged(table, fields).withColumn("_flagged", flagged).where(
+    shown = staged.withColumn("_flagged", flagged).where(
         F.size("_flagged") > 0)
     return shown.select(
         *ids, F.col(site_field).alias("site"),

@@ -12,6 +12,8 @@ from ..functions.text import checkbox_spellings
 from .dictionary import Dictionary
 
 DOES_NOT, APPLIES, PERHAPS = 0, 1, 2
+#: Bits of clauses in one long number.
+WORD = 62
 COMPARE = {
     "<": lambda a, b: a < b,
     ">": lambda a, b: a > b,
@@ -131,11 +133,11 @@ def compared_as_numbers(text: str) -> list[str]:
 class LogicCompiler:
     """Builds applicability Columns against a known set of record columns.
 
-    ``trimmed`` says the columns are stripped already, and ``numbers`` maps a column to one that
-    holds it as a double, so that many conditions can share one conversion.
+    ``trimmed`` says the columns are stripped already, and ``numbers`` maps a column to an expression
+    that holds it as a double, so that many conditions can share one conversion.
     """
 
-    def __init__(self, columns, trimmed: bool = False, numbers: dict[str, str] | None = None):
+    def __init__(self, columns, trimmed: bool = False, numbers: dict[str, Column] | None = None):
         self.columns = set(columns)
         self.trimmed = trimmed
         self.numbers = numbers or {}
@@ -162,7 +164,7 @@ class LogicCompiler:
         if not re.fullmatch(NUMBER.strip("^$"), want):
             return F.lit(False), actual != ""
         ready = self.numbers.get(parsed.field) if parsed.option is None else None
-        value = F.col(ready) if ready else number(actual, trimmed=True)
+        value = number(actual, trimmed=True) if ready is None else ready
         holds = F.coalesce(COMPARE[parsed.op](value, F.lit(float(want))), F.lit(False))
         return holds, (actual != "") & value.isNull()
 
@@ -173,39 +175,76 @@ class LogicCompiler:
         so an unknown clause only counts when it comes before that. ``order_free`` uses plain
         three-valued logic instead, where a false clause settles its part wherever it stands.
         """
-        parts = [[self.clause(c) for c in part] for part in branches(text)]
-        if not parts:
-            return F.lit(APPLIES)
-        satisfied = reduce(lambda a, b: a | b, [
-            reduce(lambda a, b: a & b, [holds for holds, _ in part]) for part in parts])
-        out = F.when(satisfied, APPLIES)
-        meets = self._some_unknown if order_free else self._meets_unknown
-        doubts = [meets(part) for part in parts if any(u is not None for _, u in part)]
-        if doubts:
-            out = out.when(reduce(lambda a, b: a | b, doubts), PERHAPS)
-        return out.otherwise(DOES_NOT)
-
-    @staticmethod
-    def _meets_unknown(part: list[tuple[Column, Column | None]]) -> Column:
-        """An unknown clause is reached before any false one."""
-        while part[-1][1] is None:
-            part = part[:-1]
-        out = part[-1][1]
-        for holds, unknown in reversed(part[:-1]):
-            out = holds & out if unknown is None else unknown | (holds & out)
-        return out
-
-    @staticmethod
-    def _some_unknown(part: list[tuple[Column, Column | None]]) -> Column:
-        """An unknown clause, and no clause that is false."""
-        unknowns = [u for _, u in part if u is not None]
-        alive = [h if u is None else h | u for h, u in part]
-        return reduce(lambda a, b: a & b, alive) & reduce(lambda a, b: a | b, unknowns)
+        bits = ClauseBits(self, [text], order_free)
+        return bits.state(text, bits.words())
 
     def parent_true(self, clauses: list[Clause]) -> Column:
         return reduce(lambda a, b: a | b, [self.cell(c) == c.value.strip() for c in clauses])
 
 
+class ClauseBits:
+    """Many conditions as masks over the bits of their distinct clauses.
+
+    A clause is evaluated once, however many conditions hold it: one bit says that it holds and, where
+    it can be in doubt, one that it cannot be told and one that it is not false. ``words`` has the bits;
+    keep each word in a column of its own and give those to ``state``, so that the code of a condition is
+    a few comparisons of long numbers whatever its clauses are. (An array of the words would be
+    optimised away, and every clause be repeated in each condition.)
+    """
+
+    def __init__(self, compiler: LogicCompiler, texts, order_free: bool = False):
+        self.order_free = order_free
+        self.tests: list[Column] = []
+        self._clauses: dict = {}
+        self.parts = {text: [[self._clause(compiler, c) for c in part] for part in branches(text)]
+                      for text in dict.fromkeys(texts)}
+
+    def _clause(self, compiler: LogicCompiler, text: str) -> tuple[int, int | None, int]:
+        """Bits of a clause: holds, cannot be told (None where it always can), is not false."""
+        key = parse_clause(text) or text.strip()
+        if key not in self._clauses:
+            holds, unknown = compiler.clause(text)
+            at = len(self.tests)
+            self.tests += [holds] if unknown is None else [holds, unknown, holds | unknown]
+            self._clauses[key] = (at, None, at) if unknown is None else (at, at + 1, at + 2)
+        return self._clauses[key]
+
+    def words(self) -> list[Column]:
+        """The bits, as long numbers."""
+        none = F.lit(0).cast("long")
+        marks = [F.when(test, F.lit(1 << i % WORD).cast("long")).otherwise(none)
+                 for i, test in enumerate(self.tests)]
+        return [reduce(lambda a, b: a.bitwiseOR(b), marks[i:i + WORD])
+                for i in range(0, len(marks), WORD)]
+
+    @staticmethod
+    def _all_set(bits, words: list[Column]) -> Column:
+        masks: dict[int, int] = {}
+        for bit in bits:
+            masks[bit // WORD] = masks.get(bit // WORD, 0) | 1 << bit % WORD
+        tests = [words[w].bitwiseAND(F.lit(m).cast("long")) == F.lit(m).cast("long")
+                 for w, m in masks.items()]
+        return reduce(lambda a, b: a & b, tests)
+
+    def _doubts(self, part) -> list[list[int]]:
+        """Sets of bits, one of which is set as a whole where the part cannot be settled."""
+        if self.order_free:  # an unknown clause, and no clause that is false
+            alive = [c[2] for c in part]
+            return [alive + [c[1]] for c in part if c[1] is not None]
+        return [[c[0] for c in part[:i]] + [c[1]]  # it is reached before any false one
+                for i, c in enumerate(part) if c[1] is not None]
+
+    def state(self, text: str, words: list[Column]) -> Column:
+        """``LogicCompiler.applicability`` of one of the conditions, out of the ``words``."""
+        if not self.parts[text]:
+            return F.lit(APPLIES)
+        some = lambda sets: reduce(lambda a, b: a | b, [self._all_set(s, words) for s in sets])
+        out = F.when(some([[c[0] for c in part] for part in self.parts[text]]), APPLIES)
+        if doubts := [d for part in self.parts[text] for d in self._doubts(part)]:
+            out = out.when(some(doubts), PERHAPS)
+        return out.otherwise(DOES_NOT)
+
+
 def logic_report(spark, dictionary: Dictionary):
     """Every logic string with what was made of it: one row per branched field."""
     rows = [
