@@ -153,3 +153,16 @@ def test_labels_and_aliases(spark, rows):
     out = I.translate_cells(answers, d2, {"c": {"Tardy": "late"}})
     assert rows(I.payload(out)) == [("1", "c___1", "1"), ("1", "c____9", "1"), ("2", "c___1", "1")]
     assert rows(I.issues(out)) == [("1", "c", "late, other,,nope", "checkbox option 'nope' not a choice")]
+
+
+def test_contradictory_answers_are_reported_and_never_guessed(spark, rows):
+    d = Dictionary([Field("id"), Field("sex", field_type="radio", field_label="Sex",
+                                       select_choices_or_calculations="1, Male | 2, Female"),
+                    Field("note", field_label="Note")])
+    said = [("1", "Sex", "male"), ("1", "Sex", "Female"), ("1", "Note", "seen"), ("1", "Note", "seen"),
+            ("2", "Sex", "female"), ("2", "Sex", "Female "), ("3", "Sex", "male"), ("3", "Sex", "female")]
+    out = I.translate_cells(spark.createDataFrame(said, "record_id string, header string, value string"), d)
+    assert rows(I.contradictions(out)) == [("1", "sex", "1", "2", 2), ("3", "sex", "1", "2", 2)]
+    assert rows(I.payload(out)) == [("1", "note", "seen"), ("2", "sex", "2")]
+    assert rows(I.payload_wide(out, d), "id", "sex", "note") == [("1", "", "seen"), ("2", "2", "")]
+    assert I.contradictions(out.limit(0)).count() == 0

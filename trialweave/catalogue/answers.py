@@ -211,6 +211,19 @@ def translate_issues(spark, sf):
     return I.issues(_translated(spark, sf))
 
 
+@query("""SELECT record_id, 'outcome' AS "column", min(code) AS least, max(code) AS greatest, count(*) AS answers
+FROM (SELECT CAST(l_orderkey AS VARCHAR) AS record_id,
+    CASE l_returnflag WHEN 'A' THEN '1' WHEN 'N' THEN '2' ELSE '3' END AS code FROM lineitem)
+GROUP BY record_id HAVING min(code) <> max(code)""")
+def translate_contradictions(spark, sf):
+    """Orders as records whose outcome every line answers: those whose lines do not agree."""
+    flag = F.col("l_returnflag")
+    answers = table(spark, sf, "lineitem").select(
+        S.text("l_orderkey").alias("record_id"), F.lit("Order status").alias("header"),
+        F.when(flag == "A", "filled ").when(flag == "N", "Open").otherwise("pending, PARTLY").alias("value"))
+    return I.contradictions(I.translate_cells(answers, VISIT, ALIASES))
+
+
 @query(f"""WITH {_ANSWERS_SQL},
 given AS (SELECT 5 * count(*) + count(*) FILTER (k % 8 = 0 OR k % 7 = 0 OR k % 2 = 0) AS n
   FROM answers),

@@ -146,10 +146,26 @@ def translate_cells(answers: DataFrame, dictionary: Dictionary,
                       F.when(~mapped, F.col("_issue")).alias("issue"))
 
 
+def _by_cell(translated: DataFrame) -> DataFrame:
+    return translated.where(F.col("issue").isNull()).groupBy("record_id", "column")
+
+
 def payload(translated: DataFrame) -> DataFrame:
-    """Mapped cells (record_id, column, code), one per cell: of several codes the greatest."""
-    return translated.where(F.col("issue").isNull()).groupBy("record_id", "column").agg(
-        F.max("code").alias("code"))
+    """Mapped cells (record_id, column, code), one per cell.
+
+    A cell whose answers say different things is left out: see ``contradictions``.
+    """
+    return _by_cell(translated).agg(F.min("code").alias("code"), F.max("code").alias("_most")).where(
+        F.col("code") == F.col("_most")).drop("_most")
+
+
+def contradictions(translated: DataFrame) -> DataFrame:
+    """Cells that were answered with different codes: ``record_id``, ``column``, the least and the
+    greatest code and the number of ``answers``. Whatever number of answers a cell has, each task
+    sends one row for it."""
+    return _by_cell(translated).agg(
+        F.min("code").alias("least"), F.max("code").alias("greatest"),
+        F.count(F.lit(1)).alias("answers")).where(F.col("least") != F.col("greatest"))
 
 
 def issues(translated: DataFrame) -> DataFrame:
@@ -161,8 +177,7 @@ def payload_wide(translated: DataFrame, dictionary: Dictionary,
                  id_field: str | None = None) -> DataFrame:
     """The payload as one row per record over the dictionary's columns, blank where unanswered."""
     columns = [c for c in dictionary.expected_columns() if c != dictionary.id_field]
-    mapped = translated.where(F.col("issue").isNull())
-    wide = mapped.groupBy("record_id").agg(*[
-        F.max(F.when(F.col("column") == c, F.col("code"))).alias(c) for c in columns])
-    return wide.fillna("", columns).withColumnRenamed(
-        "record_id", id_field or dictionary.id_field)
+    cells = payload(translated).groupBy("record_id").agg(F.map_from_entries(
+        F.collect_list(F.struct("column", "code"))).alias("_cells"))  # at most one for each column
+    return cells.select(F.col("record_id").alias(id_field or dictionary.id_field), *[
+        F.coalesce(F.col("_cells")[c], F.lit("")).alias(c) for c in columns])
