@@ -153,11 +153,19 @@ def literal_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def all_spans(text: str) -> list[tuple[int, int, str]]:
-    """Plain spans, and literals that no plain span covers, by start and then kind."""
-    spans = base_spans(text)
-    spans += [s for s in literal_spans(text)
-              if not any(b[0] <= s[0] and s[1] <= b[1] for b in spans)]
-    return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+    """Plain spans, and literals that no plain span covers, by start and then kind.
+
+    One sweep in the order of starts: of the plain spans that start no later than a literal, the
+    furthest end tells whether one covers it.
+    """
+    spans = sorted(base_spans(text))
+    at, reach, more = 0, -1, []
+    for literal in literal_spans(text):
+        while at < len(spans) and spans[at][0] <= literal[0]:
+            reach, at = max(reach, spans[at][1]), at + 1
+        if literal[1] > reach:
+            more.append(literal)
+    return sorted(spans + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
 def find_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
