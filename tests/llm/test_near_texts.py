@@ -7,6 +7,7 @@ from conftest import prose
 from test_shingles import _edited, _kept, _set
 
 from trialweave.llm import near_texts, shingles
+from trialweave.llm.components import components
 
 
 def _links(spark, pairs):
@@ -67,3 +68,19 @@ def test_hard_documents(spark, docs, empty, pairs):
     assert got.columns == docs.columns
     assert collections.Counter(r["doc_id"] for r in got.collect()) == _kept(pairs)
     assert near_texts.keep_first(empty).count() == 0
+
+
+def test_every_pair_that_shares_a_key_is_compared(spark):
+    """Loosely alike texts of one page: more than the rounds draw, and still linked when rounds add little."""
+    rng, page = random.Random(1), prose(78, 200)
+    texts = [_edited(50_000 + i, page, rng.randrange(2, 14)) for i in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    told = near_texts._told(df, "doc_id", "text").cache()
+    found = components(near_texts.links(df, told)).collect()
+    component = {r["node"]: r["component"] for r in found}
+    sets = [(shingles._node(words), shingles.shingles(words)) for words in map(shingles.words_of, texts)]
+    told_of = [(node, held, set(near_texts.sketch(held)[1].tolist())) for node, held in sets]
+    met = [(a, b) for i, (a, x, k) in enumerate(told_of) for b, y, m in told_of[:i]
+           if k & m and shingles.similar(x, y)]
+    assert len(met) > 100
+    assert [(a, b) for a, b in met if component.get(a, a) != component.get(b, b)] == []

@@ -11,11 +11,16 @@ Texts that meet are compared by size and by all bits, then their whole shingle s
 similarity of 0.8 or more and nothing else. A round compares each text with texts that it meets and is
 not yet connected with: first the least under its keys, then the most alike of the texts that the round
 draws, one for each key. So a round compares a few pairs for each text, however large a group is, and
-rounds go on until one adds less than a twentieth to the links. Recall against every pair is measured in
+rounds go on until one adds less than a twentieth to the links. What the rounds leave is then compared
+whole: every two texts that share a key and are not connected yet, however many and however their bits
+differ. So no text that meets another is left out by the number drawn, the end of the rounds or the bits;
+only pairs that share no key at all are not seen. Recall against every pair is measured in
 ``test_near_texts.py``.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,13 +33,17 @@ from .simhash import first_rows, golay_keys, row_hash
 
 #: Tables of keys, and bits of a segment of a fingerprint; one segment for each table.
 TABLES, SEGMENT = 5, 23
-#: Most differing bits, of the 64 of the first fingerprint, of two texts that are compared whole. Similar
-#: texts differ in 9.7 on average with a standard deviation of 2.9.
+#: Most differing bits, of the 64 of the first fingerprint, of two texts that are compared in the rounds.
+#: Similar texts differ in 9.7 on average with a standard deviation of 2.9.
 MOST_BITS = 24
-#: Texts that a text is compared with in a round, the most alike of those drawn; others wait for a later one.
+#: Texts that a text is compared with in a round, the most alike of those drawn; others wait for a later one
+#: or for the comparison of all that is left.
 DRAWN = 16
-#: Rounds end with the first that finds at most this part of the links known before it.
+#: Rounds end with the first that finds at most this part of the links known before it; what is left is
+#: compared whole.
 TAIL = 20
+#: Longs of the map of a set's shingles, by which most unlike texts are told apart without their words.
+WORDS = 16
 #: Odd multipliers that make independent hashes of the shingle hashes.
 _MIX = [int.from_bytes(xxhash.xxh64_digest(f"table {i}"), "big") | 1 for i in range(4 * TABLES)]
 
@@ -66,9 +75,17 @@ def sketch(keys: np.ndarray) -> tuple[int, np.ndarray]:
     return fp, key.view(np.int64)
 
 
+def held_bits(keys: np.ndarray) -> np.ndarray:
+    """A map of ``WORDS`` longs with a bit set for each shingle hash. A bit that only one of two maps has
+    stands for at least one shingle that only its set holds."""
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[(_mixed(keys.view(np.uint64), 2 + TABLES) >> np.uint64(32)).astype(np.int64) % len(bits)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _told(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Per row: ``doc_id``, ``row``, ``node`` (a hash of the words), ``n`` (different shingles), ``fp`` and
-    ``keys``. Texts without a word have no key."""
+    """Per row: ``doc_id``, ``row``, ``node`` (a hash of the words), ``n`` (different shingles), ``fp``,
+    ``keys`` and ``held`` (``held_bits``). Texts without a word have no key."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), row_hash(doc_id, text).alias("row"),
                      F.col(text).alias("text"))
 
@@ -79,21 +96,34 @@ def _told(df: DataFrame, doc_id: str, text: str) -> DataFrame:
                 words = words_of(value.as_py())
                 found = shingles(words)
                 fp, keys = sketch(found) if len(found) else (0, np.zeros(0, np.int64))
-                out.append((_node(words), len(found), fp, keys))
+                out.append((_node(words), len(found), fp, keys, held_bits(found)))
             ends = np.cumsum([0, *(len(o[3]) for o in out)])
             keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(
                 np.concatenate([np.zeros(0, np.int64), *(o[3] for o in out)])))
             return pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row"), *(pa.array([o[i] for o in out], t) for i, t in (
-                    (0, pa.int64()), (1, pa.int32()), (2, pa.int64()))), keys],
-                ["doc_id", "row", "node", "n", "fp", "keys"])
+                    (0, pa.int64()), (1, pa.int32()), (2, pa.int64()))), keys,
+                 pa.array([o[4] for o in out], pa.list_(pa.int64()))],
+                ["doc_id", "row", "node", "n", "fp", "keys", "held"])
         return run
-    return map_arrow(rows, build, "doc_id long, row long, node long, n int, fp long, keys array<long>", "text")
+    return map_arrow(
+        rows, build, "doc_id long, row long, node long, n int, fp long, keys array<long>, held array<long>", "text")
+
+
+def _sizes_fit(n, m):
+    """Whether sets of ``n`` and ``m`` shingles can have a similarity of 0.8."""
+    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+
+
+def _maps_fit(n, held, m, other):
+    """Whether sets with these maps can: shingles that only one set holds cannot be shared."""
+    alone = lambda x, y: reduce(lambda p, q: p + q, [
+        F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in range(WORDS)])
+    return 9 * F.least(n - alone(held, other), m - alone(other, held)) >= 4 * (n + m)
 
 
 def _may_be_alike(n, fp, m, other):
-    return ((5 * F.least(n, m) >= 4 * F.greatest(n, m))
-            & (F.bit_count(fp.bitwiseXOR(other)) <= MOST_BITS))
+    return _sizes_fit(n, m) & (F.bit_count(fp.bitwiseXOR(other)) <= MOST_BITS)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -117,9 +147,30 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return checkpointed(map_arrow(both, build, "a long, b long", "ta"))
 
 
+def _left_over(met: DataFrame, links: DataFrame, told: DataFrame) -> DataFrame:
+    """Every two nodes (a, b) that share a key and that the links do not connect, once each, but for those
+    whose sizes or maps rule out a similarity of 0.8."""
+    known = components(links).withColumnRenamed("node", "_node")
+    apart = met.join(known, F.col("node") == F.col("_node"), "left").select(
+        "k", "node", "n", F.coalesce("component", "node").alias("c"))
+    mixed = apart.groupBy(F.col("k").alias("_k")).agg(
+        F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("_k")
+    maps = told.groupBy(F.col("node").alias("_node")).agg(F.first("held").alias("held"))
+    apart = checkpointed(apart.join(mixed, F.col("k") == F.col("_k"), "left_semi")
+                         .join(maps, F.col("node") == F.col("_node")).drop("_node"))
+    left, right = (apart.select("k", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "c", "held")))
+                   for side in ("l", "r"))
+    return left.join(right.hint("merge"), "k").where(  # adaptive execution splits a large key
+        (F.col("l_node") < F.col("r_node")) & (F.col("l_c") != F.col("r_c"))
+        & _sizes_fit(F.col("l_n"), F.col("r_n"))
+        & _maps_fit(F.col("l_n"), F.col("l_held"), F.col("r_n"), F.col("r_held"))).select(
+            F.col("l_node").alias("a"), F.col("r_node").alias("b")).distinct()
+
+
 def links(df: DataFrame, told: DataFrame, text: str = "text") -> DataFrame:
-    """Pairs (a, b) of nodes with a similarity of 0.8 or more. ``told`` is the checkpointed ``_told`` of the
-    frame. Copies are one node; a node meets the others under a key through the least of them."""
+    """Pairs (a, b) of nodes with a similarity of 0.8 or more, enough of them that every such pair that
+    shares a key is connected. ``told`` is the checkpointed ``_told`` of the frame. Copies are one node; a
+    node meets the others under a key through the least of them, then through drawn ones, then all."""
     nodes = told.where(F.size("keys") > 0).groupBy("node").agg(
         F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     keyed = nodes.select("node", "n", "fp", F.explode(F.array_distinct("keys")).alias("k"))
@@ -162,7 +213,8 @@ def links(df: DataFrame, told: DataFrame, text: str = "text") -> DataFrame:
         found, before = more.count(), links.count()
         links = links.unionByName(more)
         if TAIL * found <= before:
-            return links
+            break
+    return links.unionByName(_verified(_left_over(met, links, told), texts))
 
 
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
