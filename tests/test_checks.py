@@ -124,3 +124,21 @@ def test_gates(spark):
         assert length == steps[p, f, f]
         assert cycle == min(g for q, h, g in steps if (q, h) == (p, f) and (p, g, f) in steps)
     assert G.gate_closure(edges.where("false")).count() == 0
+
+
+def test_gates_of_a_long_chain(spark, monkeypatch):
+    """Paths are walked, not joined with each other: the plan shuffles edges only. Nulls are kept as they were."""
+    monkeypatch.setattr(G, "PART", 40)  # a project in several parts
+    rows = [("p", f"f{i}", f"f{i - 1}") for i in range(1, 120)] + [("p", "f0", "f119"), ("q", None, "b"), ("q", "b", "c"),
+            ("q", "c", None), (None, "x", "y"), (None, "y", "z")]
+    edges = spark.createDataFrame(rows, "project_id string, field string, gate string").repartition(3)
+    closure = G.gate_closure(edges)
+    got = closure.collect()
+    assert not closure.isEmpty() and len(got) == len(set(got)) == 120 * 120 + 8
+    assert {tuple(r) for r in got if r["project_id"] == "p"} == {
+        ("p", f"f{i}", f"f{(i - d) % 120}", d) for i in range(120) for d in range(1, 121)}
+    assert {tuple(r) for r in got if r["project_id"] != "p"} == {
+        ("q", None, "b", 1), ("q", None, "c", 2), ("q", None, None, 3), ("q", "b", "c", 1), ("q", "b", None, 2),
+        ("q", "c", None, 1), (None, "x", "y", 1), (None, "y", "z", 1)}
+    plan = closure._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and plan.count("Join") == 1

@@ -4,12 +4,26 @@ Dictionaries may be many, one for each project; nothing of them reaches the driv
 """
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from .similarity import spread
 
-from .lineage import checkpointed
+# Workers get these small functions by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A field in skip logic, with or without a checkbox code or an event before it.
 REFERENCE = r"\[([A-Za-z][A-Za-z0-9_]*)(?:\([^)]*\))?\]"
+#: Edges of a project for each part that its fields are dealt into.
+PART = 1 << 12
+#: Most pairs of field and gate that a task marks at a time, and rows of a batch that it hands on.
+MARKED, ROWS = 1 << 22, 1 << 15
 
 
 def gate_edges(fields: DataFrame, project: str = "project_id", field: str = "field_name",
@@ -22,29 +36,88 @@ def gate_edges(fields: DataFrame, project: str = "project_id", field: str = "fie
     return named.distinct().join(known, ["project_id", "gate"], "left_semi").select("project_id", "field", "gate")
 
 
+def _steps(starts: np.ndarray, first: np.ndarray, gates: np.ndarray, nodes: int, follow: bool):
+    """Every node met from each start, nearest first: (place of the start, node, steps) a step.
+
+    The gates of node ``i`` are ``gates[first[i]:first[i + 1]]``.
+    """
+    met = np.zeros(len(starts) * nodes, np.bool_)
+    at, node, depth = np.arange(len(starts)), starts, 0
+    while len(at):
+        count = first[node + 1] - first[node]
+        ends = np.cumsum(count)
+        inside = np.arange(ends[-1]) - np.repeat(ends - count, count)
+        reached = np.repeat(at, count) * nodes + gates[np.repeat(first[node], count) + inside]
+        reached = np.unique(reached[~met[reached]])
+        met[reached] = True
+        at, node, depth = reached // nodes, reached % nodes, depth + 1
+        if len(at):
+            yield at, node, depth
+        if not follow:
+            return
+
+
+def _closed(batches: list[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """What a part's own fields of a project rest on; the batches hold all edges of the project."""
+    edges = pa.Table.from_batches(batches)
+    project, own = edges.column("project_id"), edges.column("_own").to_numpy()
+    both = pa.chunked_array(edges.column("field").chunks + edges.column("gate").chunks).combine_chunks() \
+        .dictionary_encode()
+    names = both.dictionary
+    # a null is no field that others could name, but may itself have gates: it is the last node
+    codes = both.indices.fill_null(len(names)).to_numpy(zero_copy_only=False).astype(np.int64)
+    field, gate = codes[:len(edges)], codes[len(edges):]
+    order = np.argsort(field, kind="stable")
+    nodes = len(names) + 2
+    gate = np.where(gate == len(names), nodes - 1, gate)  # a gate that is null leads nowhere
+    first = np.searchsorted(field[order], np.arange(nodes + 1))
+    names = pa.concat_arrays([names, pa.nulls(2, names.type)])
+    starts = np.unique(field[own])
+    size = max(1, MARKED // nodes)
+    held, waiting = [], 0
+
+    def rows():
+        at, node, depth = (np.concatenate(x) for x in zip(*held))
+        for i in range(0, len(at), ROWS):
+            cut = slice(i, i + ROWS)
+            yield pa.RecordBatch.from_arrays([
+                pa.repeat(project[0], len(at[cut])), names.take(pa.array(at[cut])),
+                names.take(pa.array(node[cut])), pa.array(depth[cut], pa.int32())], schema=schema)
+
+    for i in range(0, len(starts), size):
+        block = starts[i:i + size]
+        for at, node, depth in _steps(block, first, gate[order], nodes, project[0].is_valid):
+            held.append((block[at], node, np.full(len(at), depth)))
+            waiting += len(at)
+            if waiting >= ROWS:
+                yield from rows()
+                held, waiting = [], 0
+    if held:
+        yield from rows()
+
+
 def gate_closure(edges: DataFrame) -> DataFrame:
     """(project_id, field, gate, depth): every field that a field rests on, directly or through others, and
     the least number of steps. A field in a circle rests on itself.
 
-    Paths double in length each round, so rounds grow with the logarithm of the longest path and end
-    with circles too. Each round keeps one checkpoint; the joins are on (project, field).
+    The fields of a project are dealt into parts, more for a larger project; each part gets the project's
+    edges and walks them from all its fields at once, step by step. So edges are shuffled and no path is:
+    the rows, which may be as many as the square of a project's fields, go straight to whoever reads them.
+    A project without an id has no paths, only its edges.
     """
-    keys = ["project_id", "field", "gate"]
-
-    def least(paths: DataFrame) -> DataFrame:
-        return checkpointed(paths.groupBy(*keys).agg(F.min("depth").alias("depth")))
-
-    known = least(edges.select(*keys, F.lit(1).alias("depth")))
-    mark, last = known.agg(F.count("*"), F.sum("depth")).first(), None
-    while mark != last:
-        last = mark
-        left = known.select("project_id", "field", F.col("gate").alias("via"), F.col("depth").alias("first"))
-        right = known.withColumnRenamed("field", "via")
-        longer = left.join(right, ["project_id", "via"]).select(
-            *keys, (F.col("first") + F.col("depth")).alias("depth"))
-        known = least(known.unionByName(longer))
-        mark = known.agg(F.count("*"), F.sum("depth")).first()
-    return known
+    edges = edges.select("project_id", "field", "gate")
+    schema = StructType([*(StructField(f.name, f.dataType) for f in edges.schema), StructField("depth", IntegerType())])
+    parts = edges.groupBy(F.col("project_id").alias("_p")).agg(
+        F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_parts"))
+    dealt = edges.join(parts, F.col("project_id").eqNullSafe(F.col("_p"))).drop("_p").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn(
+        "_own", F.pmod(F.xxhash64("field"), F.col("_parts")) == F.col("_part")).drop("_parts")
+
+    def closed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        yield from _closed(held, pa.schema([*(held[0].schema.field(n) for n in ("project_id", "field", "gate")),
+                                            pa.field("depth", pa.int32())]))
+    return spread(dealt, "project_id", "_part").groupBy("project_id", "_part").applyInArrow(closed, schema)
 
 
 def logic_cycles(closure: DataFrame) -> DataFrame:
