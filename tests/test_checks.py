@@ -140,5 +140,8 @@ def test_gates_of_a_long_chain(spark, monkeypatch):
     assert {tuple(r) for r in got if r["project_id"] != "p"} == {
         ("q", None, "b", 1), ("q", None, "c", 2), ("q", None, None, 3), ("q", "b", "c", 1), ("q", "b", None, 2),
         ("q", "c", None, 1), (None, "x", "y", 1), (None, "y", "z", 1)}
-    plan = closure._jdf.queryExecution().optimizedPlan().toString()
-    assert "FlatMapGroupsInArrow" in plan and plan.count("Join") == 1
+    cycles = G.logic_cycles(closure)
+    for df in (closure, cycles):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroupsInArrow" in plan and plan.count("Join") == 1
+    assert {tuple(r) for r in cycles.collect()} == {("p", f"f{i}", "f0", 120) for i in range(120)}

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .similarity import spread
@@ -122,9 +122,17 @@ def gate_closure(edges: DataFrame) -> DataFrame:
 
 def logic_cycles(closure: DataFrame) -> DataFrame:
     """(project_id, field, cycle, length): fields that rest on themselves. ``cycle`` is the least field of
-    those that rest on each other, ``length`` the number of steps back to the field."""
-    back = closure.select("project_id", F.col("field").alias("gate"), F.col("gate").alias("field"))
-    both = closure.join(back, ["project_id", "field", "gate"])  # field and gate rest on each other
-    return both.groupBy("project_id", "field").agg(
-        F.min("gate").alias("cycle"),
-        F.min(F.when(F.col("field") == F.col("gate"), F.col("depth"))).alias("length"))
+    those that rest on each other, ``length`` the number of steps back to the field.
+
+    Two fields in circles rest on each other exactly if they rest on the same fields, so each field's gates
+    are folded to their number and two sums of hashes, and fields are grouped by those; the closure is
+    read once and folded before it is shuffled.
+    """
+    total = lambda h: F.sum(h.cast("decimal(38,0)"))
+    folded = closure.where("project_id is not null and field is not null").groupBy("project_id", "field").agg(
+        F.min(F.when(F.col("field") == F.col("gate"), F.col("depth"))).alias("length"),
+        F.count(F.lit(1)).alias("_n"), total(F.xxhash64("gate")).alias("_h"),
+        total(F.xxhash64(F.lit("gates"), "gate")).alias("_i")).where("length is not null")
+    alike = ["project_id", "_n", "_h", "_i"]
+    return folded.withColumn("cycle", F.min("field").over(Window.partitionBy(*alike))).select(
+        "project_id", "field", "cycle", "length")
