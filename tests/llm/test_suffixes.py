@@ -3,6 +3,7 @@ import collections
 import hashlib
 import os
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -128,3 +129,26 @@ def test_query(spark):
     want = sorted((r["doc_id"], *w[:3], hashlib.sha256(w[3]).hexdigest())
                   for r, w in zip(rows, _brute([r["text"] or "" for r in rows])))
     assert sorted(tuple(r) for r in catalogue.op6_suffixes(spark, sf).collect()) == want
+
+
+@pytest.mark.parametrize("starts", [1, 7, 333])
+def test_runs_do_not_depend_on_the_parts_they_are_found_in(monkeypatch, starts):
+    texts = [t.encode() for t in _texts(5)[-25:]]
+    whole = suffixes.runs(texts)
+    assert len(whole["doc"]) > 100
+    monkeypatch.setattr(suffixes, "STARTS", starts)
+    parts = suffixes.runs(texts)
+    assert all(np.array_equal(whole[k], parts[k]) for k in whole)
+
+
+@pytest.mark.parametrize("texts", [1, 1000])
+def test_memory_of_runs_does_not_grow_with_the_text(texts):
+    size = 4_000_000
+    data = np.random.default_rng(1).integers(32, 120, size, dtype=np.uint8).tobytes()
+    step = size // texts
+    cut = [data[i:i + step] for i in range(0, size, step)]
+    tracemalloc.start()
+    suffixes.runs(cut)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * size

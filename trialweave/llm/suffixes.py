@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import checkpointed, fresh, map_arrow
 
 LENGTH, GRAM = 200, 48
-#: Window starts whose anchors are found at once.
-STARTS = 1 << 19
+#: Window starts whose anchors are found at once: about 13 MB of numbers, whatever the texts' length.
+STARTS = 1 << 17
 #: Depth to which multikey quicksort orders suffixes before blind tries take over.
 SHALLOW = GRAM + 16
 #: Distinct contexts of one anchor up to which common prefixes are put side by side in a matrix, and
@@ -47,10 +47,10 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     return value * _ODD[3]
 
 
-def anchors(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """For each start of a ``length``-byte string: position and hash of its anchor."""
+def anchors(raw: np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Position and hash of the anchor of every ``length``-byte string, ``STARTS`` of them at a time,
+    each part with its first start."""
     count, width = len(raw) - length + 1, length - GRAM + 1
-    position, hashed = np.empty(count, np.int64), np.empty(count, np.uint64)
     low = np.uint64((1 << 20) - 1)
     for at in range(0, count, STARTS):
         n = min(STARTS, count - at)
@@ -64,43 +64,47 @@ def anchors(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarr
         behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
         least = np.minimum(behind[:n], ahead[width - 1:width - 1 + n])
         where = (least & low).astype(np.int64)
-        position[at:at + n] = where + at
-        hashed[at:at + n] = grams[where]
-    return position, hashed
+        yield at, where + at, grams[where]
 
 
 def runs(texts: list[bytes], length: int = LENGTH) -> dict[str, np.ndarray]:
     """Runs of neighbouring starts with one anchor: document number, ``start`` in its document,
     ``before`` (bytes from start to anchor), ``more`` (further starts), anchor hash ``h`` and
-    hash ``sh`` of all bytes that the run's strings cover."""
+    hash ``sh`` of all bytes that the run's strings cover.
+
+    What is held beside the texts is a few numbers for each run and for ``STARTS`` starts, however
+    long a text is."""
     data = b"".join(texts)
     ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-    empty = np.zeros(0, np.int64)
-    if len(data) < length:
-        return {k: empty for k in ("doc", "start", "before", "more", "h", "sh")}
-    position, hashed = anchors(np.frombuffer(data, np.uint8), length)
-    begins = np.concatenate(([0], ends[:-1]))
-    valid = np.zeros(len(position) + 1, np.int32)
-    whole = ends - begins >= length
-    np.add.at(valid, begins[whole], 1)
-    np.add.at(valid, ends[whole] - length + 1, -1)
-    starts = np.flatnonzero(np.cumsum(valid[:-1]))
-    if not len(starts):
-        return {k: empty for k in ("doc", "start", "before", "more", "h", "sh")}
-    new = np.ones(len(starts), bool)
-    new[1:] = (np.diff(starts) != 1) | (position[starts[1:]] != position[starts[:-1]])
-    # a text of exactly ``length`` bytes may touch the next: a run never spans two documents
-    doc = np.searchsorted(ends, starts, side="right")
-    new[1:] |= doc[1:] != doc[:-1]
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(starts)) - 1
-    lo, hi = starts[first], starts[last]
+    parts: list[tuple[np.ndarray, ...]] = []
+    open_: tuple[int, int, int] | None = None  # document, anchor and last start of the newest run
+    for at, position, hashed in anchors(np.frombuffer(data, np.uint8), length):
+        starts = np.arange(at, at + len(position))
+        doc = np.searchsorted(ends, starts, side="right")
+        whole = np.flatnonzero(starts + length <= ends[doc])
+        if not len(whole):
+            continue
+        starts, doc, position, hashed = starts[whole], doc[whole], position[whole], hashed[whole]
+        new = np.ones(len(starts), bool)
+        # a text of exactly ``length`` bytes may touch the next: a run never spans two documents
+        new[1:] = (np.diff(starts) != 1) | (np.diff(position) != 0) | (np.diff(doc) != 0)
+        new[0] = open_ != (doc[0], position[0], starts[0] - 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(starts)) - 1
+        if not new[0]:  # the newest run goes on
+            parts[-1][1][-1] = starts[first[0] - 1 if len(first) else -1]
+        if len(first):
+            parts.append((starts[first], starts[last], doc[first], position[first], hashed[first]))
+        open_ = (doc[-1], position[-1], starts[-1])
+    if not parts:
+        return {k: np.zeros(0, np.int64) for k in ("doc", "start", "before", "more", "h", "sh")}
+    lo, hi, doc, position, hashed = (np.concatenate(c) for c in zip(*parts))
     digest = xxhash.xxh3_64_intdigest
     sh = np.fromiter((digest(data[a:b]) for a, b in zip(lo.tolist(), (hi + length).tolist())),
                      np.uint64, len(lo))
-    doc = doc[first]
-    return {"doc": doc, "start": lo - begins[doc], "before": position[lo] - lo, "more": hi - lo,
-            "h": hashed[lo].view(np.int64), "sh": sh.view(np.int64)}
+    begins = np.concatenate(([0], ends[:-1]))
+    return {"doc": doc, "start": lo - begins[doc], "before": position - lo, "more": hi - lo,
+            "h": hashed.view(np.int64), "sh": sh.view(np.int64)}
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
