@@ -119,6 +119,19 @@ def test_fuzzy_candidates_equal_brute_force(spark, method, top):
     assert got == sorted(want)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab0", min_size=1, max_size=13), st.text("ab0", min_size=1, max_size=13))
+def test_matching_words_keep_as_many_letters_as_their_lengths_ask(a, b):
+    for method in S.METHODS:
+        if near(a, b, method):
+            table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    table[i + 1][j + 1] = table[i][j] + 1 if x == y \
+                        else max(table[i][j + 1], table[i + 1][j])
+            assert table[-1][-1] >= S.letters_kept(len(a), len(b), 85, method)
+
+
 def _greedy(left, right, manual=()):
     import re
     norm = lambda t: " ".join(re.sub("[^a-z0-9]+", " ", t.lower()).split())

@@ -19,6 +19,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TOKEN_RATIO = 0.85
 # Words up to this length are matched through deletions, longer pairs through pieces.
 SHORT = 10
+# Patterns of two words that a task remembers.
+PATTERNS = 1 << 16
 METHODS = ("sequence", "levenshtein")
 
 
@@ -78,6 +80,34 @@ def deletions_allowed(length: int, percent: int, method: str) -> int:
     return max(0, length - keep)
 
 
+def letters_kept(n: int, m: int, percent: int, method: str) -> int:
+    """Least length of a common subsequence of matching words with ``n`` and ``m`` letters."""
+    if method == "levenshtein":
+        return max(n, m) - max(n, m) * (100 - percent) // 100
+    return -(-percent * (n + m) // 200)
+
+
+def word_ratio(a: Column, b: Column) -> Column:
+    """``sequence_ratio`` of short words. It depends only on which letters of the two are equal, so
+    a pattern of equal letters that a task has met before is not aligned again."""
+    known: dict = {}
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(x, y):
+            seen: dict = {}
+            key = (len(p), *[seen.setdefault(c, len(seen)) for c in p + q])
+            found = known.get(key)
+            if found is None:
+                if len(known) >= PATTERNS:
+                    known.clear()
+                found = known[key] = SequenceMatcher(None, p, q).ratio()
+            out.append(found)
+        return pd.Series(out, dtype="float64")
+    return ratio.asNondeterministic()(a, b)
+
+
 def matching_tokens(left: DataFrame, right: DataFrame, method: str,
                     threshold: float = TOKEN_RATIO) -> DataFrame:
     """Pairs of words (``left_token``, ``right_token``) at or above the ratio.
@@ -86,7 +116,8 @@ def matching_tokens(left: DataFrame, right: DataFrame, method: str,
     that between them miss no pair:
 
     * when one word has at most ``SHORT`` letters, both share a form reached by deleting letters
-      from each, since they have a long common subsequence;
+      from each, since they have a long common subsequence. How long follows from both lengths, so
+      a form is looked up for each length that a partner may have;
     * when both are longer, few differences leave a common run of three letters, so they share a
       three-letter piece. For Levenshtein an edit spoils at most three pieces, so only the
       ``3k + 1`` rarest pieces of a word are looked up.
@@ -99,21 +130,25 @@ def matching_tokens(left: DataFrame, right: DataFrame, method: str,
     percent = _percent(threshold)
     longest_partner = SHORT * (200 - percent) // percent
 
-    @F.pandas_udf("array<string>")
-    def forms(words: pd.Series) -> pd.Series:
-        out = []
-        for word in words:
-            n = len(word)
-            seen = {word}
-            for k in range(1, min(n, deletions_allowed(n, percent, method)) + 1):
-                seen.update("".join(word[i] for i in kept)
-                            for kept in combinations(range(n), n - k))
-            out.append(sorted(seen))
-        return pd.Series(out, dtype="object")
-
-    def by_form(words, name):
+    def forms(side):
+        @F.pandas_udf("array<string>")
+        def found(words: pd.Series) -> pd.Series:
+            out = []
+            for word in words:
+                n, seen = len(word), set()
+                for m in range(1, (longest_partner if n <= SHORT else SHORT) + 1):
+                    keep = letters_kept(n, m, percent, method)
+                    if keep <= min(n, m):
+                        lengths = f"{n} {m} " if side == "left" else f"{m} {n} "
+                        seen.update(lengths + "".join(kept) for kept in combinations(word, keep))
+                out.append(sorted(seen))
+            return pd.Series(out, dtype="object")
+        return found
+
+    def by_form(words, side):
         small = words.where(F.length("token") <= longest_partner)
-        return small.select(F.col("token").alias(name), F.explode(forms("token")).alias("_form"))
+        return small.select(F.col("token").alias(f"{side}_token"),
+                            F.explode(forms(side)("token")).alias("_form"))
 
     def by_piece(words, name):
         big = words.where(F.length("token") > SHORT)
@@ -121,7 +156,7 @@ def matching_tokens(left: DataFrame, right: DataFrame, method: str,
             F.sequence(F.lit(1), F.length("token") - 2), lambda i: F.substring("token", i, 3)))
         return big.select(F.col("token").alias(name), F.explode(pieces).alias("_piece"))
 
-    short = by_form(left, "left_token").join(by_form(right, "right_token"), "_form")
+    short = by_form(left, "left").join(by_form(right, "right"), "_form")
     probe, index = by_piece(left, "left_token"), by_piece(right, "right_token")
     if method == "levenshtein":
         uses = index.groupBy("_piece").agg(F.count(F.lit(1)).alias("_uses"))
@@ -142,7 +177,7 @@ def matching_tokens(left: DataFrame, right: DataFrame, method: str,
             F.levenshtein("left_token", "right_token") <= limit)
     sized = pairs.where(shortest * (200 - percent) >= longest * percent).distinct()
     return spread(sized, "left_token", "right_token").where(
-        ratio_column(F.col("left_token"), F.col("right_token"), method, threshold) >= threshold)
+        word_ratio(F.col("left_token"), F.col("right_token")) >= threshold)
 
 
 def overlapping_sets(left: DataFrame, right: DataFrame, percent: int,
