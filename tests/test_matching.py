@@ -119,6 +119,42 @@ def test_fuzzy_candidates_equal_brute_force(spark, method, top):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("method", S.METHODS)
+@pytest.mark.parametrize("common", [0, 3, 40, 400])
+def test_fuzzy_candidates_by_class_equal_those_by_name(spark, method, common):
+    """Common words and numbers counted by class, down to every word; ids that repeat."""
+    schema = "id long, name string, hospital string"
+    left = spark.createDataFrame(_people(40, 0) + [(1, "zita", None), (2, "ada", "999x")], schema)
+    right = spark.createDataFrame(_people(60, 1000) + _people(9, 1003) + [(7, "Zoe", "h77")], schema)
+    table = lambda **k: sorted(tuple(round(x, 9) for x in r) for r in M.fuzzy_candidates(
+        left, right, "id", "name", "hospital", method=method, **k).collect())
+    plain = table(common=1 << 60)
+    assert len(plain) > 100
+    ranks = lambda rows: [(r[0], *r[3:]) for r in rows]
+    got = table(common=common)
+    assert ranks(got) == ranks(plain) and [r[:2] for r in got] == [r[:2] for r in plain]
+
+
+def test_common_words_and_numbers_do_not_pair_names(spark, monkeypatch):
+    """One word in every name and one number on every record: no row for each pair of names."""
+    n, sizes, plain = 400, [], M.checkpointed
+
+    def counted(df):
+        out = plain(df)
+        sizes.append(out.count())
+        return out
+    monkeypatch.setattr(M, "checkpointed", counted)
+    letters = "abcdefghijklmnopqrst"
+    word = lambda i: letters[i // 20] * 4 + letters[i % 20] * 4
+    people = spark.createDataFrame([(i, f"clinic {word(i)}", "12") for i in range(n)],
+                                   "id long, name string, hospital string")
+    got = M.fuzzy_candidates(people, people, "id", "name", "hospital", method="levenshtein").collect()
+    assert len(got) == 3 * n and {(r.id, r.candidate_id) for r in got if r["rank"] == 1} == {
+        (i, i) for i in range(n)}
+    assert {r.ties for r in got if r["rank"] > 1} == {n - 1}
+    assert max(sizes) < 10 * n
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("ab0", min_size=1, max_size=13), st.text("ab0", min_size=1, max_size=13))
 def test_matching_words_keep_as_many_letters_as_their_lengths_ask(a, b):

@@ -12,7 +12,7 @@ from ..functions.text import hospital_key, name_tokens, title_key
 from .lineage import checkpointed
 from .ordering import numbered, smallest_per_key
 from .similarity import (
-    TOKEN_RATIO, _percent, matching_tokens, overlapping_sets, ratio_column, spread,
+    TOKEN_RATIO, matching_tokens, ratio_column, spread,
 )
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,138 +34,206 @@ def _vocabulary(sets):
     return sets.select(F.explode("tokens").alias("token")).distinct()
 
 
-def _scored(pairs: DataFrame, left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFrame:
-    """Name pairs (``a``, ``b``) with ``name_score``: the share of the longer name's words that have
-    a near match in the other name, from the word matches already found. No match scores 0."""
-    both = pairs.join(left.select(F.col("key").alias("a"), F.col("tokens").alias("_ta")), "a") \
-        .join(right.select(F.col("key").alias("b"), F.col("tokens").alias("_tb")), "b")
-    near = both.select("a", "b", "_tb", F.explode("_ta").alias("left_token")) \
-        .join(matches, "left_token").where(F.array_contains("_tb", F.col("right_token")))
-    hits = near.groupBy("a", "b").agg(F.count_distinct("left_token").alias("_hits"))
-    longest = F.greatest(F.size("_ta"), F.size("_tb"))
-    return both.join(hits, ["a", "b"], "left").select(
-        "a", "b", (F.coalesce("_hits", F.lit(0)) / longest).alias("name_score"))
+#: Pairs of names beyond which a word's pairs are counted by class; see ``fuzzy_candidates``.
+COMMON = 100_000
 
 
-def _sharing(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFrame:
-    """Name pairs that have at least one word in common, or nearly."""
-    words = left.select(F.col("key").alias("a"), F.explode("tokens").alias("left_token"))
-    used = right.select(F.col("key").alias("b"), F.explode("tokens").alias("right_token"))
-    return words.join(matches, "left_token").join(used, "right_token").select("a", "b").distinct()
+def _names(people: DataFrame, key: str) -> DataFrame:
+    """Each distinct name with its words and a number."""
+    return checkpointed(people.groupBy("name").agg(F.any_value("tokens").alias("tokens"))
+                        .withColumn(key, F.monotonically_increasing_id()))
 
 
-#: Names that share this much are looked for first; see ``fuzzy_candidates``.
-STRONG = 0.6
+def _classes(names: DataFrame, key: str, held: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Names with their class, and the classes: how many words, and which common ones (``held``)."""
+    of_key = held.groupBy(key).agg(F.array_sort(F.collect_set("left_token")).alias("common"))
+    empty = F.array().cast("array<string>")
+    told = checkpointed(names.select("name", key, F.size("tokens").alias("size")).join(
+        of_key, key, "left").withColumn("common", F.coalesce("common", empty)))
+    classes = checkpointed(told.select("common", "size").distinct()
+                           .withColumn(name, F.monotonically_increasing_id()))
+    return checkpointed(told.join(classes, ["common", "size"])), classes
 
 
 def fuzzy_candidates(left: DataFrame, right: DataFrame, id_col: str, name_col: str,
                      hospital_col: str, top: int = 3, min_name: float = 0.0,
-                     method: str = "sequence", token_ratio: float = TOKEN_RATIO) -> DataFrame:
+                     method: str = "sequence", token_ratio: float = TOKEN_RATIO,
+                     common: int = COMMON) -> DataFrame:
     """The ``top`` right-hand candidates of every left record, never auto-accepted.
 
     A candidate has a near word in common with the record's name, or the same hospital number. Its
-    score is the mean of the name score and the hospital-number score (1 equal, 0 different, 0.5
-    when either side has no usable number). Equal scores rank by id, and ``ties`` says how many
-    candidates share the score. ``min_name`` only hides listed candidates, after ranking.
-
-    Names that share ``STRONG`` of their words and names with an equal number are compared first.
-    What those leave out scores less than (``STRONG`` + 0.5) / 2, so a record whose list is full of
-    better candidates is settled; only the others are compared with every name that shares a word.
-
-    Names are compared once per distinct spelling. For one left name and hospital number, only a
-    matched right name's ``top`` smallest ids with the same number, with no number, and with any
-    number can make the list, so those short lists stand in for all records of that name: the
-    result is exact, however many records share a name.
+    score is the mean of the name score (the share of the longer name's words that have a near match
+    in the other name) and the hospital-number score (1 equal, 0 different, 0.5 when either side has
+    no usable number). Equal scores rank by id, and ``ties`` says how many candidates share the
+    score. ``min_name`` only hides listed candidates, after ranking.
+
+    Names are compared once per distinct spelling, and one by one only if they share a rare word. A
+    word is common if the left names that hold it times the right names near it are more than
+    ``common``. What names share in common words follows from their classes (number of words, and
+    common words held or met), so whole classes are scored, and all records of a hospital number
+    at once where no word is shared. Such a score is the least that a record of the class can have.
+    So the best ``top`` by class and by name together, each record at its highest score, are the best
+    of all, and names that were compared are taken out of their class's count: the result is exact.
+
+    For one left name and hospital number, only a name's or class's smallest ids with the same
+    number, with no number, and with any number can make the list, so those short lists stand in
+    for all its records.
     """
     people, others = _people(left, id_col, name_col, hospital_col), \
         _people(right, id_col, name_col, hospital_col)
-    distinct_names = lambda p: p.groupBy(F.col("name").alias("key")).agg(
-        F.any_value("tokens").alias("tokens"))
-    left_names, right_names = distinct_names(people), distinct_names(others)
+    left_names, right_names = _names(people, "a"), _names(others, "b")
     matches = checkpointed(matching_tokens(
         _vocabulary(left_names), _vocabulary(right_names), method, token_ratio))
-    asked = people.select(F.col("name").alias("a"), F.col("hospital").alias("h")).distinct()
-    numbers = others.select(F.col("name").alias("b"), "hospital").distinct()
-    lists = _short_lists(others, top)
-
-    def equal_number(wanted):
-        return wanted.join(numbers, F.col("h") == F.col("hospital")).select("a", "b").distinct()
-
-    def listed(wanted, pairs):
-        return _ranked(wanted, _scored(pairs, left_names, right_names, matches), lists, top)
-
-    strong = overlapping_sets(left_names, right_names, _percent(STRONG), matches)
-    first = checkpointed(listed(asked, strong.unionByName(equal_number(asked)).distinct()))
-    bound = (STRONG + 0.5) / 2
-    settled = first.groupBy("a", "_h").agg(
-        F.count_if(F.col("score") >= bound).alias("_good")).where(F.col("_good") >= top) \
-        .select("a", "_h")
-    open_keys = checkpointed(asked.withColumn("_h", F.coalesce("h", F.lit(""))).join(
-        settled, ["a", "_h"], "left_anti").drop("_h"))
-    open_names = left_names.join(open_keys.select(F.col("a").alias("key")).distinct(), "key")
-    rest = listed(open_keys, _sharing(open_names, right_names, matches).unionByName(
-        equal_number(open_keys)).distinct())
-    answer = first.join(settled, ["a", "_h"], "left_semi").unionByName(rest)
-    return people.select("id", F.col("name").alias("a"),
-                         F.coalesce("hospital", F.lit("")).alias("_h")) \
-        .join(answer, ["a", "_h"]).where(F.col("name_score") >= min_name).select(
+    words = left_names.select("a", F.explode("tokens").alias("left_token"))
+    used = right_names.select("b", F.explode("tokens").alias("right_token"))
+    uses = used.groupBy("right_token").agg(F.count(F.lit(1)).alias("_uses"))
+    met = matches.join(uses, "right_token").groupBy("left_token").agg(F.sum("_uses").alias("_met"))
+    frequent = checkpointed(
+        words.groupBy("left_token").agg(F.count(F.lit(1)).alias("_held")).join(met, "left_token")
+        .where(F.col("_held") * F.col("_met") > common).select("left_token"))
+
+    left_told, left_classes = _classes(left_names, "a", words.join(frequent, "left_token"), "lc")
+    right_told, right_classes = _classes(
+        right_names, "b", matches.join(frequent, "left_token").join(used, "right_token"), "rc")
+    asked = checkpointed(people.select("name", F.col("hospital").alias("h")).distinct().join(
+        left_told, "name").drop("name"))
+    records = checkpointed(
+        others.select("name", F.col("hospital").alias("h"), "id").join(
+            right_told.select("name", "b", "rc"), "name").drop("name")
+        .withColumn("_r", F.monotonically_increasing_id()))
+
+    # classes that share a common word, and all records of a number
+    shared = left_classes.select("lc", F.col("size").alias("_na"), F.explode("common").alias("_x")) \
+        .join(right_classes.select("rc", F.col("size").alias("_nb"), F.explode("common").alias("_x")),
+              "_x").groupBy("lc", "rc", "_na", "_nb").agg(F.count(F.lit(1)).alias("_hits"))
+    class_keys = asked.select(F.col("lc").alias("k"), "h").distinct()
+    by_class = _entries(
+        class_keys.join(shared.select(
+            F.col("lc").alias("k"), F.col("rc").alias("g"),
+            (F.col("_hits") / F.greatest("_na", "_nb")).alias("name_score"),
+            F.lit(0.0).alias("least")), "k"),
+        _short_lists(records.withColumnRenamed("rc", "g"), top))
+    numbers = records.where(F.col("h").isNotNull())
+    listed = smallest_per_key(numbers, ["h"], [F.col("id"), F.col("_r")], top).groupBy("h").agg(
+        F.collect_list(F.struct("id", "_r")).alias("ids"))
+    by_number = class_keys.join(
+        numbers.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(listed, "h"), "h").select(
+        "k", F.col("h").alias("_h"), F.lit(0.0).alias("name_score"), F.lit(0.5).alias("score"),
+        F.lit(None).cast("double").alias("least"), "n", "ids", F.lit(0.5).alias("_s"))
+    by_class = checkpointed(by_class.unionByName(by_number.select(by_class.columns)))
+    best_of_class = checkpointed(_best(_listed(by_class), top))
+    enough = best_of_class.where(F.col("_rank") == top).select(
+        F.col("k").alias("lc"), "_h", F.col("_s").alias("_enough"))
+
+    # names that share a rare word; what scores less than the class's list cannot change the result
+    near = words.join(frequent, "left_token", "left_anti").join(matches, "left_token").join(
+        used, "right_token").groupBy("a", "b").agg(F.count_distinct("left_token").alias("_hits"))
+    keys = asked.withColumn("_h", F.coalesce("h", F.lit(""))).join(enough, ["lc", "_h"], "left")
+    longest = F.greatest("_na", "_nb")
+    in_common = F.size(F.array_intersect("_ca", "_cb"))
+    pairs = near.join(keys.select("a", F.col("a").alias("k"), "h", F.col("size").alias("_na"),
+                                  F.col("common").alias("_ca"), "_enough"), "a") \
+        .join(right_told.select("b", F.col("b").alias("g"), F.col("size").alias("_nb"),
+                                F.col("common").alias("_cb")), "b") \
+        .select("k", "h", "g", "_enough", ((F.col("_hits") + in_common) / longest).alias("name_score"),
+                (in_common / longest).alias("least"))
+    by_name = checkpointed(_entries(
+        pairs, _short_lists(records.withColumnRenamed("b", "g"), top), "_enough").where(
+            F.col("_enough").isNull() | (F.col("_s") >= F.col("_enough"))).drop("_enough"))
+
+    of_key = keys.select(F.col("a").alias("k"), "lc", "_h")
+    inherited = best_of_class.drop("_rank").withColumnRenamed("k", "lc").join(of_key, ["lc", "_h"]) \
+        .drop("lc")
+    ranked = _best(_listed(by_name).unionByName(inherited), top)
+    answer = ranked.join(of_key, ["k", "_h"]) \
+        .join(_levels(by_class).select(F.col("k").alias("lc"), "_h", "_s", F.col("n").alias("_nc")),
+              ["lc", "_h", "_s"], "left") \
+        .join(_levels(by_name), ["k", "_h", "_s"], "left") \
+        .select(F.col("k").alias("a"), "_h", F.col("id").alias("candidate_id"), "name_score", "score",
+                (F.coalesce("_nc", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("ties"),
+                F.col("_rank").alias("rank"))
+    return people.select("id", "name", F.coalesce("hospital", F.lit("")).alias("_h")) \
+        .join(left_told.select("name", "a"), "name").join(answer, ["a", "_h"]) \
+        .where(F.col("name_score") >= min_name).select(
         "id", "candidate_id", "name_score", "score", "ties", "rank")
 
 
-def _short_lists(others: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
-    """Record counts and the smallest ids of each right-hand name: by number, and in all."""
-    keyed = others.select(F.col("name").alias("b"), F.col("hospital").alias("h"), "id")
-    by_number = keyed.groupBy("b", "h").agg(F.count(F.lit(1)).alias("n"))
-    first = smallest_per_key(keyed, ["b", "h"], [F.col("id")], top).drop("_rank")
-    numbered_ids = first.where(F.col("h").isNotNull())
-    same = numbered_ids.groupBy("b", "h").agg(F.collect_list("id").alias("ids_same")).join(
-        by_number.withColumnRenamed("n", "n_same"), ["b", "h"])
-    with_number = smallest_per_key(numbered_ids, ["b"], [F.col("id")], top).groupBy("b").agg(
-        F.collect_list(F.struct("id", "h")).alias("ids_with"))
-    without = first.where(F.col("h").isNull()).groupBy("b").agg(
-        F.collect_list("id").alias("ids_without"))
-    per_name = by_number.groupBy("b").agg(
+def _short_lists(records: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
+    """Record counts and the smallest ids of each group ``g``: by number ``h``, and in all.
+
+    Records without an id are counted; only a number unlike the one asked with lists them."""
+    by_number = records.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n"))
+    keyed = records.select("g", "h", "id", "_r", F.col("id").isNull().alias("_none"))
+    first = smallest_per_key(keyed, ["g", "h", "_none"], [F.col("id"), F.col("_r")], top)
+    ids = F.collect_list(F.struct("id", "_r"))
+    numbered_ids, named = first.where(F.col("h").isNotNull()), first.where(~F.col("_none"))
+    same = by_number.where(F.col("h").isNotNull()).withColumnRenamed("n", "n_same").join(
+        named.where(F.col("h").isNotNull()).groupBy("g", "h").agg(ids.alias("ids_same")),
+        ["g", "h"], "left")
+    # dealt over the numbers where ids are missing, so that leaving one number out leaves enough
+    with_number = smallest_per_key(
+        numbered_ids.withColumnRenamed("_rank", "_turn"), ["g", "_none"],
+        [F.col("id"), F.col("_turn"), F.col("h"), F.col("_r")], 2 * top).groupBy("g").agg(
+        F.collect_list(F.struct("id", "_r", "h")).alias("ids_with"))
+    without = named.where(F.col("h").isNull()).groupBy("g").agg(ids.alias("ids_without"))
+    per_group = by_number.groupBy("g").agg(
         F.sum(F.when(F.col("h").isNull(), F.col("n")).otherwise(0)).alias("n_without"),
         F.sum(F.when(F.col("h").isNotNull(), F.col("n")).otherwise(0)).alias("n_with")) \
-        .join(with_number, "b", "left").join(without, "b", "left")
-    return same, per_name
+        .join(with_number, "g", "left").join(without, "g", "left")
+    return same, per_group
 
 
-def _ranked(asked: DataFrame, pairs: DataFrame, lists: tuple[DataFrame, DataFrame],
-            top: int) -> DataFrame:
-    """The best ``top`` records for every (name, number) asked for, over scored name pairs."""
-    same, per_name = lists
-    wanted = asked.join(pairs, "a").join(per_name, "b").join(same, ["b", "h"], "left")
+def _entries(wanted: DataFrame, lists: tuple[DataFrame, DataFrame], *carried: str) -> DataFrame:
+    """For every key ``k``, number ``h`` and group ``g`` that share a word: score, number of records
+    and smallest ids by what the numbers say; ``least`` is the score these records have already been
+    counted at, by a wider group, or null."""
+    same, per_group = lists
+    rows = wanted.join(per_group, "g").join(same, ["g", "h"], "left")
     has, none = F.col("h").isNotNull(), F.array().cast(_type_of(same, "ids_same"))
     n_same = F.coalesce("n_same", F.lit(0))
-    id_of = lambda x: x["id"]
-    ids_with = F.coalesce(F.transform("ids_with", id_of), none)
+    plain = lambda x: F.struct(x["id"], x["_r"])
+    ids_with = F.coalesce(F.transform("ids_with", plain), none)
     ids_without = F.coalesce("ids_without", none)
     different = F.coalesce(F.transform(
-        F.filter("ids_with", lambda x: x["h"] != F.col("h")), id_of), none)
+        F.filter("ids_with", lambda x: x["h"] != F.col("h")), plain), none)
 
     def entry(part, n, ids):
+        counted = F.lit(True) if part == 1.0 else F.col("least") > 0
         return F.struct(((F.col("name_score") + part) / 2).alias("score"),
-                        n.cast("long").alias("n"), ids.alias("ids"))
+                        F.when(counted, (F.col("least") + part) / 2).alias("least"),
+                        n.cast("long").alias("n"), ids.cast(none_type).alias("ids"))
 
+    none_type = _type_of(same, "ids_same")
     kinds = F.when(has, F.array(
         entry(1.0, n_same, F.coalesce("ids_same", none)),
         entry(0.0, F.col("n_with") - n_same, different),
         entry(0.5, F.col("n_without"), ids_without))).otherwise(F.array(
             entry(0.5, F.col("n_with") + F.col("n_without"), F.concat(ids_with, ids_without))))
-    # without a word in common only an equal number makes a candidate
-    kinds = F.when(F.col("name_score") > 0, kinds).when(has, F.slice(kinds, 1, 1)).otherwise(
-        F.slice(kinds, 1, 0))
-    rows = wanted.select("a", F.coalesce("h", F.lit("")).alias("_h"), "name_score",
-                         F.explode(kinds).alias("k")).where(F.col("k.n") > 0) \
-        .select("a", "_h", "name_score", "k.*", F.round("k.score", 9).alias("_s"))
-    ties = rows.groupBy("a", "_h", "_s").agg(F.sum("n").alias("ties"))
-    ranked = smallest_per_key(
-        rows.select("a", "_h", "_s", "name_score", "score", F.explode("ids").alias("id")),
-        ["a", "_h"], [F.desc("_s"), F.col("id")], top)
-    return ranked.join(ties, ["a", "_h", "_s"]).select(
-        "a", "_h", F.col("id").alias("candidate_id"), "name_score", "score", "ties",
-        F.col("_rank").alias("rank"))
+    return rows.select("k", F.coalesce("h", F.lit("")).alias("_h"), "name_score", *carried,
+                       F.explode(kinds).alias("_e")).where(F.col("_e.n") > 0) \
+        .select("k", "_h", "name_score", *carried, "_e.*", F.round("_e.score", 9).alias("_s"))
+
+
+def _listed(entries: DataFrame) -> DataFrame:
+    return entries.select("k", "_h", "_s", "name_score", "score", F.explode("ids").alias("_i")) \
+        .select("k", "_h", "_s", "name_score", "score", "_i.*")
+
+
+def _best(rows: DataFrame, top: int) -> DataFrame:
+    """The first ``top`` records of each key, with ``_rank``. A record may come twice, at its own score
+    and at a lower one, but at most ``top`` rows of a key are such repeats."""
+    order = [F.desc("_s"), F.col("id"), F.col("_r")]
+    few = smallest_per_key(rows, ["k", "_h"], order, 2 * top).drop("_rank")
+    once = smallest_per_key(few, ["k", "_h", "_r"], [F.desc("_s")], 1).drop("_rank")
+    return smallest_per_key(once, ["k", "_h"], order, top)
+
+
+def _levels(entries: DataFrame) -> DataFrame:
+    """How many records have each score, less those that a wider group counted there."""
+    counted = entries.select("k", "_h", "_s", "n").unionByName(
+        entries.where(F.col("least").isNotNull()).select(
+            "k", "_h", F.round("least", 9).alias("_s"), (-F.col("n")).alias("n")))
+    return counted.groupBy("k", "_h", "_s").agg(F.sum("n").alias("n"))
 
 
 def _type_of(df: DataFrame, name: str) -> str:
