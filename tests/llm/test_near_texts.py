@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 from conftest import prose
+from shuffle_files import left_by
 from test_shingles import _edited, _kept, _set
 
 from trialweave.llm import near_texts, shingles
@@ -84,3 +85,8 @@ def test_every_pair_that_shares_a_key_is_compared(spark):
            if k & m and shingles.similar(x, y)]
     assert len(met) > 100
     assert [(a, b) for a, b in met if component.get(a, a) != component.get(b, b)] == []
+
+
+def test_rounds_leave_no_shuffle_files(spark, docs):
+    """Rounds make hundreds of small shuffles, whose files must not wait for the driver's garbage."""
+    assert not left_by(spark, lambda: near_texts.keep_first(docs))

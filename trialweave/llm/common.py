@@ -13,14 +13,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.lineage import checkpointed, use_checkpoint_dir
+from ..operators.lineage import checkpointed, releasing, use_checkpoint_dir
 
 #: Texts are handed to Python code in pieces of about so many bytes, so that a batch of long
 #: documents and what is made of it stays small beside a worker's memory.
 PIECE_BYTES = 4 << 20
 
-__all__ = ["checkpointed", "use_checkpoint_dir", "table", "fold", "fresh", "map_arrow", "pieces",
-           "ship"]
+__all__ = ["checkpointed", "releasing", "use_checkpoint_dir", "table", "fold", "fresh", "map_arrow",
+           "pieces", "ship"]
 
 _shipped: set[str] = set()
 

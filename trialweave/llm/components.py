@@ -10,7 +10,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, ship
+from .common import checkpointed, releasing, ship
 
 
 def _fold_batches(batches):
@@ -60,8 +60,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _mark(edges: DataFrame) -> tuple:
     """Count and order-free digest of the edges: equal marks mean that a round changed nothing."""
-    row = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
-                                             F.lit(0))).first()
+    with releasing(edges.sparkSession):
+        row = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
+                                                 F.lit(0))).first()
     return tuple(row)
 
 

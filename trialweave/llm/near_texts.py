@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, map_arrow
+from .common import checkpointed, map_arrow, releasing
 from .components import components
 from .shingles import _node, shingles, similar, words_of
 from .simhash import first_rows, golay_keys, row_hash
@@ -210,7 +210,8 @@ def links(df: DataFrame, told: DataFrame, text: str = "text") -> DataFrame:
                 F.array_sort(F.collect_set(F.struct(far, F.col("pivot.node").alias("b")))).alias("best"))
             .select("a", F.explode(F.slice("best", 1, DRAWN)).alias("best")).select("a", "best.b"))
         more = _verified(one, texts)
-        found, before = more.count(), links.count()
+        with releasing(df.sparkSession):
+            found, before = more.count(), links.count()
         links = links.unionByName(more)
         if TAIL * found <= before:
             break
