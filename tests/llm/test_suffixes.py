@@ -7,6 +7,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from shuffle_files import left_by
 
 from trialweave.llm import catalogue, suffixes
 
@@ -152,3 +153,11 @@ def test_memory_of_runs_does_not_grow_with_the_text(texts):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 12 * size
+
+
+@pytest.mark.parametrize("largest", [suffixes.LARGEST, 2])
+def test_steps_leave_no_shuffle_files(spark, docs, monkeypatch, largest):
+    """All that is on the disk when the texts are shuffled with their ranges are stored rows."""
+    plain = suffixes.repeated_ranges
+    monkeypatch.setattr(suffixes, "repeated_ranges", lambda d, length: plain(d, length, largest))
+    assert not left_by(spark, lambda: suffixes.without_repeats(docs))

@@ -419,8 +419,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, largest: int = LARGES
     """Ranges (``first``, ``last``) of starts, by ``doc_id`` and ``th``, of repeated strings.
 
     ``docs`` has ``doc_id`` (long), ``th`` (a hash of the text) and ``data`` (its bytes). Ranges of
-    one document may touch or overlap. Text is read twice for runs and shuffled once for contexts;
-    counts are partial aggregates and hot anchors sit on the side of a join that can be split.
+    one document may touch or overlap. Text is read twice for runs and shuffled once for contexts,
+    twice if some anchor has more of them than ``largest``; counts are partial aggregates and hot
+    anchors sit on the side of a join that can be split. Each step is stored by itself, so that the
+    shuffles of the one are off the disk before the next begins.
     """
     once = _runs_of(docs, length, False).groupBy("h").agg(
         F.count("*").alias("n"), F.min("sh").alias("low"), F.max("sh").alias("high"))
@@ -445,11 +447,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, largest: int = LARGES
     again = wanted.where("times > 1").select(F.col("h").alias("_h"), F.col("sh").alias("_sh"))
     copies = ranges(mixed.join(again.hint("merge"), (F.col("h") == F.col("_h"))
                                & (F.col("sh") == F.col("_sh"))))
-    slices = checkpointed(_slices(docs, wanted, length))
-    out = equal.unionByName(copies).unionByName(
-        _ordered(slices.where(F.col("classes") <= largest), length))
-    if not slices.where(F.col("classes") > largest).isEmpty():
-        out = out.unionByName(_hashed(slices.where(F.col("classes") > largest), length))
+    few, many = wanted.where(F.col("classes") <= largest), wanted.where(F.col("classes") > largest)
+    out = equal.unionByName(copies).unionByName(checkpointed(_ordered(_slices(docs, few, length), length)))
+    if not many.isEmpty():
+        out = out.unionByName(_hashed(checkpointed(_slices(docs, many, length)), length))
     return out
 
 
@@ -477,9 +478,10 @@ def with_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     value: Column = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(value).alias("th"),
                      value.cast("binary").alias("data"))
-    per_doc = (repeated_ranges(docs, length).groupBy("doc_id", "th")
-               .agg(F.collect_set(F.struct("first", "last")).alias(column))
-               .select(F.col("doc_id").alias(other_id), F.col("th").alias(other_th), column))
+    per_doc = checkpointed(  # the shuffles of the ranges go before those of the text come
+        repeated_ranges(docs, length).groupBy("doc_id", "th")
+        .agg(F.collect_set(F.struct("first", "last")).alias(column))
+        .select(F.col("doc_id").alias(other_id), F.col("th").alias(other_th), column))
     joined = (df.withColumn(th, F.xxhash64(value))
               .join(per_doc.hint("shuffle_hash"),
                     F.col(doc_id).cast("long").eqNullSafe(F.col(other_id))
