@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -19,8 +20,11 @@ from ..operators.lineage import checkpointed, releasing, use_checkpoint_dir
 #: documents and what is made of it stays small beside a worker's memory.
 PIECE_BYTES = 4 << 20
 
+#: Spark's limit of the bytes of a batch that goes to a worker, beside that of its rows.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 __all__ = ["checkpointed", "releasing", "use_checkpoint_dir", "table", "fold", "fresh", "map_arrow",
-           "pieces", "ship"]
+           "pieces", "ship", "small_batches", "give_back"]
 
 _shipped: set[str] = set()
 
@@ -75,6 +79,22 @@ def pieces(batch: pa.RecordBatch, text: int | str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark send batches of about ``PIECE_BYTES``. By default they may have 64 MB, which the
+    executor and the worker both hold whole before ``pieces`` cuts them. The frames that are made run
+    later, so the setting stays; one that the session was given is left as it is."""
+    if BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(BATCH_BYTES, str(PIECE_BYTES))
+
+
+def give_back() -> None:
+    """Return to the system what this worker has freed. Workers stay for later tasks, and what they
+    keep meanwhile counts beside the executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc
+        trim(0)
+
+
 def map_arrow(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
               schema, text: str | None = None) -> DataFrame:
     """Run ``build()`` once in each task and its function over the task's batches.
@@ -82,10 +102,13 @@ def map_arrow(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.R
     With ``text`` the batches are cut by the size of that column first.
     """
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
 
     def run(batches):
         fn = build()
         for batch in batches:
             for part in (pieces(batch, text) if text else (batch,)):
                 yield fn(part)
+        del fn
+        give_back()
     return df.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpointed, fresh, map_arrow
+from .common import checkpointed, fresh, give_back, map_arrow, small_batches
 
 LENGTH, GRAM = 200, 48
 #: Window starts whose anchors are found at once: about 13 MB of numbers, whatever the texts' length.
@@ -382,6 +382,9 @@ def _ordered(slices: DataFrame, length: int) -> DataFrame:
                 group.append(row)
             yield _spans(out)
         yield _spans(finish())
+        group = []
+        give_back()
+    small_batches(slices.sparkSession)
     return (slices.drop("classes").repartition("h").sortWithinPartitions("h")
             .mapInArrow(run, "doc_id long, th long, first long, last long"))
 

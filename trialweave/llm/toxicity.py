@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, map_arrow, ship
+from .common import checkpointed, give_back, map_arrow, ship, small_batches
 
 BUCKET_BITS = 20
 #: Lengths of the beginnings that are terms; of runs of more than LONGEST letters all windows are.
@@ -106,6 +106,7 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: s
 def select_features(sample: DataFrame, features: int = FEATURES) -> np.ndarray:
     """The buckets whose presence differs most between the labels, by chi-square, best first."""
     ship(sample.sparkSession)
+    small_batches(sample.sparkSession)
 
     def run(batches):
         seen = np.zeros((2, 1 << BUCKET_BITS), np.int32)
@@ -119,6 +120,8 @@ def select_features(sample: DataFrame, features: int = FEATURES) -> np.ndarray:
             [pa.array(np.append(used, -1), pa.int32()),
              pa.array(np.append(seen[0, used], totals[0]), pa.int64()),
              pa.array(np.append(seen[1, used], totals[1]), pa.int64())], ["b", "n0", "n1"])
+        del seen
+        give_back()
 
     counts = checkpointed(sample.mapInArrow(run, "b int, n0 long, n1 long").groupBy("b")
                           .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
