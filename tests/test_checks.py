@@ -145,3 +145,21 @@ def test_gates_of_a_long_chain(spark, monkeypatch):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "FlatMapGroupsInArrow" in plan and plan.count("Join") == 1
     assert {tuple(r) for r in cycles.collect()} == {("p", f"f{i}", "f0", 120) for i in range(120)}
+
+
+def test_gates_folded_where_they_are_walked(spark, monkeypatch):
+    """Circles of a folded closure are those of its rows; a task hands on a row a field, not one a path."""
+    rng = random.Random(3)
+    rows = [(f"p{p}" if p else None, f"f{rng.randrange(n)}" if rng.random() > 0.02 else None,
+             f"f{rng.randrange(n)}" if rng.random() > 0.03 else None)
+            for p, n in enumerate([30, 1, 5, 20, 50, 50, 60]) for _ in range(int(n * (0.5 + p / 3)))]
+    rows += [("long", f"f{i}", f"f{(i + 1) % 300}") for i in range(300)] + [("long", f"f{i}", "f7") for i in (90, 200)]
+    edges = spark.createDataFrame(rows, "project_id string, field string, gate string").distinct().cache()
+    want = sorted(tuple(r) for r in G.logic_cycles(G.gate_closure(edges)).collect())
+    assert len({r[2] for r in want}) > 2 and sum(r[0] == "long" for r in want) == 300
+    for part, held, rounds in ((1 << 12, 1 << 24, 32), (40, 1 << 14, 32), (40, 1 << 14, 1)):
+        for name, value in (("PART", part), ("HELD", held), ("ROUNDS", rounds)):
+            monkeypatch.setattr(G, name, value)
+        folded = G.gate_closure(edges, folded=True)
+        assert sorted(tuple(r) for r in G.logic_cycles(folded).collect()) == want
+        assert folded.count() == len(want)

@@ -195,7 +195,7 @@ def gate_closure(spark, sf):
   min(a.depth) FILTER (a.k = a.g) AS length FROM closed a JOIN closed b
   ON a.project_id = b.project_id AND a.k = b.g AND a.g = b.k GROUP BY a.project_id, a.k""")
 def logic_cycles(spark, sf):
-    return G.logic_cycles(G.gate_closure(G.gate_edges(_gated(spark, sf))))
+    return G.logic_cycles(G.gate_closure(G.gate_edges(_gated(spark, sf)), folded=True))
 
 
 @query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(coalesce(text, '')) AS text_md5, coalesce(lang, '') AS lang,

@@ -6,12 +6,13 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .similarity import spread
 
@@ -24,6 +25,10 @@ REFERENCE = r"\[([A-Za-z][A-Za-z0-9_]*)(?:\([^)]*\))?\]"
 PART = 1 << 12
 #: Most pairs of field and gate that a task marks at a time, and rows of a batch that it hands on.
 MARKED, ROWS = 1 << 22, 1 << 15
+#: Bytes of the steps that a task holds at a time, and rounds over the fields before it walks step by step.
+HELD, ROUNDS = 1 << 24, 32
+#: Columns of a field's folded gates: their number and two sums of hashes.
+FOLDS = ("_n", "_h", "_i")
 
 
 def gate_edges(fields: DataFrame, project: str = "project_id", field: str = "field_name",
@@ -57,10 +62,8 @@ def _steps(starts: np.ndarray, first: np.ndarray, gates: np.ndarray, nodes: int,
             return
 
 
-def _closed(batches: list[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """What a part's own fields of a project rest on; the batches hold all edges of the project."""
-    edges = pa.Table.from_batches(batches)
-    project, own = edges.column("project_id"), edges.column("_own").to_numpy()
+def _graph(edges: pa.Table):
+    """A project's edges by number: names, gates, where each node's gates begin, and the part's own starts."""
     both = pa.chunked_array(edges.column("field").chunks + edges.column("gate").chunks).combine_chunks() \
         .dictionary_encode()
     names = both.dictionary
@@ -71,8 +74,16 @@ def _closed(batches: list[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.Rec
     nodes = len(names) + 2
     gate = np.where(gate == len(names), nodes - 1, gate)  # a gate that is null leads nowhere
     first = np.searchsorted(field[order], np.arange(nodes + 1))
-    names = pa.concat_arrays([names, pa.nulls(2, names.type)])
-    starts = np.unique(field[own])
+    return pa.concat_arrays([names, pa.nulls(2, names.type)]), gate[order], first, \
+        np.unique(field[edges.column("_own").to_numpy()])
+
+
+def _closed(batches: list[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """What a part's own fields of a project rest on; the batches hold all edges of the project."""
+    edges = pa.Table.from_batches(batches)
+    project = edges.column("project_id")
+    names, gates, first, starts = _graph(edges)
+    nodes = len(names)
     size = max(1, MARKED // nodes)
     held, waiting = [], 0
 
@@ -86,7 +97,7 @@ def _closed(batches: list[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.Rec
 
     for i in range(0, len(starts), size):
         block = starts[i:i + size]
-        for at, node, depth in _steps(block, first, gate[order], nodes, project[0].is_valid):
+        for at, node, depth in _steps(block, first, gates, nodes, project[0].is_valid):
             held.append((block[at], node, np.full(len(at), depth)))
             waiting += len(at)
             if waiting >= ROWS:
@@ -96,7 +107,104 @@ def _closed(batches: list[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.Rec
         yield from rows()
 
 
-def gate_closure(edges: DataFrame) -> DataFrame:
+def _order(first: np.ndarray, gates: np.ndarray) -> list[int]:
+    """The nodes, each before its gates as far as circles allow: a depth-first walk's ends, last first."""
+    first, gates = first.tolist(), gates.tolist()
+    at, seen, ended = first[:-1], bytearray(len(first) - 1), []
+    for root in range(len(at)):
+        if seen[root]:
+            continue
+        seen[root], path = 1, [root]
+        while path:
+            node = path[-1]
+            if at[node] == first[node + 1]:
+                ended.append(path.pop())
+                continue
+            gate = gates[at[node]]
+            at[node] += 1
+            if not seen[gate]:
+                seen[gate] = 1
+                path.append(gate)
+    return ended[::-1]
+
+
+def _least_steps(starts: np.ndarray, first: np.ndarray, gates: np.ndarray, nodes: int, order: list[int],
+                 kind: type) -> np.ndarray:
+    """Least steps from each start (a column) to each node (a row), 0 to itself; the type's largest number if
+    the node is not met. All starts take an edge at once, edges in the order of their fields; a circle takes
+    further rounds over the nodes that changed. What is not settled after some rounds is walked instead."""
+    far = np.iinfo(kind).max - 1  # one step more is no overflow
+    steps = np.full((nodes, len(starts)), far, kind)
+    steps[starts, np.arange(len(starts))] = 0
+    ends, to = first.tolist(), gates.tolist()
+    more, less = np.empty(len(starts), kind), np.empty(len(starts), np.bool_)
+    # every field has its turn in the first round, later only one whose steps became fewer
+    waits, done = bytearray(b"\1") * nodes, bytearray(nodes)
+    for _ in range(ROUNDS):
+        again = False
+        done[:] = bytes(nodes)
+        for node in order:
+            done[node] = 1
+            if not waits[node]:
+                continue
+            waits[node] = 0
+            np.add(steps[node], 1, out=more)
+            for gate in to[ends[node]:ends[node + 1]]:
+                row = steps[gate]
+                np.less(more, row, out=less)
+                if less.any():
+                    np.minimum(more, row, out=row)
+                    waits[gate] = 1
+                    again |= done[gate]
+        if not again:
+            return steps
+    for at, node, depth in _steps(starts, first, gates, nodes, True):
+        steps[node, at] = depth
+    steps[starts, np.arange(len(starts))] = 0
+    return steps
+
+
+def _circled(batches: list[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """What ``logic_cycles`` folds of the part's paths, a row for each own field that rests on itself."""
+    edges = pa.Table.from_batches(batches)
+    project = edges.column("project_id")
+    names, gates, first, starts = _graph(edges)
+    nodes = len(names)
+    starts = starts[starts < nodes - 2]  # a null rests on no null
+    if not (project[0].is_valid and len(starts)):
+        return
+    # two 64-bit hashes of each name, and of a gate that is null, in pieces whose sums are exact as doubles
+    pieces = np.frombuffer(b"".join(blake2b(repr(x).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                                    for x in names.to_pylist()), np.uint32).reshape(-1, 4).T.astype(np.float64)
+    kind = np.int16 if nodes < 1 << 14 else np.int32
+    order, size = _order(first, gates), max(1, HELD // (nodes * kind().itemsize))
+    field = np.repeat(np.arange(nodes), np.diff(first))
+    for i in range(0, len(starts), size):
+        block = starts[i:i + size]
+        steps = _least_steps(block, first, gates, nodes, order, kind)
+        far = np.iinfo(kind).max - 1
+        # back to the start: one step more than to a field that names it
+        length = np.full(len(block), far, np.int64)
+        last = np.flatnonzero(np.isin(gates, block))
+        column = np.searchsorted(block, gates[last])
+        np.minimum.at(length, column, steps[field[last], column].astype(np.int64) + 1)
+        back = np.flatnonzero(length < far)
+        if not len(back):
+            continue
+        count, sums = np.zeros(len(back), np.int64), np.zeros((4, len(back)), np.uint64)
+        rows = max(1, HELD // (16 * len(back)))
+        for j in range(0, nodes, min(rows, 1 << 20)):
+            met = (steps[j:j + min(rows, 1 << 20)] < far)[:, back]
+            count += met.sum(axis=0)
+            sums += (pieces[:, j:j + len(met)] @ met.astype(np.float64)).astype(np.uint64)
+        folds = sums[::2] + (sums[1::2] << np.uint64(32))  # wraps around
+        yield pa.RecordBatch.from_arrays([
+            pa.repeat(project[0], len(back)), names.take(pa.array(block[back])),
+            pa.array(length[back], pa.int32()), pa.array(count), *(pa.array(h.view(np.int64)) for h in folds)],
+            schema=schema)
+
+
+def gate_closure(edges: DataFrame, folded: bool = False) -> DataFrame:
     """(project_id, field, gate, depth): every field that a field rests on, directly or through others, and
     the least number of steps. A field in a circle rests on itself.
 
@@ -104,9 +212,15 @@ def gate_closure(edges: DataFrame) -> DataFrame:
     edges and walks them from all its fields at once, step by step. So edges are shuffled and no path is:
     the rows, which may be as many as the square of a project's fields, go straight to whoever reads them.
     A project without an id has no paths, only its edges.
+
+    ``folded`` finds the same steps between every two fields, but hands on what ``logic_cycles`` makes of the
+    rows, folded by the task that finds them: (project_id, field, length, _n, _h, _i), a row for each field that
+    rests on itself.
     """
     edges = edges.select("project_id", "field", "gate")
-    schema = StructType([*(StructField(f.name, f.dataType) for f in edges.schema), StructField("depth", IntegerType())])
+    own = list(edges.schema)
+    schema = StructType([*own[:2], StructField("length", IntegerType()), *(StructField(n, LongType()) for n in FOLDS)]
+                        if folded else [*own, StructField("depth", IntegerType())])
     parts = edges.groupBy(F.col("project_id").alias("_p")).agg(
         F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_parts"))
     dealt = edges.join(parts, F.col("project_id").eqNullSafe(F.col("_p"))).drop("_p").withColumn(
@@ -115,8 +229,13 @@ def gate_closure(edges: DataFrame) -> DataFrame:
 
     def closed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
-        yield from _closed(held, pa.schema([*(held[0].schema.field(n) for n in ("project_id", "field", "gate")),
-                                            pa.field("depth", pa.int32())]))
+        names = held[0].schema
+        if folded:
+            yield from _circled(held, pa.schema([names.field("project_id"), names.field("field"), pa.field(
+                "length", pa.int32()), *(pa.field(n, pa.int64()) for n in FOLDS)]))
+        else:
+            yield from _closed(held, pa.schema([*(names.field(n) for n in ("project_id", "field", "gate")),
+                                                pa.field("depth", pa.int32())]))
     return spread(dealt, "project_id", "_part").groupBy("project_id", "_part").applyInArrow(closed, schema)
 
 
@@ -125,14 +244,15 @@ def logic_cycles(closure: DataFrame) -> DataFrame:
     those that rest on each other, ``length`` the number of steps back to the field.
 
     Two fields in circles rest on each other exactly if they rest on the same fields, so each field's gates
-    are folded to their number and two sums of hashes, and fields are grouped by those; the closure is
-    read once and folded before it is shuffled.
+    are folded to their number and two sums of hashes, and fields are grouped by those. A closure of rows is
+    read once and folded before it is shuffled; with many fields in a project take a ``folded`` one, whose
+    rows are folded where they are made.
     """
-    total = lambda h: F.sum(h.cast("decimal(38,0)"))
-    folded = closure.where("project_id is not null and field is not null").groupBy("project_id", "field").agg(
-        F.min(F.when(F.col("field") == F.col("gate"), F.col("depth"))).alias("length"),
-        F.count(F.lit(1)).alias("_n"), total(F.xxhash64("gate")).alias("_h"),
-        total(F.xxhash64(F.lit("gates"), "gate")).alias("_i")).where("length is not null")
-    alike = ["project_id", "_n", "_h", "_i"]
-    return folded.withColumn("cycle", F.min("field").over(Window.partitionBy(*alike))).select(
+    if "gate" in closure.columns:
+        total = lambda h: F.sum(h.cast("decimal(38,0)"))
+        closure = closure.where("project_id is not null and field is not null").groupBy("project_id", "field").agg(
+            F.min(F.when(F.col("field") == F.col("gate"), F.col("depth"))).alias("length"),
+            F.count(F.lit(1)).alias("_n"), total(F.xxhash64("gate")).alias("_h"),
+            total(F.xxhash64(F.lit("gates"), "gate")).alias("_i")).where("length is not null")
+    return closure.withColumn("cycle", F.min("field").over(Window.partitionBy("project_id", *FOLDS))).select(
         "project_id", "field", "cycle", "length")
