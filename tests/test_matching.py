@@ -3,6 +3,7 @@ import hashlib
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -65,6 +66,27 @@ def test_deletion_bound_covers_every_match(a, b):
             assert len(b) - common <= S.deletions_allowed(len(b), 85, method)
 
 
+@pytest.mark.parametrize("method", S.METHODS)
+def test_forms_and_pieces_are_not_broadcast(spark, tmp_path, method):
+    """A small file of words has many times its size in forms; the driver must not collect them."""
+    some = words(60, 6, 14)
+    spark.createDataFrame([(w,) for w in some], "token string").write.parquet(str(tmp_path / "words"))
+    df = spark.read.parquet(str(tmp_path / "words"))
+    got = S.matching_tokens(df, df, method)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == {(a, b) for a in some for b in some if near(a, b, method)}
+
+
+def test_many_ratios_equal_those_one_by_one():
+    pairs = []
+    for letters, high in (("ab", 12), ("0123456789", 9), ("abc\u00e9\U0001f600\x00", S.NARROW + 3)):
+        for _ in range(700):
+            x = "".join(RANDOM.choices(letters, k=RANDOM.randint(0, high)))
+            pairs += [(x, "".join(RANDOM.choices(letters, k=RANDOM.randint(0, high)))), (x, x[:3] + x[4:])]
+    x, y = (np.array(v, object) for v in zip(*pairs))
+    assert S.word_ratios(x, y).tolist() == [SequenceMatcher(None, *p).ratio() for p in pairs]
+
+
 def test_low_ratio_is_refused(spark):
     df = spark.createDataFrame([("a",)], "token string")
     with pytest.raises(ValueError):

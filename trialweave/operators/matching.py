@@ -12,7 +12,7 @@ from ..functions.text import hospital_key, name_tokens, title_key
 from .lineage import checkpointed
 from .ordering import numbered, smallest_per_key
 from .similarity import (
-    TOKEN_RATIO, matching_tokens, ratio_column, spread,
+    TOKEN_RATIO, by_shuffle, matching_tokens, ratio_column, spread,
 )
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -87,19 +87,20 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, id_col: str, name_col: s
     words = left_names.select("a", F.explode("tokens").alias("left_token"))
     used = right_names.select("b", F.explode("tokens").alias("right_token"))
     uses = used.groupBy("right_token").agg(F.count(F.lit(1)).alias("_uses"))
-    met = matches.join(uses, "right_token").groupBy("left_token").agg(F.sum("_uses").alias("_met"))
+    met = matches.join(by_shuffle(uses), "right_token").groupBy("left_token").agg(F.sum("_uses").alias("_met"))
     frequent = checkpointed(
-        words.groupBy("left_token").agg(F.count(F.lit(1)).alias("_held")).join(met, "left_token")
+        words.groupBy("left_token").agg(F.count(F.lit(1)).alias("_held")).join(by_shuffle(met), "left_token")
         .where(F.col("_held") * F.col("_met") > common).select("left_token"))
 
-    left_told, left_classes = _classes(left_names, "a", words.join(frequent, "left_token"), "lc")
+    left_told, left_classes = _classes(
+        left_names, "a", words.join(by_shuffle(frequent), "left_token"), "lc")
     right_told, right_classes = _classes(
-        right_names, "b", matches.join(frequent, "left_token").join(used, "right_token"), "rc")
+        right_names, "b", matches.join(frequent, "left_token").join(by_shuffle(used), "right_token"), "rc")
     asked = checkpointed(people.select("name", F.col("hospital").alias("h")).distinct().join(
-        left_told, "name").drop("name"))
+        by_shuffle(left_told), "name").drop("name"))
     records = checkpointed(
         others.select("name", F.col("hospital").alias("h"), "id").join(
-            right_told.select("name", "b", "rc"), "name").drop("name")
+            by_shuffle(right_told.select("name", "b", "rc")), "name").drop("name")
         .withColumn("_r", F.monotonically_increasing_id()))
 
     # classes that share a common word, and all records of a number
@@ -126,8 +127,8 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, id_col: str, name_col: s
         F.col("k").alias("lc"), "_h", F.col("_s").alias("_enough"))
 
     # names that share a rare word; what scores less than the class's list cannot change the result
-    near = words.join(frequent, "left_token", "left_anti").join(matches, "left_token").join(
-        used, "right_token").groupBy("a", "b").agg(F.count_distinct("left_token").alias("_hits"))
+    near = words.join(frequent, "left_token", "left_anti").join(by_shuffle(matches), "left_token").join(
+        by_shuffle(used), "right_token").groupBy("a", "b").agg(F.count_distinct("left_token").alias("_hits"))
     keys = asked.withColumn("_h", F.coalesce("h", F.lit(""))).join(enough, ["lc", "_h"], "left")
     longest = F.greatest("_na", "_nb")
     in_common = F.size(F.array_intersect("_ca", "_cb"))
@@ -153,7 +154,7 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, id_col: str, name_col: s
                 (F.coalesce("_nc", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("ties"),
                 F.col("_rank").alias("rank"))
     return people.select("id", "name", F.coalesce("hospital", F.lit("")).alias("_h")) \
-        .join(left_told.select("name", "a"), "name").join(answer, ["a", "_h"]) \
+        .join(by_shuffle(left_told.select("name", "a")), "name").join(by_shuffle(answer), ["a", "_h"]) \
         .where(F.col("name_score") >= min_name).select(
         "id", "candidate_id", "name_score", "score", "ties", "rank")
 
@@ -188,7 +189,7 @@ def _entries(wanted: DataFrame, lists: tuple[DataFrame, DataFrame], *carried: st
     and smallest ids by what the numbers say; ``least`` is the score these records have already been
     counted at, by a wider group, or null."""
     same, per_group = lists
-    rows = wanted.join(per_group, "g").join(same, ["g", "h"], "left")
+    rows = wanted.join(same, ["g", "h"], "left").join(per_group, "g")  # the wider lists last, no shuffle carries them
     has, none = F.col("h").isNotNull(), F.array().cast(_type_of(same, "ids_same"))
     n_same = F.coalesce("n_same", F.lit(0))
     plain = lambda x: F.struct(x["id"], x["_r"])

@@ -9,6 +9,7 @@ import sys
 from difflib import SequenceMatcher
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,8 +20,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TOKEN_RATIO = 0.85
 # Words up to this length are matched through deletions, longer pairs through pieces.
 SHORT = 10
-# Patterns of two words that a task remembers.
-PATTERNS = 1 << 16
+# Pairs of words up to this length are aligned many at a time.
+NARROW = 32
 METHODS = ("sequence", "levenshtein")
 
 
@@ -63,6 +64,12 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(n, *columns)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """A frame that joins do not broadcast. Spark takes exploded arrays and the columns of a compressed file
+    for far smaller than they are, and would collect them on the driver."""
+    return df.hint("merge")
+
+
 def _percent(threshold: float) -> int:
     return round(threshold * 100)
 
@@ -87,24 +94,72 @@ def letters_kept(n: int, m: int, percent: int, method: str) -> int:
     return -(-percent * (n + m) // 200)
 
 
-def word_ratio(a: Column, b: Column) -> Column:
-    """``sequence_ratio`` of short words. It depends only on which letters of the two are equal, so
-    a pattern of equal letters that a task has met before is not aligned again."""
-    known: dict = {}
+def _letters(words: np.ndarray) -> np.ndarray:
+    """Code points of the words, a row for each place and a column for each word; 0 past a word's end."""
+    held = words.astype(str)
+    return np.ascontiguousarray(held.view(np.uint32).reshape(len(held), -1).T)
+
+
+def matched_letters(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Letters in the matching blocks that ``SequenceMatcher`` finds for many pairs of short words.
 
+    ``a`` and ``b`` are code points as in ``_letters``, ``n`` and ``m`` the lengths. Every pair takes its
+    longest common run, of equal ones the first in ``a`` and then in ``b``, and goes on with what is left
+    and right of it, all pairs at once.
+    """
+    total = np.zeros(len(n), np.int64)
+    # longest first, then by place in a, then in b: 6 bits for the length and 5 for each place
+    places = np.arange(len(b), dtype=np.int8)[:, None]
+    turn = (NARROW - 1 - places).astype(np.uint16)
+    pair, start, end, first, last = np.arange(len(n)), np.zeros(len(n), np.int8), n.astype(np.int8), \
+        np.zeros(len(n), np.int8), m.astype(np.int8)
+    while len(pair):
+        x, y = np.take(a, pair, axis=1), np.take(b, pair, axis=1)
+        inside = (places >= first) & (places < last)
+        run = np.zeros((len(b) + 1, len(pair)), np.uint16)
+        best, key = np.zeros(len(pair), np.uint16), np.empty_like(run[1:])
+        for i in range(start.min(), end.max()):
+            equal = y == x[i]
+            equal &= inside
+            equal &= (start <= i) & (i < end)
+            run[1:] = run[:-1] + np.uint16(1)  # length of the common run that ends here
+            run[1:] *= equal
+            np.left_shift(run[1:], 10, out=key)
+            key += turn
+            at = key.max(axis=0)
+            at += np.uint16((NARROW - 1 - i) << 5)
+            np.maximum(best, at, out=best)
+        found = np.flatnonzero(best >= 1 << 10)
+        best, pair = best[found], pair[found]
+        start, end, first, last = (v[found] for v in (start, end, first, last))
+        size = (best >> 10).astype(np.int8)
+        i, j = ((NARROW - (best >> k & 31)).astype(np.int8) - size for k in (5, 0))
+        total += np.bincount(pair, size, len(total)).astype(np.int64)
+        sides = ((pair, start, i, first, j), (pair, i + size, end, j + size, last))
+        pair, start, end, first, last = (np.concatenate(v) for v in zip(*sides))
+        left = np.flatnonzero((start < end) & (first < last))
+        pair, start, end, first, last = (v[left] for v in (pair, start, end, first, last))
+    return total
+
+
+def word_ratios(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``SequenceMatcher``'s ratio for many pairs of words."""
+    n, m = (np.fromiter(map(len, v), np.int32, len(v)) for v in (x, y))
+    out = np.ones(len(x))
+    narrow = np.flatnonzero((np.maximum(n, m) <= NARROW) & (n + m > 0))
+    if len(narrow):
+        k, l = n[narrow], m[narrow]
+        out[narrow] = 2.0 * matched_letters(_letters(x[narrow]), _letters(y[narrow]), k, l) / (k + l)
+    for i in np.flatnonzero(np.maximum(n, m) > NARROW):
+        out[i] = SequenceMatcher(None, x[i], y[i]).ratio()
+    return out
+
+
+def word_ratio(a: Column, b: Column) -> Column:
+    """``sequence_ratio`` of words."""
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y):
-            seen: dict = {}
-            key = (len(p), *[seen.setdefault(c, len(seen)) for c in p + q])
-            found = known.get(key)
-            if found is None:
-                if len(known) >= PATTERNS:
-                    known.clear()
-                found = known[key] = SequenceMatcher(None, p, q).ratio()
-            out.append(found)
-        return pd.Series(out, dtype="float64")
+        return pd.Series(word_ratios(x.to_numpy(object), y.to_numpy(object)))
     return ratio.asNondeterministic()(a, b)
 
 
@@ -147,7 +202,7 @@ def matching_tokens(left: DataFrame, right: DataFrame, method: str,
 
     def by_form(words, side):
         small = words.where(F.length("token") <= longest_partner)
-        return small.select(F.col("token").alias(f"{side}_token"),
+        return spread(small, "token").select(F.col("token").alias(f"{side}_token"),
                             F.explode(forms(side)("token")).alias("_form"))
 
     def by_piece(words, name):
@@ -156,17 +211,17 @@ def matching_tokens(left: DataFrame, right: DataFrame, method: str,
             F.sequence(F.lit(1), F.length("token") - 2), lambda i: F.substring("token", i, 3)))
         return big.select(F.col("token").alias(name), F.explode(pieces).alias("_piece"))
 
-    short = by_form(left, "left").join(by_form(right, "right"), "_form")
+    short = by_form(left, "left").join(by_shuffle(by_form(right, "right")), "_form")
     probe, index = by_piece(left, "left_token"), by_piece(right, "right_token")
     if method == "levenshtein":
         uses = index.groupBy("_piece").agg(F.count(F.lit(1)).alias("_uses"))
-        ranked = probe.join(uses, "_piece").groupBy("left_token").agg(
+        ranked = probe.join(by_shuffle(uses), "_piece").groupBy("left_token").agg(
             F.sort_array(F.collect_list(F.struct("_uses", "_piece"))).alias("_ranked"))
         edits = F.floor(F.floor(F.length("left_token") * 100 / percent) * (100 - percent) / 100)
         probe = ranked.select("left_token", F.explode(
             F.slice("_ranked", F.lit(1), (edits * 3 + 1).cast("int"))).alias("_r")).select(
             "left_token", F.col("_r._piece").alias("_piece"))
-    long = probe.join(index, "_piece")
+    long = probe.join(by_shuffle(index), "_piece")
     pairs = short.select("left_token", "right_token").unionByName(
         long.select("left_token", "right_token"))
     longest = F.greatest(F.length("left_token"), F.length("right_token"))
